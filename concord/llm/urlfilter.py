@@ -65,11 +65,11 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     """seeds (kind, host, seed) and edges (src, dst, n) -> (kind, host, score), scores of a kind summing to 1."""
     steps = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = steps.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    steps = cut(steps.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * damping).alias("p")), "steps")
+    steps = cut(steps.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all") * damping).alias("p")), "steps")
     scores = start = cut(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score")), "seeds")
     if not steps.isEmpty():
         for k in range(rounds):
-            moved = scores.join(steps, (scores["kind"] == steps["kind"]) & (scores["host"] == steps["src"])).select(steps["kind"], F.col("dst").alias("host"), (F.col("score") * F.col("p")).alias("score"))
+            moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p")).alias("score"))
             scores = moved.union(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
             if k % 5 == 4 or k == rounds - 1:
                 scores = cut(scores, "scores")
