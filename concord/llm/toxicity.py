@@ -49,7 +49,7 @@ _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
 _END = frozenset(".!?;:\n")
 _QUOTE = frozenset('"“”«»')
 OTHER, TARGET, NEGATION, REPORT, INTENDS, THREAT, END, QUOTE = range(8)
-FEATURES = ("plain", "targeted", "negated", "reported", "threats", "clauses", "per_clause", "strong")
+FEATURES = ("plain", "targeted", "negated", "reported", "threats", "clauses", "distinct", "strongest", "tokens")
 
 
 def kind_of(token: str) -> int:
@@ -84,6 +84,7 @@ def clause_sums(text: str | None, lexicon: Lexicon) -> list[float]:
     read = [lexicon[t] for t in tokens]
     hits = [i for i, (kind, weight) in enumerate(read) if weight or kind == THREAT]
     out = [0.0] * len(FEATURES)
+    out[8] = float(len(tokens))
     if not hits:
         return out
     clauses, done = 0, -1
@@ -123,10 +124,17 @@ def clause_sums(text: str | None, lexicon: Lexicon) -> list[float]:
             clauses += 1
             out[3 if reported else 2 if negated else 1 if target else 0] += weight
             out[4] += 0.0 if negated or reported else threat
-    out[5] = float(clauses)
-    out[6] = sum(out[:4]) / max(1, clauses)
-    out[7] = float(len(seen))
-    return [float(np.log1p(x)) for x in out]
+    out[5], out[6], out[7] = float(clauses), float(len(seen)), max((lexicon[t][1] for t in seen), default=0.0)
+    return out
+
+
+def design(sums: np.ndarray) -> np.ndarray:
+    """FEATURES as the regression takes them: how much, how strong, how dense, and in which readings."""
+    plain, targeted, negated, reported, threats, clauses, distinct, strongest, tokens = sums.reshape(-1, len(FEATURES)).T
+    total = plain + targeted + negated + reported
+    some = np.maximum(total, 1e-9)
+    grown = [np.log1p(total), total / (total + 10), strongest / 5, np.log1p(clauses), np.log1p(distinct), np.log1p(1000 * total / np.maximum(tokens, 1)), np.log1p(threats), np.log1p(total / np.maximum(clauses, 1))]
+    return np.stack([*grown, targeted / some, negated / some, reported / some], axis=1)
 
 
 class Grammar:
@@ -136,7 +144,7 @@ class Grammar:
     def score(self, texts: list) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        x = np.array([clause_sums(t, self.lexicon) for t in texts]).reshape(-1, len(FEATURES))
+        x = design(np.array([clause_sums(t, self.lexicon) for t in texts]))
         z = x @ self.weights[1:] + self.weights[0]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -157,7 +165,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.string()), pa.array([c * (y == 0) for _, c in part], pa.int64()), pa.array([c * (y == 1) for _, c in part], pa.int64())], ["stem", "clean", "toxic"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2) -> np.ndarray:
     """Newton's method on the ridge-penalised likelihood."""
     a = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(a.shape[1])
@@ -185,10 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT) -> Grammar:
         if len(n) < 2:
             return Grammar({}, None)
         counts = rows.mapInArrow(_stem_counts, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        # Evidence that survives chance: well above what the same stem has among clean documents.
-        weight = F.log((F.col("toxic") + 0.2) / n[1]) - F.log((F.col("clean") + 0.5) / n[0])
-        least = max(3, n[1] // 400)
-        strong = counts.where(F.col("toxic") >= least).withColumn("w", weight).where("w > 2.2").orderBy(F.desc(F.col("toxic") * F.col("w")), "stem").limit(MAX_STEMS)
+        # Evidence that survives chance: a low estimate of the share of toxic documents over that of clean ones.
+        weight = F.log((F.col("toxic") - F.sqrt("toxic") + 0.1) / n[1]) - F.log((F.col("clean") + 0.5) / n[0])
+        least = max(4, n[1] // 200)
+        strong = counts.where(F.col("toxic") >= least).withColumn("w", weight).where("w > 2").orderBy(F.desc(F.col("toxic") * F.col("w")), "stem").limit(MAX_STEMS)
         stems = {r["stem"]: float(r["w"]) for r in strong.collect()}
         lexicon = Lexicon(stems)
 
@@ -197,10 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT) -> Grammar:
                 x = [clause_sums(t, lexicon) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
-        got = rows.mapInArrow(sums, "x array<double>, y int").collect()  # 2 * bound rows of 8 numbers
+        got = rows.mapInArrow(sums, "x array<double>, y int").collect()  # 2 * bound rows of 9 numbers
     finally:
         rows.unpersist()
-    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=float)
+    x, y = design(np.array([r["x"] for r in got])), np.array([r["y"] for r in got], dtype=float)
     weights = _logistic(x, y)
     weights[0] += np.log(share[0] / share[1])  # classes were thinned unequally
     return Grammar(stems, weights)

@@ -9,7 +9,7 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 def features(text, stems={"idiot$": 3.0, "scum$": 2.0, "vermi": 2.5}):
-    return dict(zip(toxicity.FEATURES, np.round(np.expm1(toxicity.clause_sums(text, toxicity.Lexicon(stems))), 9)))
+    return dict(zip(toxicity.FEATURES, toxicity.clause_sums(text, toxicity.Lexicon(stems))))
 
 
 def test_transducers_compose():
@@ -25,7 +25,7 @@ def test_transducers_compose():
     assert features("idiot here. idiot there.")["clauses"] == 2.0
     assert features("IDIOT")["plain"] == 3.0
     for text in (None, "", "fine words only", "\n. ! "):
-        assert not any(features(text).values())
+        assert not any(v for k, v in features(text).items() if k != "tokens")
     assert features("fine " * 100_000 + "idiot")["plain"] == 3.0
 
 
