@@ -107,10 +107,17 @@ def features_packed(packed: DataFrame, dt: float = DT) -> DataFrame:
 
 
 def displacement_error(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Mean planar distance of prediction to ground truth: (clip_id, ade_meters, n_joined)."""
-    t = truth.select("clip_id", "step", F.col("x").alias("gx"), F.col("y").alias("gy"))
-    error = F.sqrt(F.pow(F.col("x") - F.col("gx"), 2.0) + F.pow(F.col("y") - F.col("gy"), 2.0))
-    return pred.join(t, ["clip_id", "step"]).groupBy("clip_id").agg(F.avg(error).alias("ade_meters"), F.count("*").alias("n_joined"))
+    """Mean planar distance of prediction to ground truth: (clip_id, ade_meters, n_joined).
+
+    Both tables are stacked and met by an aggregation rather than a join: with waypoints partitioned by clip_id neither
+    is shuffled or sorted again, and no side can be taken for small enough to broadcast. (clip_id, step) is a key.
+    """
+    side = lambda df, n: df.select("clip_id", "step", F.lit(n).alias("side"), "x", "y")
+    pick = lambda c, n: F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{c}{n}")
+    both = side(pred, 0).unionByName(side(truth, 1)).groupBy("clip_id", "step")
+    pairs = both.agg(*[pick(c, n) for c in ("x", "y") for n in (0, 1)], (F.max("side") != F.min("side")).alias("met"))
+    error = F.sqrt(F.pow(F.col("x0") - F.col("x1"), 2.0) + F.pow(F.col("y0") - F.col("y1"), 2.0))
+    return pairs.where("met").groupBy("clip_id").agg(F.avg(error).alias("ade_meters"), F.count("*").alias("n_joined"))
 
 
 def curvature(way: DataFrame) -> DataFrame:

@@ -62,11 +62,17 @@ def _result(df: DataFrame, error: Column) -> DataFrame:
 def score_clips(clips: DataFrame, reasoning: DataFrame, predictions: DataFrame, truth: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
     """One result row for each clip; paths of fewer than two points, or none, count as standing still."""
     clips = normalize_clips(clips).select("clip_id", "t0_us", "scenario_type")
+    predictions, truth = _of(clips, predictions, truth)
     paths = kinematics.features(predictions).join(kinematics.displacement_error(predictions, truth).select("clip_id", "ade_meters"), "clip_id", "left")
     rows = clips.join(paths.withColumnRenamed("n_steps", "_n"), "clip_id", "left").na.fill(0.0, list(kinematics.FEATURES)).drop("_n")
     return _result(_scored_rows(rows, reasoning, rules), F.lit(None).cast("string"))
 
 
+def _of(clips: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """The tables' rows of these clips: paths of others are neither sorted nor aggregated."""
+    return [t.join(clips.select("clip_id"), "clip_id", "left_semi") for t in tables]
+
+
 def _scored_rows(rows: DataFrame, reasoning: DataFrame, rules: RuleSet) -> DataFrame:
     texts = rows.join(reasoning.select("clip_id", "cot_text"), "clip_id", "left")
     return score(classify_text(kinematics.classify_features(texts), "cot_text", rules))
@@ -75,6 +81,7 @@ def _scored_rows(rows: DataFrame, reasoning: DataFrame, rules: RuleSet) -> DataF
 def score_with_errors(clips: DataFrame, reasoning: DataFrame, predictions: DataFrame, truth: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
     """Results in which a clip whose inputs don't fit is an error row; the job goes on."""
     clips = normalize_clips(clips).select("clip_id", "t0_us", "scenario_type")
+    predictions, truth = _of(clips, predictions, truth)
     span = lambda df, n: df.groupBy("clip_id").agg(F.count("*").alias(n), F.min("step").alias(f"{n}_lo"), F.max("step").alias(f"{n}_hi"))
     paths = kinematics.features(predictions).drop("n_steps").join(kinematics.displacement_error(predictions, truth).select("clip_id", "ade_meters"), "clip_id", "left")
     rows = clips.join(paths, "clip_id", "left").join(span(predictions, "np"), "clip_id", "left").join(span(truth, "ng"), "clip_id", "left")
