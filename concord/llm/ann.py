@@ -12,8 +12,8 @@ group, whatever the skew. A group returns at most k rows for each query. The cen
 parameters of the index, of bounded size; nothing else is broadcast or collected.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
-another length than the most frequent; equal scores rank by vec_id; rows that repeat a vec_id are candidates and
-queries each, but never answer a query of their own vec_id; with fewer than k candidates all are returned; an empty
+another length than the most frequent; equal scores rank by vec_id; rows that repeat a vec_id and its vector count once
+(with other vectors each counts, and none answers a query of its own vec_id); with fewer than k candidates all are returned; an empty
 table gives an empty table; extra columns are ignored.
 """
 
@@ -51,6 +51,19 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def once(rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """rows without repeats of the same id and vector."""
+    if len(rows) < 2:
+        return rows
+    order = rows[np.argsort(ids[rows], kind="stable")]
+    again = ids[order][1:] == ids[order][:-1]
+    if not again.any():
+        return rows
+    seen: set[tuple[int, bytes]] = set()
+    keep = [r for r in order.tolist() if not ((key := (int(ids[r]), v[r].tobytes())) in seen or seen.add(key))]
+    return np.array(keep)
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
@@ -212,7 +225,7 @@ def search(table: DataFrame, queries: DataFrame | None = None, k: int = 20, reca
             v, out = matrix(t.column("v")), []
             cuts = bounds(g)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                a, c = lo + np.flatnonzero(q[lo:hi]), lo + np.flatnonzero(~q[lo:hi])
+                a, c = (once(lo + np.flatnonzero(x), ids, v) for x in (q[lo:hi], ~q[lo:hi]))  # repeats share a group
                 if len(a) and len(c):
                     for n, (s, i) in zip(a.tolist(), index.scan(v[a], ids[a], v[c], ids[c], k)):
                         out.append((np.full(len(s), ids[n]), i, s))
