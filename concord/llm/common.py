@@ -29,11 +29,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later stages start from there, not from its lineage.
 
     The shuffle files of the write are released as soon as it is done; a lost executor costs nothing, as the table
-    is in shared storage.
+    is in shared storage. Its path is added to `into`, for tables that `discard` removes once nothing reads them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -47,9 +47,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(conf)
         else:
             spark.conf.set(conf, before)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
