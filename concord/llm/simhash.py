@@ -8,8 +8,8 @@ differ in at most `radius` blocks, so they agree on all the others, and every ch
 key (pigeonhole; no link is lost). Each shard's tree is a BK-tree: a child hangs under the integer Hamming distance
 to its parent, and a search follows only edges within distance +- radius. Trees and their queries are sent to the
 tasks by a shuffle, not by a broadcast, since the number of distinct fingerprints grows with the corpus. A shard of
-more than `chunk` members is dealt into chunks, and each pair of chunks is searched in a task of its own, so that no
-group has to fit one task. A task returns a spanning forest of the links it found, never all pairs.
+more than `chunk` members is dealt into chunks (see `search`), so that no group has to fit one task. A task returns a
+spanning forest of the links it found, never all pairs.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; equal texts share a
 fingerprint; repeated rows give repeated rows; an empty table gives an empty table; columns other than doc_id and
@@ -18,7 +18,7 @@ text are ignored; rows with a null doc_id are fingerprinted and linked but never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -114,18 +114,16 @@ class Forest:
         return True
 
 
-def fingerprints(docs: DataFrame, size: int, extra: list[str] = []) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp: long, and the `extra` columns)."""
+def fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, fp: long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [fingerprint_of(shingle_hashes((t or b"").lower().split(), size)) for t in batch.column("text").to_pylist()]
             fp = np.array(out, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *[batch.column(c) for c in extra]], ["doc_id", "fp", *extra])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *extra)
-    kinds = dict(kept.dtypes)
-    return kept.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{c} {kinds[c]}" for c in extra]]))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def shard_keys(fp, radius: int, blocks: int):
@@ -144,17 +142,38 @@ def blocks_for(n: int, radius: int) -> int:
     return blocks
 
 
-def chunked(rows: DataFrame, key: str, by: str, chunk: int) -> DataFrame:
-    """rows with a shard key -> the same rows with `g` for each group they are searched in and their side in it.
+def deal(rows: DataFrame, key: str, chunk: int) -> DataFrame:
+    """rows with a shard key -> those of shards of two or more, with c: the number of chunks of their shard."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, key).withColumn("c", F.ceil(F.col("n") / chunk).cast("int")).drop("n")
+
+
+def search(dealt: DataFrame, key: str, by: str, chunk: int, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that connect what is linked within a shard; scan takes rows with a group `g` and links within groups.
 
-    Shards of one member have nothing to search and go. A shard of c chunks gives c * (c + 1) / 2 groups of at most
-    about 2 * chunk rows; a row is in c of them.
+    A shard of one chunk is one group. A larger one is dealt into chunks twice, by two hashes: that joins the bulk of a
+    group of copies, whatever its size, in one pass. Then only the members outside the shard's most frequent component
+    are left to be searched against all; a pair within that component needs no further look. So no link is lost, and a
+    group of n copies costs in proportion to n, not to its square.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    dealt = rows.join(sizes, key).withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
-    own = F.pmod(F.xxhash64(F.col(by), F.lit("chunk")), F.col("c")).cast("int")
-    other = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    return other.withColumn("g", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", F.col("own") > F.col("other")).drop("n", "c", "own", "other")
+    part = lambda salt, n: F.pmod(F.xxhash64(F.col(by), F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = dealt.where("c = 1").withColumn("g", F.xxhash64(key))
+    large = dealt.where("c > 1")
+    twice = large.withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice = twice.withColumn("g", F.xxhash64(key, "deal", F.when(F.col("deal") == 0, part("first", "c")).otherwise(part("second", "c")))).drop("deal")
+    found = cut(scan(one.unionByName(twice).drop("c", key)), "links")
+    if large.isEmpty():
+        return found
+    labels = components(found)
+    marked = cut(large.join(labels, F.col(by) == F.col("node"), "left").withColumn("label", F.coalesce("label", by)).drop("node"), "marked")
+    sizes = marked.groupBy(key, "label").agg(F.count("*").alias("m"))
+    bulk = sizes.groupBy(key).agg(F.max_by("label", F.struct("m", "label")).alias("bulk"), (F.sum("m") - F.max("m")).alias("r")).where("r > 0")
+    open_rows = marked.join(bulk.withColumn("rc", F.ceil(F.col("r") / chunk).cast("int")).drop("r"), key)
+    rest = open_rows.where("label <> bulk").withColumn("i", part("rest", "rc")).withColumn("j", each("c"))
+    every = open_rows.withColumn("j", part("all", "c")).withColumn("i", each("rc"))
+    pairs = rest.unionByName(every).withColumn("g", F.xxhash64(key, "i", "j", F.lit("rest")))
+    return found.union(scan(pairs.drop("c", "rc", "i", "j", "label", "bulk", key)))
 
 
 def links_in(fps: list[int], radius: int, linked=None) -> list[tuple[int, int]]:
@@ -185,7 +204,7 @@ def fingerprint_links(distinct: DataFrame, radius: int, blocks: int, chunk: int
             yield pa.RecordBatch.from_arrays([pa.array(fp[a] if a else fp[:0]), pa.array(fp[b] if b else fp[:0])], ["a", "b"])
 
     rows = distinct.select("fp", F.explode(shard_keys(F.col("fp"), radius, blocks)).alias("key"))
-    return by_key(chunked(rows, "key", "fp", chunk).select("g", "fp"), "g", run, "a long, b long")
+    return search(cut(deal(rows, "key", chunk), "shards"), "key", "fp", chunk, lambda groups: by_key(groups.select("g", "fp"), "g", run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, chunk: int = 1024) -> DataFrame:
@@ -200,7 +219,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, chunk: int
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, shards: int = 4, chunk: int = 1024) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, shards: int = 4, chunk: int = 512) -> DataFrame:
     """Which documents repeat an earlier one: docs(doc_id, text) -> (doc_id, component_id).
 
     Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles is `similarity` or more.
@@ -263,10 +282,11 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     prints = cut(kept.mapInArrow(sketch, "doc_id long, same long, fp long, mins array<long>"), "sketches")
     classes = cut(prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "mins")).alias("s")), "classes")
     keyed = classes.select("same", "first", "s.fp", F.posexplode("s.mins").alias("n", "min"))
-    grouped = cut(chunked(keyed.select("same", "first", "fp", F.xxhash64("n", "min").alias("key")), "key", "same", chunk).select("g", "same", "first", "fp"), "groups")
-    members = grouped.select("same", F.col("first").alias("doc_id")).distinct()
+    dealt = cut(deal(keyed.select("same", "first", "fp", F.xxhash64("n", "min").alias("key")), "key", chunk), "shards")
+    members = dealt.select("same", F.col("first").alias("doc_id")).distinct()
     sets = cut(kept.mapInArrow(shingles, "doc_id long, same long, sh binary").join(members, ["same", "doc_id"]).dropDuplicates(["same"]).select("same", "sh"), "sets")
-    edges = by_key(grouped.join(sets, "same").select("g", "fp", "same", "sh"), "g", run, "a long, b long")
+    scan = lambda groups: by_key(groups.join(sets, "same").select("g", "fp", "same", "sh"), "g", run, "a long, b long")
+    edges = search(dealt.drop("first"), "key", "same", chunk, scan)
     labels = components(edges)
     named = classes.join(labels, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("label", "same").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
