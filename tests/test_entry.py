@@ -1,3 +1,4 @@
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -41,6 +42,8 @@ def shared_scores():
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_against_sql(spark, duck, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("PythonUDF|Pandas|InArrow|ArrowEval|BatchEval", plan)
     got = [tuple(r) for r in df.collect()]
     want = duck.execute(oracle.oracle_sql()[name])
     columns = [d[0] for d in want.description]
