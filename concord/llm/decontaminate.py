@@ -3,12 +3,16 @@
 The CGK random walk (Chakraborty, Goldenberg, Koucky, 2016) reads a string with a pointer: at every step it writes the
 symbol under the pointer, and moves on by the random bit that the step has for that symbol. Strings at a small edit
 distance, walked with the same bits, soon write the same symbols again, so edit distance becomes Hamming distance.
-Here the symbols are words. The embeddings of all windows of a document (one begins at each word, as long as the item
-it is compared to) are sampled at a few steps; equal samples make a candidate (bit-sampling LSH), several walks with
-different bits bring the recall, and an exact edit distance on the candidate's window decides.
+Here the symbols are words. An item of n words, `slack` = tolerance * n of which may be edited, is cut into slack + 1
+disjoint pieces that cover all of it: every edit spoils one piece at most, so a text within the tolerance holds at
+least one piece unedited. The embeddings of the pieces, sampled at a few of the steps at which the walk is still within
+the piece, are looked for from every word of a document (bit-sampling LSH). The same bits on the same words write the
+same symbols, so an unedited piece always collides, and the recall is 1 wherever in the item the edits are. Each piece
+is looked for by that one of several walks whose samples show most of its words. An exact edit distance on the window
+that the item would fill around the piece decides.
 
-A walk stops as soon as its samples so far match no item's, which changes nothing in the result: most windows end
-after the first sample. The items are the only broadcast: a benchmark is a list of questions, and its size is checked.
+A walk stops as soon as its samples so far match no piece's, which changes nothing in the result: most windows end
+after the first samples. The items are the only broadcast: a benchmark is a list of questions, and its size is checked.
 
 A document is contaminated if some part of it is within edit distance `tolerance` * (words of the item) of an item.
 
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W_]+")
 #: Words of all items together that are broadcast at most; a larger benchmark is to be given in parts.
 MAX_ITEM_WORDS = 5_000_000
-#: (least words of an item, steps of the walk that may be sampled, samples a walk, walks)
-BANDS = ((16, 20, 4, 12), (6, 7, 3, 8), (1, 1, 1, 1))
+#: Walks, their steps, and how many of these are sampled
+WALKS, STEPS, SAMPLES = 4, 12, 7
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,78 +58,91 @@ def distance_within(item: list[int], text: list[int]) -> int:
     return best
 
 
-class Band:
-    """Items of similar length with the walks that look for them."""
-
-    def __init__(self, items: dict[int, list[int]], vocabulary: int, least: int, steps: int, samples: int, walks: int, seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        self.walks = []
-        for k in range(walks):
-            skip = k % max(1, least // 4)  # walks begin at different words of the item, so that its first may be edited
-            bits = rng.integers(0, 2, size=(steps, vocabulary + 2), dtype=np.int8)
-            chosen = sorted({0, *rng.choice(steps, size=min(samples, steps), replace=False).tolist()}) if steps > 1 else [0]
-            chosen = chosen if len(chosen) <= samples else chosen[:1] + chosen[2:]
-            written: dict[int, list[int]] = {}
-            for item, words in items.items():
-                p, out = skip, []
-                for step in range(chosen[-1] + 1):
-                    symbol = words[p] if p < len(words) else vocabulary + 1
-                    if step in chosen:
-                        out.append(symbol)
-                    p += int(bits[step, symbol])
-                written[item] = out
-            tables = []
-            for depth in range(len(chosen)):
-                keys: dict[tuple, int] = {}
-                for out in written.values():
-                    keys.setdefault(tuple(out[: depth + 1]), len(keys))
-                # A node of the trie of samples: (parent node, symbol) -> node
-                parents = keys if depth == 0 else tables[-1][1]
-                node = {((parents[k[:-1]] if depth else 0) * (vocabulary + 2) + k[-1]): v for k, v in keys.items()}
-                tables.append((node, keys))
-            sorted_tables = []
-            for node, _ in tables:
-                at = np.array(sorted(node), dtype=np.int64)
-                sorted_tables.append((at, np.array([node[k] for k in at.tolist()], dtype=np.int64)))
-            leaves: dict[int, list[int]] = {}
-            for item, out in written.items():
-                leaves.setdefault(tables[-1][1][tuple(out)], []).append(item)
-            self.walks.append((bits, chosen, sorted_tables, leaves))
-
-    def candidates(self, ids: np.ndarray, starts: np.ndarray, vocabulary: int) -> Iterator[tuple[int, int]]:
-        """(window start, item) pairs; ids ends with as many stop symbols as a walk has steps."""
-        for bits, chosen, tables, leaves in self.walks:
-            begin, p = starts, starts
-            node = np.zeros(len(starts), dtype=np.int64)
-            depth = 0
-            for step in range(chosen[-1] + 1):
-                symbol = ids[p]
-                if step == chosen[depth]:
-                    at, to = tables[depth]
-                    if depth == 0:  # by a table over the vocabulary: this one sees every window
-                        first = np.full(vocabulary + 2, -1, dtype=np.int64)
-                        first[at] = to
-                        node = first[symbol]
-                        keep = np.flatnonzero(node >= 0)
-                        node = node[keep]
-                    else:
-                        key = node * (vocabulary + 2) + symbol
-                        where = np.minimum(np.searchsorted(at, key), len(at) - 1)
-                        keep = np.flatnonzero(at[where] == key)
-                        node = to[where[keep]]
-                    begin, p, symbol = begin[keep], p[keep], symbol[keep]
-                    depth += 1
-                    if not len(p):
-                        break
-                p = p + bits[step][symbol]
-            else:
-                for start, leaf in zip(begin.tolist(), node.tolist()):
-                    for item in leaves[leaf]:
-                        yield start, item
+def pieces(n: int, slack: int) -> list[tuple[int, int]]:
+    """Start and end of slack + 1 disjoint pieces that cover n words."""
+    cuts = [n * k // (slack + 1) for k in range(slack + 2)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+class Walk:
+    """Random bits by step and symbol, the sampled steps, and a trie of the samples of the pieces it looks for."""
+
+    def __init__(self, vocabulary: int, rng: np.random.Generator) -> None:
+        self.bits = rng.integers(0, 2, size=(STEPS, vocabulary + 2), dtype=np.int8)
+        self.chosen = [0, *sorted((1 + rng.choice(STEPS - 1, size=SAMPLES - 1, replace=False)).tolist())]
+        self.width = vocabulary + 2
+        self.nodes: list[dict[int, int]] = [{} for _ in self.chosen]
+        self.leaves: list[dict[int, list[tuple[int, int]]]] = [{} for _ in self.chosen]
+
+    def places(self, words: list[int]) -> list[int]:
+        """Where in the piece each sample is taken; the walk ends with the piece."""
+        p, out = 0, []
+        for step in range(self.chosen[-1] + 1):
+            if p == len(words):
+                break
+            if step in self.chosen:
+                out.append(p)
+            p += int(self.bits[step, words[p]])
+        return out
+
+    def add(self, words: list[int], leaf: tuple[int, int]) -> None:
+        node = 0
+        places = self.places(words)
+        for depth, p in enumerate(places):
+            own = self.nodes[depth]
+            node = own.setdefault(node * self.width + words[p], len(own))
+        self.leaves[len(places) - 1].setdefault(node, []).append(leaf)
+
+    def close(self) -> None:
+        """The trie as arrays: sorted keys and nodes by depth, and each node's range in the list of its (item, offset)s."""
+        self.tables, self.ends = [], []
+        for node, leaves in zip(self.nodes, self.leaves):
+            at = np.array(sorted(node), dtype=np.int64)
+            self.tables.append((at, np.array([node[k] for k in at.tolist()], dtype=np.int64)))
+            counts = np.array([len(leaves.get(v, ())) for v in range(len(node))], dtype=np.int64)
+            flat = np.array([x for v in range(len(node)) for x in leaves.get(v, ())], dtype=np.int64).reshape(-1, 2)
+            self.ends.append((counts, np.cumsum(counts) - counts, flat))
+        self.first = np.full(self.width, -1, dtype=np.int64)
+        self.first[self.tables[0][0]] = self.tables[0][1]
+        del self.nodes, self.leaves
+
+    def candidates(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start of a piece in ids, item, offset of the piece in the item); ids ends with STEPS stop symbols or more."""
+        begin = p = starts
+        node = np.zeros(len(starts), dtype=np.int64)
+        depth = 0
+        for step in range(self.chosen[-1] + 1):
+            symbol = ids[p]
+            if step == self.chosen[depth]:
+                at, to = self.tables[depth]
+                if not len(at):
+                    return
+                if depth == 0:  # by a table over the vocabulary: this one sees every window
+                    node = self.first[symbol]
+                    keep = np.flatnonzero(node >= 0)
+                    node = node[keep]
+                else:
+                    key = node * self.width + symbol
+                    where = np.minimum(np.searchsorted(at, key), len(at) - 1)
+                    keep = np.flatnonzero(at[where] == key)
+                    node = to[where[keep]]
+                begin, p, symbol = begin[keep], p[keep], symbol[keep]
+                counts, lo, flat = self.ends[depth]
+                own = counts[node]
+                if own.any():
+                    rank = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                    leaf = flat[np.repeat(lo[node], own) + rank]
+                    yield np.repeat(begin, own), leaf[:, 0], leaf[:, 1]
+                depth += 1
+                if not len(p):
+                    return
+            p = p + self.bits[step][symbol]
 
 
 class Finder:
     def __init__(self, items: list[tuple[int, list[str]]], tolerance: float, seed: int = 11) -> None:
+        if not 0 <= tolerance < 1:
+            raise ValueError(f"tolerance {tolerance}: a share of an item's words, below 1")
         self.tolerance = tolerance
         self.ids: dict[str, int] = {}
         for _, words in items:
@@ -133,18 +150,21 @@ class Finder:
                 self.ids.setdefault(w, len(self.ids) + 1)  # 0: in no item
         self.stop = len(self.ids) + 1
         self.items = {i: [self.ids[w] for w in words] for i, words in items}
-        self.bands, above = [], 1 << 62
-        for k, (least, steps, samples, walks) in enumerate(BANDS):
-            own = {i: w for i, w in self.items.items() if least <= len(w) < above}
-            if own:
-                self.bands.append(Band(own, len(self.ids), least, steps, samples, walks, seed + k))
-            above = least
+        self.names = list(self.items)
+        rng = np.random.default_rng(seed)
+        self.walks = [Walk(len(self.ids), rng) for _ in range(WALKS)]
+        for n, words in enumerate(self.items.values()):
+            for lo, hi in pieces(len(words), int(tolerance * len(words))):
+                best = max(self.walks, key=lambda w: len(set(w.places(words[lo:hi]))))  # noqa: B023
+                best.add(words[lo:hi], (n, lo))
+        for w in self.walks:
+            w.close()
 
     def find(self, texts: list[str | None]) -> list[list[int]]:
         """Items that each text holds."""
         found: list[set[int]] = [set() for _ in texts]
         get, parts, owner = self.ids.get, [], []
-        pad = [self.stop] * 32
+        pad = [self.stop] * (STEPS + 1)
         for n, text in enumerate(texts):
             words = words_of(text)
             if words:
@@ -155,18 +175,24 @@ class Finder:
             return [[] for _ in texts]
         ids = np.concatenate(parts)
         ends = np.cumsum([len(x) for x in parts])
-        starts = np.flatnonzero((ids > 0) & (ids < self.stop))  # each walk's first sample is the window's first word
-        pairs = {pair for band in self.bands for pair in band.candidates(ids, starts, len(self.ids))}
-        by_item: dict[int, list[int]] = {}
-        for start, item in pairs:
-            by_item.setdefault(item, []).append(start)
-        for item, places in by_item.items():
+        starts = np.flatnonzero((ids > 0) & (ids < self.stop))  # each walk's first sample is the piece's first word
+        hits = [hit for walk in self.walks for hit in walk.candidates(ids, starts)]
+        if not hits:
+            return [[] for _ in texts]
+        start, number, offset = (np.concatenate(x) for x in zip(*hits))
+        order = np.argsort(number, kind="stable")
+        cuts = np.searchsorted(number[order], np.arange(len(self.names) + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            item, own = self.names[k], order[cuts[k] : cuts[k + 1]]
             words = self.items[item]
             slack = int(self.tolerance * len(words))
-            at = np.sort(np.array(places))
+            # By the start of the piece and of the item around it: the same place may be met through several pieces.
+            at, before = start[own], offset[own]
             doc = np.searchsorted(ends, at, side="right")
-            lo = np.maximum(at - slack - 4, np.where(doc > 0, ends[doc - 1], 0))
-            reach = np.minimum(lo[:, None] + np.arange(len(words) + 2 * slack + 6), len(ids) - 1)
+            lo = np.maximum(at - before - slack, np.where(doc > 0, ends[doc - 1], 0))
+            lo, first = np.unique(lo, return_index=True)
+            doc = doc[first]
+            reach = np.minimum(lo[:, None] + np.arange(len(words) + 2 * slack), len(ids) - 1)
             window = ids[reach]
             window = np.where(np.maximum.accumulate(window == self.stop, axis=1), self.stop, window)
             enough = np.isin(window, words).sum(axis=1) >= len(words) - slack  # as many shared words as the distance needs

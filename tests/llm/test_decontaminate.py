@@ -93,3 +93,33 @@ def test_nulls_repeats_long_texts_and_empty(spark):
     assert got == [(0, [5]), (1, []), (2, []), (3, [5]), (3, [5]), (4, [])]
     assert decontaminate.remove(df, spark.createDataFrame([], ITEMS)).count() == 6
     assert decontaminate.matches(spark.createDataFrame([], DOCS), bench).collect() == []
+
+
+def test_whole_recall_wherever_the_edits_are():
+    rng = random.Random(5)
+    fresh = iter(range(10**6))
+    own = lambda k: [f"w{rng.randrange(400)}" for _ in range(k)]
+    noise = lambda k: [f"n{next(fresh)}" for _ in range(k)]
+    items = [(n, own(n)) for n in (3, 4, 5, 6, 9, 10, 15, 16, 20, 33, 64, 100)]
+    finder = decontaminate.Finder(items, 0.2)
+    for n, words in items:
+        slack = int(0.2 * n)
+        at = sorted(rng.sample(range(n), slack))
+        copies = {
+            "head cut": words[slack:], "head replaced": noise(slack) + words[slack:], "tail cut": words[: n - slack],
+            "middle cut": words[: n // 2] + words[n // 2 + slack :], "spread": [noise(1)[0] if i in at else w for i, w in enumerate(words)],
+            "added": [x for i, w in enumerate(words) for x in ([*noise(1), w] if i in at else [w])],
+        }
+        for name, copy in copies.items():
+            for text in (copy, noise(30) + copy, copy + noise(30), noise(7) + copy + noise(50)):
+                assert n in finder.find([" ".join(text)])[0], (n, name)
+    one_more = noise(1) + words[21:]
+    assert slow_distance(words, one_more) == 21 and finder.find([" ".join(one_more)]) == [[]]
+
+
+@pytest.mark.parametrize("edit", [0.1, 0.2])
+def test_same_as_brute_force(edit):
+    for seed in range(3, 6):
+        items, docs = made(seed, edit)
+        got = decontaminate.Finder(items, 0.2).find([" ".join(t) for _, t in docs])
+        assert [set(g) for g in got] == [{i for i, w in items if slow_distance(w, t) <= int(0.2 * len(w))} for _, t in docs]
