@@ -130,3 +130,23 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+def test_near_copies_with_repeated_passages_and_few_shingles(spark):
+    rng = random.Random(8)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for _ in range(4):  # each with an own passage, many times
+        shared = words(2000)
+        rows += [" ".join(shared + words(14) * 50) for _ in range(2)]
+        line = words(12)
+        rows += [" ".join(line + shared[::-1]), " ".join(line * 300 + shared[::-1])]
+    for _ in range(200):  # four shingles of five, of which one more makes 0.8
+        short = words(9)
+        rows += [" ".join(short), " ".join(short[:-1])]
+    docs = spark.createDataFrame([(i, t, None, 0) for i, t in enumerate(rows)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    pairs = [(i, i + 1) for i in range(0, len(rows), 2)]
+    assert all(jaccard(rows[i], rows[j]) >= 0.8 for i, j in pairs)
+    assert all(got[i] == got[j] == i for i, j in pairs[:8])
+    assert sum(got[j] == i for i, j in pairs[8:]) >= 198  # 0.0016 share no shard
