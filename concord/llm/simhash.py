@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -219,8 +220,17 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, chunk: int
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def same_of(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, shards: int = 4, chunk: int = 512) -> DataFrame:
-    """Which documents repeat an earlier one: docs(doc_id, text) -> (doc_id, component_id).
+    """Which documents repeat an earlier one: docs(doc_id, text) -> (doc_id, component_id); see `copy_groups`."""
+    return copy_groups(docs, size, similarity, radius, shards, chunk).select("doc_id", "component_id")
+
+
+def copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, shards: int = 4, chunk: int = 512) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, same, component_id, component_same): each row's id and text, and those of its group.
 
     Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles is `similarity` or more.
     SimHash fingerprints of these sets (a repeated shingle counts once, unlike in `fingerprints`) within `radius` are the
@@ -241,7 +251,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
                 words = (text or b"").lower().split()
                 h = np.unique(shingle_hashes(words, size))
                 fps.append(fingerprint_of(h))
-                same.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                same.append(same_of(words))
                 if len(h):
                     mins.append([int((((h * m) ^ ((h * m) >> np.uint64(29))) * c).min().view(np.int64)) for m, c in mixers])
                 else:
@@ -249,13 +259,20 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(same), signed(fps), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "mins"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nameless: set[int] = set()  # texts without doc_id that this task has sent
         for batch in batches:
-            same, sets = [], []
-            for text in batch.column("text").to_pylist():
+            ids, same, sets = [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = (text or b"").lower().split()
-                same.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                own = same_of(words)
+                if doc is None:
+                    if own in nameless:
+                        continue
+                    nameless.add(own)
+                ids.append(doc)
+                same.append(own)
                 sets.append(np.unique((shingle_hashes(words, size) >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(same), pa.array(sets, pa.binary())], ["doc_id", "same", "sh"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(same), pa.array(sets, pa.binary())], ["doc_id", "same", "sh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "g"):
@@ -287,29 +304,44 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     classes = cut(prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "mins")).alias("s")), "classes")
     keyed = classes.select("same", "first", "s.fp", F.posexplode("s.mins").alias("n", "min"))
     dealt = cut(deal(keyed.select("same", "first", "fp", F.xxhash64("n", "min").alias("key")), "key", chunk), "shards")
-    members = dealt.select("same", F.col("first").alias("doc_id")).distinct()
-    sets = cut(kept.mapInArrow(shingles, "doc_id long, same long, sh binary").join(members, ["same", "doc_id"]).dropDuplicates(["same"]).select("same", "sh"), "sets")
+    members = dealt.select(F.col("same").alias("member"), "first").distinct()
+    held = kept.mapInArrow(shingles, "doc_id long, same long, sh binary")
+    one = (F.col("same") == F.col("member")) & F.col("doc_id").eqNullSafe(F.col("first"))  # a text may have no doc_id at all
+    sets = cut(held.join(members, one).dropDuplicates(["same"]).select("same", "sh"), "sets")
     scan = lambda groups: by_key(groups.join(sets, "same").select("g", "fp", "same", "sh"), "g", run, "a long, b long")
     edges = search(dealt.drop("first"), "key", "same", chunk, scan)
     labels = components(edges)
     named = classes.join(labels, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("label", "same").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    table = named.join(least, "label").select("same", "component_id")
-    return prints.select("doc_id", "same").join(table, "same").select("doc_id", "component_id")
+    named_first = F.when(F.col("first").isNotNull(), F.struct("first", "same"))
+    least = named.groupBy("label").agg(F.min(named_first).alias("least"))
+    table = named.join(least, "label").select("same", F.col("least.first").alias("component_id"), F.col("least.same").alias("component_same"))
+    return prints.select("doc_id", "same").join(table, "same").select("doc_id", "same", "component_id", "component_same")
+
+
+def _same(text):
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        out = np.array([same_of((t or b"").lower().split()) for t in texts], dtype=np.uint64)
+        return pd.Series(out.view(np.int64))
+
+    return of(text.cast("binary"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the near copies: of each group the row with the smallest doc_id stays, once, with its own columns.
 
-    Rows with a null doc_id stay, as they can't be told apart; of rows that repeat a doc_id one stays.
+    Rows with a null doc_id stay, as they can't be told apart. Rows are told apart by doc_id and words: of those that
+    repeat both one stays, and different texts under one doc_id are judged each.
     """
-    groups = near_copies(docs, size, similarity)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    named = kept.where("doc_id is not null")
-    twice = groups.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
+    groups = cut(copy_groups(docs, size, similarity).where("doc_id is not null"), "groups")
+    own = [F.col("doc_id").alias("_id"), F.col("same").alias("_own")]
+    gone = groups.where("doc_id <> component_id or same <> component_same").select(*own).distinct()
+    marked = docs.withColumn("_same", _same(F.col("text")))
+    here = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_same") == F.col("_own"))
+    kept = marked.join(gone, here, "left_anti")
+    twice = groups.groupBy("doc_id", "same").agg(F.count("*").alias("_n")).where("_n > 1").select(*own)
     if twice.isEmpty():
-        return kept
-    again = named.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    single = kept.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    return single.unionByName(again)
+        return kept.drop("_same")
+    again = kept.join(twice, here, "left_semi").dropDuplicates(["doc_id", "_same"])
+    single = kept.join(twice, here, "left_anti")
+    return single.unionByName(again).drop("_same")

@@ -150,3 +150,15 @@ def test_near_copies_with_repeated_passages_and_few_shingles(spark):
     assert all(jaccard(rows[i], rows[j]) >= 0.8 for i, j in pairs)
     assert all(got[i] == got[j] == i for i, j in pairs[:8])
     assert sum(got[j] == i for i, j in pairs[8:]) >= 198  # 0.0016 share no shard
+
+
+def test_different_texts_under_one_or_no_doc_id(spark):
+    rng = random.Random(2)
+    base, other, lone = ([f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(3))
+    middle = base[:93]  # links base to far
+    far = base[14:93]
+    assert jaccard(" ".join(base), " ".join(far)) < 0.8 <= min(jaccard(" ".join(base), " ".join(middle)), jaccard(" ".join(middle), " ".join(far)))
+    rows = [(1, base, "a"), (None, middle, "b"), (3, far, "c"), (5, base, "d"), (5, other, "e"), (5, lone, "f"), (5, lone, "g")]
+    docs = spark.createDataFrame([(i, " ".join(t), s, 0) for i, t, s in rows], DOCS)
+    got = sorted(r["source"] for r in simhash.drop_near_copies(docs).collect())
+    assert got in (["a", "b", "e", "f"], ["a", "b", "e", "g"])
