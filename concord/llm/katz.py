@@ -3,7 +3,7 @@
 P(w | h) = d(c) * c(h, w) / c(h) for pairs seen at least `least` times, and a(h) * P(w) for all others; P(w) in turn is
 d(c) * c(w) / N for words seen in training and what is left for the unknown word. d is the Good-Turing discount of
 counts up to 5 (Katz, 1987); pairs below `least` give their whole mass to the backoff, as Katz proposed for single
-ones. a(h) makes each distribution sum to 1 exactly: what the seen successors of h leave, over what P leaves for the
+ones (the query keeps all: least = 1). a(h) makes each distribution sum to 1 exactly: what the seen successors of h leave, over what P leaves for the
 words that are not among them.
 
 The model is two tables in the shared folder, partitioned by `bucket`: words (word, count, log10 P, log10 a) and
@@ -362,5 +362,5 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, remainder: int = 2) -
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    return score(docs, train(docs))
+def score_documents(docs: DataFrame, least: int = 2) -> DataFrame:
+    return score(docs, train(docs, least))

@@ -27,7 +27,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(read(spark, sf_dir, "documents"))
+    return katz.score_documents(read(spark, sf_dir, "documents"), least=1)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from concord.llm import katz
+from concord.llm import katz, queries
 
 DOCS = "doc_id long, text string, n_tokens int, c string"
 
@@ -91,3 +91,31 @@ def test_empty_and_untrained(spark):
     lone = [(i, "a b", 1, "c") for i in range(50) if out(i)][:2]
     for r in katz.score_documents(spark.createDataFrame(lone, DOCS)).collect():
         assert (r["score"], r["base_score"], r["train_tokens"], r["n_known"]) == (0.0, 0.0, 0, 0)
+
+
+class Whole(Slow):
+    """Pairs count from 1 on."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.after = defaultdict(list)
+        for h, w in self.bi:
+            self.after[h].append(w)
+
+    def p(self, h, w):
+        c = self.bi.get((h, w), 0)
+        return (self.db[c - 1] if c <= 5 else 1) * c / self.first[h] if c else self.alpha(h) * self.low(w)
+
+
+def test_query_keeps_pairs_seen_once(spark, tmp_path):
+    data = rows()
+    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Whole([tokens(t) for i, t, *_ in data if not out(i)])
+    assert 1 in whole.bi.values()
+    texts = {i: ["<s>", *tokens(t), "</s>"] for i, t, *_ in data if i is not None and i != 9001}
+    got = {r["doc_id"]: r["score"] for r in queries.op5_katz_backoff(spark, str(tmp_path)).collect() if r["doc_id"] in texts}
+    assert got.keys() == texts.keys()
+    for i, w in texts.items():
+        assert got[i] == pytest.approx(sum(math.log10(whole.p(a, b)) for a, b in zip(w, w[1:])), rel=1e-9)
+    for h in list(whole.first)[:40]:
+        assert sum(whole.p(h, w) for w in whole.uni) + whole.alpha(h) * whole.unknown == pytest.approx(1, abs=1e-9)
