@@ -15,10 +15,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.partition("[")[0] == "local":
+        raise RuntimeError(f"spark.checkpoint.dir is unset: on {master} tables between stages need a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="concord-")
@@ -29,8 +32,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later stages start from there, not from its lineage.
+def cut(df: DataFrame, name: str, into: list[str] | None = None, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, partitioned `by` a column, and read it back: later stages start from
+    there, not from its lineage.
 
     The shuffle files of the write are released as soon as it is done; a lost executor costs nothing, as the table
     is in shared storage. Its path is added to `into`, for tables that `discard` removes once nothing reads them.
@@ -41,7 +45,7 @@ def cut(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     before = spark.conf.get(conf, None)
     spark.conf.set(conf, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(conf)
@@ -49,7 +53,7 @@ def cut(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
             spark.conf.set(conf, before)
     if into is not None:
         into.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

@@ -1,21 +1,27 @@
-"""Katz backoff bigram model: trained on a part of the corpus, it scores every document.
+"""Katz backoff trigram model: trained on a part of the corpus, it scores every document.
 
-P(w | h) = d(c) * c(h, w) / c(h) for pairs seen at least `least` times, and a(h) * P(w) for all others; P(w) in turn is
-d(c) * c(w) / N for words seen in training and what is left for the unknown word. d is the Good-Turing discount of
-counts up to 5 (Katz, 1987); pairs below `least` give their whole mass to the backoff, as Katz proposed for single
-ones (the query keeps all: least = 1). a(h) makes each distribution sum to 1 exactly: what the seen successors of h leave, over what P leaves for the
-words that are not among them.
+P(w | v u) = d(c) * c(v u w) / c(v u) for trigrams seen in training, and a(v u) * P(w | u) for all others; P(w | u) backs
+off in the same way to P(w) = d(c) * c(w) / N, and what that leaves is the unknown word's. d is the Good-Turing discount
+of counts up to 5 (Katz, 1987), of each order; every n-gram is kept, those seen once too. a(h) makes each distribution
+sum to 1 exactly: what the seen successors of h leave, over what the lower order leaves for the words not among them.
+Texts begin with two start symbols and end with an end symbol.
 
-The model is two tables in the shared folder, partitioned by `bucket`: words (word, count, log10 P, log10 a) and
-pairs (pair, log10 of the seen probability over the backed-off one), so that the recursion for a token is: the pair's
-entry if there is one, else the history's weight times the word's entry.
+How it runs. `encode` turns texts into chunks of numbers, once: a chunk is some documents, their distinct words and
+their tokens as places in that list. Then, order by order, chunks ask and buckets answer. A chunk sends its distinct
+n-grams with their training counts, packed, one row to a bucket; the bucket sums them over all chunks, keeps the totals
+as its part of the model, and sends each chunk the totals of what it asked for. So a task sees whole contexts and can
+normalise them, and a chunk then knows all counts of its own tokens and evaluates the recursion for each. Where an
+n-gram is unseen, the answer also has what its context's weight is made of.
 
-How it runs. Tasks turn texts into hashes and sort them with numpy. For counting, a task sends for each bucket one
-row that holds the distinct words and pairs of its documents with their counts; for scoring, one row that holds them
-with the documents that have them. So rows are few, and a frequent word is one entry of each task, never a hot key.
-Good-Turing's count of counts and the totals are aggregates of a few numbers. A document's parts meet in a sum by row.
+* Buckets hold whole contexts, of `BUCKET` tokens' n-grams at most: their number grows with the corpus. Contexts that
+  occur more often than `hot` are spread over all buckets by n-gram; their sums are few rows, added up by Spark. `hot`
+  is a share of the corpus, so that there are never more than `MAX_HOT` of them, which are sent to all tasks.
+* Each order is asked for in `SLICES` turns, each for a part of the buckets, which bounds the disk that shuffles take.
 
-Words are known by the 64-bit XXH64 of their bytes; pairs by a 64-bit mix of both (collisions: some n^2 / 2^65).
+The model is a table of each order in the shared folder, partitioned by bucket: `words` and `grams` read them as rows.
+
+Words are known by the 64-bit XXH64 of their bytes, contexts by 64 bits, an n-gram by its context and 40 more bits, which
+only have to tell the successors of one context apart.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id is held out; repeated rows are scored each
 (and counted each, if in training); very long texts are read whole; without training rows every word is unknown, of
@@ -34,16 +40,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from concord.llm.common import cut, discard, held_out, partitions
+from concord.llm.common import cut, discard, held_out
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Counts up to this one are discounted.
 TOP = 5
-#: Tokens that a task holds before it sends its rows on.
-FLUSH = 1_000_000
-#: Training tokens whose words and pairs one scoring task holds, about (32 buckets at least).
-BUCKET = 4_000_000
+#: Tokens of a chunk, about (a longer document is a chunk of its own).
+CHUNK = 1_500_000
+#: Tokens whose n-grams one bucket holds, about, and buckets at least.
+BUCKET, MIN_BUCKETS = 2_000_000, 64
+#: Turns in which an order's n-grams are asked for.
+SLICES = {2: 2, 3: 4}
+#: Contexts that are sent to all tasks at most (some 60 bytes each), and the least count that makes one hot.
+MAX_HOT, LEAST_HOT = 200_000, 100_000
+#: What is left for other words counts as this much at least, where rounding or undiscounted counts leave nothing.
+FLOOR = 1e-12
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -53,135 +65,386 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Compressed by byte planes: the high bytes of sorted hashes and of small numbers nearly vanish."""
-    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+    """Unsigned integers in the fewest bytes that hold them, compressed by byte planes."""
+    top = int(x.max()) if len(x) else 0
+    size = next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n)
+    x = x.astype(f"<u{size}")
+    return bytes([size]) + zstandard.compress(x.view(np.uint8).reshape(len(x), size).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    size = data[0]
+    planes = np.frombuffer(zstandard.decompress(data[1:]), dtype=np.uint8)
+    return planes.reshape(size, -1).T.copy().reshape(-1).view(f"<u{size}").astype(np.int64 if size < 8 else np.uint64)
+
+
+def pack_keys(x: np.ndarray) -> bytes:
+    """64-bit keys by their differences (modulo 2^64, so in any order); sorted ones are small."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data).astype(np.uint64), dtype=np.uint64)
+
+
+def pack_floats(x: np.ndarray) -> bytes:
+    return pack(x.astype(np.float64).view(np.uint64))
+
+
+def unpack_floats(data: bytes) -> np.ndarray:
+    return unpack(data).astype(np.uint64).view(np.float64)
+
+
+def bucket_of(route: np.ndarray, n: int) -> np.ndarray:
+    """Ranges of the upper 32 bits: keys in order are in the order of their buckets."""
+    return ((route >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
 
 
-def unpack(data: bytes, dtype) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
-    return planes.reshape(np.dtype(dtype).itemsize, -1).T.copy().reshape(-1).view(dtype)
+def _summed(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts) if len(starts) else x[:0]
 
 
-def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
-    return ((key >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+# Texts to chunks.
 
+_CHUNK = "chunk long, tokens long, words binary, tok binary, len binary, doc array<long>, out array<boolean>"
+
+
+class _Places(dict):
+    """word -> its place in a chunk's list of words; 0 and 1 are the start and end symbols."""
+
+    def __init__(self) -> None:
+        super().__init__({0: 0, 1: 1})
 
-class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:  # a cache only
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 0)
-        return h
-
-
-def _groups(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
-    """(hash of each token with START before and END after each text, its document, training flag by document, records)."""
-    lookup = _Hashes().__getitem__
-    parts: list[np.ndarray] = []
-    counts: list[int] = []
-    records: list = []
-    tokens = 0
-
-    def out():
-        return np.concatenate(parts), np.repeat(np.arange(len(counts)), counts), np.array([r[1] for r in records], dtype=bool), records
-
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("text", "doc_id", "out")]
-        for text, doc, held in zip(*cols):
-            if train_only and held:
-                continue
-            words = (text or b"").lower().split()
-            h = np.empty(len(words) + 2, dtype=np.uint64)
-            h[0], h[-1] = START, END
-            h[1:-1] = np.fromiter(map(lookup, words), dtype=np.uint64, count=len(words))
-            parts.append(h)
-            counts.append(len(h))
-            records.append((doc, not held, len(words) + 1))
-            tokens += len(h)
-            if tokens >= FLUSH:
-                yield out()
-                parts, counts, records, tokens = [], [], [], 0
-    if records:
-        yield out()
-
-
-def _slices(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by bucket, and where each bucket starts in it."""
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
-
-
-def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts keys, and start and length of each distinct one in it."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
-    return order, first, np.diff(np.append(first, len(s)))
-
-
-def _count_rows(n: int):
-    """Training texts -> rows (bucket, what: 1 words, 2 pairs, a, b, c: little-endian arrays)."""
+        self[word] = n = len(self)
+        return n
+
+
+def _encoded(limit: int):
+    def row(chunk: int, places: _Places, parts: list[np.ndarray], records: list[tuple]) -> pa.RecordBatch:
+        digest = xxhash.xxh64_intdigest
+        words = np.empty(len(places), dtype=np.uint64)
+        words[:2] = START, END
+        words[2:] = np.fromiter((digest(w, 0) for w in list(places)[2:]), dtype=np.uint64, count=len(places) - 2)
+        order = np.argsort(words)
+        place = np.empty(len(words), dtype=np.int64)
+        place[order] = np.arange(len(words))
+        tokens = place[np.concatenate(parts)]
+        lengths = np.array([n for _, _, n in records], dtype=np.int64)
+        cols = [[chunk], [int(lengths.sum())], [pack_keys(words[order])], [pack(tokens)], [pack(lengths)]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
+        arrays += [pa.array([[d for d, _, _ in records]], pa.list_(pa.int64())), pa.array([[o for _, o, _ in records]], pa.list_(pa.bool_()))]
+        return pa.RecordBatch.from_arrays(arrays, ["chunk", "tokens", "words", "tok", "len", "doc", "out"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, doc, _, _ in _groups(batches, True):
-            inner = doc[1:] == doc[:-1]
-            first, second = h[:-1][inner], h[1:][inner]
-            del h, doc, inner
-            yield _count_batch(1, second, second, second, n)  # every word and every end is the second of one pair
-            yield _count_batch(2, pair_key(first, second), first, second, n)
+        chunk = TaskContext.get().partitionId() << 32
+        places, parts, records, tokens = _Places(), [], [], 0
+        for batch in batches:
+            for text, doc, out in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "out"))):
+                words = (text or b"").lower().split()
+                own = np.zeros(len(words) + 3, dtype=np.int32)
+                own[-1] = 1
+                own[2:-1] = np.fromiter(map(places.__getitem__, words), dtype=np.int32, count=len(words))
+                parts.append(own)
+                records.append((doc, out, len(words) + 1))
+                tokens += len(own)
+                if tokens >= limit:
+                    yield row(chunk, places, parts, records)
+                    places, parts, records, tokens, chunk = _Places(), [], [], 0, chunk + 1
+        if records:
+            yield row(chunk, places, parts, records)
+
+    return run
+
+
+class Chunk:
+    """A row of the table of chunks: for each token its word w, the words v and u before it, and whether it is trained on."""
+
+    def __init__(self, row: dict) -> None:
+        self.row = row
+        self.words, tok, self.length = unpack_keys(row["words"]), unpack(row["tok"]), unpack(row["len"])
+        starts = np.cumsum(self.length + 2) - self.length - 2
+        inner = np.ones(len(tok), dtype=bool)
+        inner[starts] = inner[starts + 1] = False
+        at = np.flatnonzero(inner)
+        self.v, self.u, self.w = tok[at - 2], tok[at - 1], tok[at]
+        self.first = np.cumsum(self.length) - self.length  # each document's first token
+        self.trained = np.repeat(~np.array(row["out"], dtype=bool), self.length).astype(np.int64)
+        self.c1 = unpack(row["c1"]) if row.get("c1") else None
+        self.c2 = unpack(row["c2"]) if row.get("c2") else None
+
+    def histories(self, docs: int) -> np.ndarray:
+        """How often each word of the list is a history: as often as it occurs, the start symbol once a text."""
+        return np.where(self.words == START, docs, self.c1)
+
+
+class Stage:
+    """What tasks need to know once an order is counted: documents, tokens and words of the training part, the number of
+    buckets, the limit for hot contexts, discounts by order, and the hot contexts' parts by order."""
+
+    def __init__(self, buckets: int, hot: int) -> None:
+        self.buckets, self.hot = buckets, hot
+        self.n = self.v = self.docs = 0
+        self.unknown = 1.0
+        self.d: dict[int, np.ndarray] = {}
+        self.hot_parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def seen(self, order: int, c: np.ndarray, of: np.ndarray | float) -> np.ndarray:
+        """The discounted probability of what was seen c times."""
+        ratio = np.concatenate([[0.0], self.d[order], [1.0]])
+        return ratio[np.minimum(c, TOP + 1)] * c / np.maximum(of, 1)
+
+    def alpha(self, order: int, counts: np.ndarray, low: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Backoff weights from the contexts' numbers of successors seen 1 .. TOP times, their lower-order sum and count."""
+        lost = (1 - self.d[order]) * np.arange(1, TOP + 1)
+        left = (counts * lost).sum(axis=-1) / np.maximum(h, 1)
+        return np.where(h > 0, np.maximum(left, FLOOR) / np.maximum(1 - low, FLOOR), 1.0)
+
+
+class Entries:
+    """A chunk's distinct n-grams of an order, in the order in which they are sent: by route, which gives the bucket."""
+
+    def __init__(self, c: Chunk, order: int, stage: Stage, turn: tuple[int, int] = (0, 1)) -> None:
+        hist = c.histories(stage.docs)
+        if order == 2:
+            ctx, h, g, aux = c.words[c.u], hist[c.u], None, c.c1[c.w]
+        else:
+            ctx = pair_key(c.words[c.v], c.words[c.u])
+            h = np.empty(len(ctx), dtype=np.int64)
+            h[1:] = c.c2[:-1]
+            h[c.first] = stage.docs
+            g, aux = hist[c.u], c.c2
+        t = pair_key(ctx, c.words[c.w])
+        route = np.where(h >= stage.hot, t, ctx)
+        part, parts = turn
+        own = np.flatnonzero(bucket_of(route, stage.buckets) % parts == part) if parts > 1 else np.arange(len(t))
+        by_t = np.argsort(t[own])
+        s = t[own][by_t]
+        starts = _runs(s)
+        pick = own[by_t[starts]]
+        by_route = np.argsort(route[pick], kind="stable")
+        rank = np.empty(len(own), dtype=np.int64)
+        rank[by_t] = np.repeat(np.arange(len(starts)), _lengths(starts, len(s)))
+        place = np.empty(len(starts), dtype=np.int64)
+        place[by_route] = np.arange(len(starts))
+        self.of_token = place[rank]  # for each token (of this turn) its n-gram's place
+        pick = pick[by_route]
+        self.count = _summed(c.trained[own][by_t], starts)[by_route]
+        self.ctx, self.t, self.h, self.aux = ctx[pick], t[pick] >> np.uint64(24), h[pick], aux[pick]
+        self.g = None if g is None else g[pick]
+        self.bucket = bucket_of(route[pick], stage.buckets)
+        self.token_ctx, self.token_h = ctx, h
+
+
+_ASK = "bucket long, chunk long, ctx binary, run binary, t binary, count binary, aux binary, h binary, g binary"
+
+
+def _ask_words(stage: Stage):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row)
+                count = np.bincount(c.w[c.trained > 0], minlength=len(c.words))
+                bucket = bucket_of(c.words, stage.buckets)
+                cuts = np.append(_runs(bucket), len(bucket))
+                parts = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                cols = [[int(bucket[p.start]) for p in parts], [row["chunk"]] * len(parts), [pack_keys(c.words[p]) for p in parts], [pack(count[p]) for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "ctx", "count"])
+
+    return run
+
+
+def _ask(order: int, stage: Stage, turn: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                e = Entries(Chunk(row), order, stage, turn)
+                cuts = np.append(_runs(e.bucket), len(e.bucket))
+                cols: list[list] = [[] for _ in range(9)]
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    starts = a + _runs(e.ctx[a:b])
+                    g = b"" if e.g is None else pack(e.g[starts])
+                    packed = (pack_keys(e.ctx[starts]), pack(_lengths(starts, b)), pack(e.t[a:b]), pack(e.count[a:b]), pack(e.aux[a:b]), pack(e.h[starts]), g)
+                    for col, x in zip(cols, (int(e.bucket[a]), row["chunk"], *packed)):
+                        col.append(x)
+                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["bucket", "chunk", "ctx", "run", "t", "count", "aux", "h", "g"])
+
+    return run
+
+
+# Buckets: what 0 answers to chunks, 1 the model, 2 parts of hot contexts, 3 counts of counts.
+
+_TOLD = "what int, bucket long, chunk long, a binary, b binary, c binary, d binary, e binary, k long, " + ", ".join(f"n{r} long" for r in range(1, TOP + 2)) + ", low double"
+_NAMES = [x.split()[0] for x in _TOLD.split(", ")]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64(), *[pa.int64()] * (TOP + 1), pa.float64()]
+
+
+def _told(rows: list[dict]) -> pa.Table:
+    return pa.table({n: pa.array([r.get(n) for r in rows], k) for n, k in zip(_NAMES, _KINDS)})
+
+
+def _counts_of(total: np.ndarray) -> dict[str, int]:
+    return {f"n{r}": int((total == r).sum()) for r in range(1, TOP + 2)}
+
+
+def _answer_words(key: tuple, table: pa.Table) -> pa.Table:
+    """A bucket's words: totals to the chunks, the model's words, their number (n6 + 1 .. kept in k), and counts of counts."""
+    bucket = key[0].as_py()
+    asks = table.sort_by("chunk").to_pylist()
+    keys = [unpack_keys(r["ctx"]) for r in asks]
+    word, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate([unpack(r["count"]) for r in asks]).astype(float), minlength=len(word)).astype(np.int64)
+    rows, at = [], 0
+    for r, own in zip(asks, keys):
+        rows.append({"what": 0, "bucket": bucket, "chunk": r["chunk"], "a": pack(total[where[at : at + len(own)]])})
+        at += len(own)
+    seen = total > 0
+    end = int(total[word == END].sum())
+    rows.append({"what": 1, "bucket": bucket, "a": pack_keys(word[seen]), "d": pack(total[seen])})
+    rows.append({"what": 3, "bucket": bucket, "chunk": int(total.sum()), "k": int(seen.sum()), "low": float(end), **_counts_of(total)})
+    return _told(rows)
+
+
+def _answer(order: int, stage: Stage):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        asks = table.sort_by("chunk").to_pylist()
+        run_of = [unpack(r["run"]) for r in asks]
+        over = lambda name, read: np.concatenate([np.repeat(read(r[name]), n) for r, n in zip(asks, run_of)])
+        each = lambda name: np.concatenate([unpack(r[name]) for r in asks])
+        ctx, t = over("ctx", unpack_keys), each("t").astype(np.uint64)
+        ident = pair_key(ctx, t)
+        by = np.argsort(ident)
+        starts = _runs(ident[by])
+        total = _summed(each("count")[by], starts)
+        where = np.empty(len(by), dtype=np.int64)
+        where[by] = np.repeat(np.arange(len(starts)), _lengths(starts, len(by)))
+        pick = by[starts]
+        del ident, by, starts
+        of = float(max(stage.n, 1)) if order == 2 else over("g", unpack)[pick]
+        low, h = stage.seen(order - 1, each("aux")[pick], of), over("h", unpack)[pick]
+        # Contexts: the seen n-grams by context; unseen ones are of no account.
+        seen = np.flatnonzero(total > 0)
+        seen = seen[np.argsort(ctx[pick[seen]], kind="stable")]
+        own_ctx, own_total = ctx[pick[seen]], total[seen]
+        at = _runs(own_ctx)
+        heads, size = own_ctx[at], _lengths(at, len(own_ctx))
+        parts = np.stack([_summed((own_total == r).astype(np.int64), at) for r in range(1, TOP + 1)], axis=1) if len(at) else np.zeros((0, TOP), dtype=np.int64)
+        lows = _summed(low[seen], at)
+        hot = h[seen][at] >= stage.hot if len(at) else np.zeros(0, dtype=bool)
+        rows, lo = [], 0
+        for r, n in zip(asks, run_of):
+            hi = lo + int(n.sum())
+            own = total[where[lo:hi]]
+            row = {"what": 0, "bucket": bucket, "chunk": r["chunk"], "a": pack(own)}
+            if (own == 0).any():
+                asked = ctx[lo:hi][own == 0]
+                found = np.minimum(np.searchsorted(heads, asked), max(len(heads) - 1, 0))
+                hit = heads[found] == asked if len(heads) else np.zeros(len(asked), dtype=bool)
+                got = np.where(hit[:, None], parts[found], 0) if len(heads) else np.zeros((len(asked), TOP), dtype=np.int64)
+                row |= {"b": pack(got.T.ravel()), "c": pack_floats(np.where(hit, lows[found], 0.0) if len(heads) else np.zeros(len(asked)))}
+            rows.append(row)
+            lo = hi
+        rows.append({"what": 1, "bucket": bucket, "a": pack_keys(heads), "b": pack(size), "c": pack(t[pick[seen]]), "d": pack(own_total), "e": pack_floats(np.where(hot, np.nan, lows))})
+        for i in np.flatnonzero(hot).tolist():
+            rows.append({"what": 2, "k": int(heads[i].view(np.int64)), "low": float(lows[i]), **{f"n{r}": int(parts[i, r - 1]) for r in range(1, TOP + 1)}})
+        rows.append({"what": 3, "bucket": bucket, **_counts_of(total)})
+        return _told(rows)
 
     return run
 
 
-def _count_batch(what: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> pa.RecordBatch:
-    """One row for each bucket: the distinct keys' words and their counts."""
-    order, at, size = _unique(keys)
-    pick = order[at]
-    del order, at
-    bucket = bucket_of(keys[pick], n)
-    by = np.lexsort((a[pick], bucket))  # within a bucket by the first word, whose sorted hashes compress
-    cuts = np.searchsorted(bucket[by], np.arange(n + 1))
-    some = np.flatnonzero(np.diff(cuts)).tolist()
-    own = [by[cuts[i] : cuts[i + 1]] for i in some]
-    packed = lambda x: pa.array([pack(x[pick[o]]) for o in own], pa.binary())
-    second = packed(b) if what == 2 else pa.array([b""] * len(own), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([what] * len(some), pa.int32()), packed(a), second, pa.array([pack(size[o].astype(np.uint32)) for o in own], pa.binary())], ["bucket", "what", "a", "b", "c"])
-
-
-def _merge(table: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """A bucket's rows -> counts of its words; its pairs from `least` on; count of counts of its pairs."""
-    what = table.column("what").to_numpy()
-
-    def joined(name: str, kind: int, dtype) -> np.ndarray:
-        parts = [unpack(x, dtype) for x, w in zip(table.column(name).to_pylist(), what) if w == kind]
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
-
-    def summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order, at, _ = _unique(key)
-        return order[at], np.add.reduceat(count[order].astype(np.int64), at) if len(at) else np.zeros(0, dtype=np.int64)
-
-    names = ["what", "w1", "w2", "k", "c"]
-
-    def batch(kind: int, w1: np.ndarray, w2: np.ndarray | None, k: np.ndarray | None, c: np.ndarray) -> pa.RecordBatch:
-        ids = [pa.nulls(len(c), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (w1, w2, k)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, dtype=np.int32)), *ids, pa.array(c)], names)
-
-    word, count = joined("a", 1, np.uint64), joined("c", 1, np.uint32)
-    pick, total = summed(word, count)
-    word = word[pick]
-    for lo in range(0, len(word), 100_000):
-        own = slice(lo, lo + 100_000)
-        yield batch(1, word[own], None, None, total[own])
-    first, second, count = joined("a", 2, np.uint64), joined("b", 2, np.uint64), joined("c", 2, np.uint32)
-    key = pair_key(first, second)
-    pick, total = summed(key, count)
-    for r in range(1, TOP + 2):
-        yield batch(3, np.array([r], dtype=np.uint64), None, None, np.array([(total == r).sum()], dtype=np.int64))
-    keep = total >= least
-    pick, total = pick[keep], total[keep]
-    for lo in range(0, len(pick), 100_000):
-        own = pick[lo : lo + 100_000]
-        yield batch(2, first[own], second[own], key[own], total[lo : lo + 100_000])
+# Chunks, once answered.
+
+
+def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Totals in the order of the chunk's entries; parts and lower-order sums of the contexts of those that are unseen."""
+    rows = table.sort_by("bucket").to_pylist()
+    total = np.concatenate([unpack(r["a"]) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+    parts = [unpack(r["b"]).reshape(TOP, -1).T for r in rows if r["b"]]
+    lows = [unpack_floats(r["c"]) for r in rows if r["c"]]
+    return total, np.concatenate(parts) if parts else np.zeros((0, TOP), dtype=np.int64), np.concatenate(lows) if lows else np.zeros(0)
+
+
+def _weights(order: int, stage: Stage, e: Entries, total: np.ndarray, parts: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens whose n-gram is unseen, log10 of their contexts' backoff weights)."""
+    miss = np.flatnonzero(total == 0)
+    h, ctx = e.h[miss], e.ctx[miss]
+    keys, hot_parts, hot_lows = stage.hot_parts[order]
+    hot = h >= stage.hot
+    if hot.any():
+        at = np.searchsorted(keys, ctx[hot])
+        parts, lows = parts.copy(), lows.copy()
+        parts[hot], lows[hot] = hot_parts[at], hot_lows[at]
+    weight = np.zeros(len(total))
+    weight[miss] = np.log10(stage.alpha(order, parts, lows, h))
+    tokens = np.flatnonzero(total[e.of_token] == 0)
+    return tokens, weight[e.of_token[tokens]]
+
+
+def _with_words(stage: Stage):
+    def run(key: tuple, chunks: pa.Table, told: pa.Table) -> pa.Table:
+        total, _, _ = _answers(told)
+        return chunks.append_column("c1", pa.array([pack(total)], pa.binary()))
+
+    return run
+
+
+def _low(stage: Stage, c: Chunk, e: Entries, total: np.ndarray, parts: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """For each token whose pair is unseen the log10 of a(u) * P(w)."""
+    tokens, weight = _weights(2, stage, e, total, parts, lows)
+    count = c.c1[c.w[tokens]]
+    return weight + np.log10(np.where(count > 0, stage.seen(1, count, max(stage.n, 1)), stage.unknown))
+
+
+def _with_pairs(stage: Stage):
+    def run(key: tuple, chunks: pa.Table, told: pa.Table) -> pa.Table:
+        c = Chunk(chunks.to_pylist()[0])
+        e = Entries(c, 2, stage)
+        answers = _answers(told)
+        low = _low(stage, c, e, *answers)
+        return chunks.append_column("c2", pa.array([pack(answers[0][e.of_token])], pa.binary())).append_column("b1", pa.array([pack_floats(low)], pa.binary()))
+
+    return run
+
+
+def _scored(stage: Stage):
+    def run(key: tuple, chunks: pa.Table, told: pa.Table) -> pa.Table:
+        c = Chunk(chunks.to_pylist()[0])
+        e = Entries(c, 3, stage)
+        total, parts, lows = _answers(told)
+        c3 = total[e.of_token]
+        with np.errstate(divide="ignore"):
+            score = np.log10(stage.seen(3, c3, e.token_h))
+            pair = np.log10(stage.seen(2, c.c2, c.histories(stage.docs)[c.u]))
+        pair[c.c2 == 0] = unpack_floats(c.row["b1"])
+        tokens, weight = _weights(3, stage, e, total, parts, lows)
+        score[tokens] = weight + pair[tokens]
+        count = c.c1[c.w]
+        base = np.log10(count + 1.0) - np.log10(float(stage.n + stage.v + 1))
+        by_doc = lambda x: _summed(x, c.first)
+        return pa.table(
+            {
+                "doc_id": pa.array(c.row["doc"], pa.int64()), "held_out": pa.array(c.row["out"], pa.bool_()), "n_tokens": pa.array(c.length.astype(np.int64)),
+                "n_known": pa.array(by_doc((count > 0).astype(np.int64))), "base_score": pa.array(by_doc(base)), "score": pa.array(by_doc(score)),
+            }
+        )
+
+    return run
+
+
+# The job.
 
 
 def discounts(of: dict[int, int]) -> list[float]:
@@ -197,170 +460,137 @@ def discounts(of: dict[int, int]) -> list[float]:
     return out
 
 
-def _ratio(c, d: list[float]):
-    out = F.when(c == 1, d[0])
-    for r in range(2, TOP + 1):
-        out = out.when(c == r, d[r - 1])
-    return out.otherwise(1.0)
-
-
 class Model:
-    """Both tables, tokens and words of the training part, the unknown word's probability, the number of buckets."""
-
-    def __init__(self, words: DataFrame, pairs: DataFrame, n: int, v: int, unknown: float, buckets: int) -> None:
-        self.words, self.pairs, self.n, self.v, self.unknown, self.buckets = words, pairs, n, v, unknown, buckets
-
-
-def _prepared(docs: DataFrame, modulus: int, remainder: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id"), modulus, remainder).alias("out"))
-
-
-def train(docs: DataFrame, least: int = 2, modulus: int = 7, remainder: int = 2) -> Model:
-    """Count, discount and normalise; the tables are written to the shared folder."""
-    n, passing = partitions(docs.sparkSession), []
-    rows = _prepared(docs, modulus, remainder).mapInArrow(_count_rows(n), "bucket long, what int, a binary, b binary, c binary")
-    counts = cut(rows.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(list(_merge(t, least))), "what int, w1 long, w2 long, k long, c long"), "counts", passing)
-    words = counts.where("what = 1").select(F.col("w1").alias("w"), "c")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.coalesce(F.sum((F.col("c") == r).cast("long")), F.lit(0)).alias(f"n{r}") for r in range(1, TOP + 2)]).first()
-    of_words = discounts({r: total[f"n{r}"] for r in range(1, TOP + 2)})
-    of_pairs = discounts({r["w1"]: r["c"] for r in counts.where("what = 3").groupBy("w1").agg(F.sum("c").alias("c")).collect()})
-    p = _ratio(F.col("c"), of_words) * F.col("c") / F.lit(float(max(1, total["n"])))
-    words = words.withColumn("p", p)
-    mass = 1.0 - (words.agg(F.sum("p")).first()[0] or 0.0)
-    unknown = mass if mass > 1e-12 else 1e-12
-    # Every word is the first of a pair as often as it occurs; the start is so once a text, as the end is a second one.
-    begins = words.where(F.col("w") == F.lit(int(END.view(np.int64)))).select(F.lit(int(START.view(np.int64))).alias("h"), F.col("c").alias("ch"))
-    history = words.select(F.col("w").alias("h"), F.col("c").alias("ch")).union(begins)
-    pairs = counts.where("what = 2").select("w1", "w2", "k", "c")
-    seen = pairs.join(words.select(F.col("w").alias("w2"), F.col("p").alias("low")), "w2").join(history, F.col("w1") == F.col("h"))
-    seen = cut(seen.select("w1", "k", "low", (_ratio(F.col("c"), of_pairs) * F.col("c") / F.col("ch")).alias("high")), "seen", passing)
-    alpha = seen.groupBy("w1").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).select("w1", (F.greatest(1 - F.col("high"), F.lit(1e-12)) / F.greatest(1 - F.col("low"), F.lit(1e-12))).alias("alpha"))
-    alpha = cut(alpha, "alpha", passing)
-    spread = lambda c, n: F.shiftrightunsigned(c, 40) % n
-    buckets = max(32, total["n"] // BUCKET)
-    known = words.join(alpha, F.col("w") == F.col("w1"), "full").select(
-        F.coalesce("w", "w1").alias("k"), F.coalesce("c", F.lit(0)).cast("double").alias("c"), F.log10(F.coalesce("p", F.lit(unknown))).alias("lp"), F.log10(F.coalesce("alpha", F.lit(1.0))).alias("la")
-    )
-    above = seen.join(alpha, "w1").select("k", F.lit(-1.0).alias("c"), (F.log10("high") - F.log10("low") - F.log10("alpha")).alias("lp"), F.lit(0.0).alias("la"))
-    words = cut(known.withColumn("bucket", spread(F.col("k"), buckets)), "words")
-    pairs = cut(above.withColumn("bucket", spread(F.col("k"), buckets)), "pairs")
-    discard(docs.sparkSession, passing)
-    return Model(words, pairs, total["n"], total["v"], unknown, buckets)
-
-
-def _postings(n: int):
-    """Texts -> rows (bucket, what, base, k, d, t, m): distinct words (1) and pairs (2) with documents and times; 0: the documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        for h, doc, _, records in _groups(batches, False):
-            m = len(records)
-            inner = doc[1:] == doc[:-1]
-            pairs, where = pair_key(h[:-1][inner], h[1:][inner]), doc[1:][inner].astype(np.uint32)
-            yield _posting_batch(1, base, h, doc.astype(np.uint32), m, n)
-            del h, doc, inner
-            yield _posting_batch(2, base, pairs, where, m, n)
-            del pairs, where
-            for lo in range(0, len(records), 5000):
-                own = records[lo : lo + 5000]
-                z = len(own)
-                filled = lambda v, t: pa.array([v] * z, t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(base + lo + i) % n for i in range(z)], pa.int64()), filled(0, pa.int32()), pa.array([base + lo + i for i in range(z)], pa.int64()),
-                        *[filled(None, pa.binary())] * 4, pa.array([r[2] for r in own], pa.int64()), pa.array([r[0] for r in own], pa.int64()), pa.array([not r[1] for r in own], pa.bool_()),
-                    ],
-                    _COLS,
-                )
-            base += len(records)
-
-    return run
-
-
-def _posting_batch(what: int, base: int, keys: np.ndarray, owner: np.ndarray, m: int, n: int) -> pa.RecordBatch:
-    """One row for each bucket: distinct keys, how many documents each has, those documents, and how often in each."""
-    order = np.argsort(keys, kind="stable")  # stable: documents stay in order within a key
-    k, d = keys[order], owner[order]
-    del order
-    at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])) if len(k) else np.zeros(0, dtype=np.int64)
-    times = np.diff(np.append(at, len(k))).astype(np.uint32)
-    k, d = k[at], d[at].astype(np.uint16 if m < 65536 else np.uint32)
-    first_of = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
-    length = np.diff(np.append(first_of, len(k))).astype(np.uint32)
-    k = k[first_of]
-    bucket = bucket_of(k, n)
-    by_k, cuts_k = _slices(bucket, n)
-    by_r, cuts_r = _slices(np.repeat(bucket, length), n)
-    some = np.flatnonzero(np.diff(cuts_k)).tolist()
-    packed = lambda x, by, cuts: pa.array([pack(x[by[cuts[b] : cuts[b + 1]]]) for b in some], pa.binary())
-    z = len(some)
-    cols = [pa.array(some, pa.int64()), pa.array([what] * z, pa.int32()), pa.array([base] * z, pa.int64()), packed(k, by_k, cuts_k), packed(length, by_k, cuts_k), packed(d, by_r, cuts_r), packed(times, by_r, cuts_r)]
-    return pa.RecordBatch.from_arrays([*cols, pa.array([m] * z, pa.int64()), pa.nulls(z, pa.int64()), pa.nulls(z, pa.bool_())], _COLS)
-
-
-_COLS = ["bucket", "what", "base", "k", "n", "d", "t", "m", "doc_id", "out"]
-_ROW = "bucket long, what int, base long, k binary, n binary, d binary, t binary, m long, doc_id long, out boolean"
-
-
-def _scored(n: int, v: int, unknown: float):
-    """A bucket's postings and its part of the model -> (ref, doc_id, out, m, known, base_score, score) parts."""
-    low, floor = float(np.log10(unknown)), float(np.log10(float(max(1, n)) + v + 1 if n else 1.0))
-
-    def run(posts: pa.Table, model: pa.Table) -> pa.Table:
-        mk, mc, lp, la = (model.column(c).to_numpy() for c in ("k", "c", "lp", "la"))
-        tables = {}
-        for what, own in ((1, mc >= 0), (2, mc < 0)):
-            key = mk[own].view(np.uint64)
-            order = np.argsort(key)
-            tables[what] = (key[order], mc[own][order], lp[own][order], la[own][order])
-        out: list[pa.Table] = []
-        cols = [posts.column(c).to_pylist() for c in ("what", "base", "k", "n", "d", "t", "m", "doc_id", "out")]
-        plain = {"ref": [], "doc_id": [], "out": [], "m": []}
-        for what, base, k, length, d, t, m, doc, held in zip(*cols):
-            if what == 0:
-                for name, x in zip(plain, (base, doc, held, m)):
-                    plain[name].append(x)
-                continue
-            k, length = unpack(k, np.uint64), unpack(length, np.uint32)
-            d, t = unpack(d, np.uint16 if m < 65536 else np.uint32), unpack(t, np.uint32)
-            key, c, p, a = tables[what]
-            if len(key):
-                at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                hit = key[at] == k
-            else:
-                at, hit = np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=bool)
-            get = lambda x, other: np.where(hit, x[at], other) if len(x) else np.full(len(k), other)  # noqa: B023, E731
-            if what == 1:
-                begin, end = k == START, k == END
-                count, token = get(c, 0.0), ~begin
-                per_key = [(token & (count > 0)).astype(float), np.where(token, np.log10(count + 1) - floor, 0.0), np.where(token, get(p, low), 0.0) + np.where(end, 0.0, get(a, 0.0))]
-                touched = np.ones(len(k), dtype=bool)
-            else:
-                per_key, touched = [np.zeros(len(k)), np.zeros(len(k)), get(p, 0.0)], hit
-            keep = np.repeat(touched, length)
-            if not keep.any():
-                continue
-            d, times = d[keep].astype(np.int64), t[keep].astype(float)
-            known, plain_score, katz = (np.bincount(d, weights=np.repeat(x, length)[keep] * times, minlength=int(m)) for x in per_key)
-            own = np.flatnonzero(np.bincount(d, minlength=int(m)))
-            z = len(own)
-            out.append(pa.table({"ref": own + base, "doc_id": pa.nulls(z, pa.int64()), "out": pa.nulls(z, pa.bool_()), "m": np.zeros(z, dtype=np.int64), "known": np.rint(known[own]).astype(np.int64), "base_score": plain_score[own], "score": katz[own]}))
-        z = len(plain["ref"])
-        if z:
-            out.append(pa.table({"ref": pa.array(plain["ref"], pa.int64()), "doc_id": pa.array(plain["doc_id"], pa.int64()), "out": pa.array(plain["out"], pa.bool_()), "m": pa.array(plain["m"], pa.int64()), "known": np.zeros(z, dtype=np.int64), "base_score": np.zeros(z), "score": np.zeros(z)}))
-        return pa.concat_tables(out) if out else pa.table({"ref": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "out": pa.array([], pa.bool_()), "m": pa.array([], pa.int64()), "known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-    return run
-
-
-def score(docs: DataFrame, model: Model, modulus: int = 7, remainder: int = 2) -> DataFrame:
-    """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    posts = _prepared(docs, modulus, remainder).mapInArrow(_postings(model.buckets), _ROW)
-    table = model.words.select("bucket", "k", "c", "lp", "la").union(model.pairs.select("bucket", "k", "c", "lp", "la"))
-    parts = posts.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_scored(model.n, model.v, model.unknown), "ref long, doc_id long, out boolean, m long, known long, base_score double, score double")
-    sums = parts.groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.max("out").alias("held_out"), F.sum("m").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    """The three tables, with what the recursion needs besides."""
+
+    def __init__(self, stage: Stage, tables: dict[int, DataFrame]) -> None:
+        self.stage, self.tables = stage, tables
+
+    def words(self) -> DataFrame:
+        """(word, c, p): words of the training part by their hash, with counts and probabilities."""
+        stage = self.stage
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    word, c = unpack_keys(r["a"]), unpack(r["d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c), pa.array(stage.seen(1, c, stage.n))], ["word", "c", "p"])
+
+        return self.tables[1].select("a", "d").mapInArrow(run, "word long, c long, p double")
+
+    def grams(self, order: int) -> DataFrame:
+        """(context, gram, c): n-grams of an order with the 40 bits that tell a context's successors apart."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ctx = np.repeat(unpack_keys(r["a"]), unpack(r["b"]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), pa.array(unpack(r["c"]).astype(np.int64)), pa.array(unpack(r["d"]).astype(np.int64))], ["context", "gram", "c"])
+
+        return self.tables[order].select("a", "b", "c", "d").mapInArrow(run, "context long, gram long, c long")
+
+    def contexts(self, order: int) -> DataFrame:
+        """(context, c, alpha): how often each context of an order occurs, and its backoff weight."""
+        stage, (keys, hot_parts, hot_lows) = self.stage, self.stage.hot_parts[order]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ctx, size, c, low = unpack_keys(r["a"]), unpack(r["b"]), unpack(r["d"]), unpack_floats(r["e"])
+                    at = np.cumsum(size) - size
+                    parts = np.stack([_summed((c == k).astype(np.int64), at) for k in range(1, TOP + 1)], axis=1) if len(at) else np.zeros((0, TOP))
+                    h = _summed(c, at)
+                    here = ~np.isnan(low)
+                    a = stage.alpha(order, parts[here], low[here], h[here])
+                    yield pa.RecordBatch.from_arrays([pa.array(ctx[here].view(np.int64)), pa.array(h[here].astype(np.int64)), pa.array(a)], ["context", "c", "alpha"])
+
+        spread = self.tables[order].select("a", "b", "d", "e").mapInArrow(run, "context long, c long, alpha double")
+        if not len(keys):
+            return spread
+        hot = spread.sparkSession.createDataFrame([(int(k), p.tolist(), float(x)) for k, p, x in zip(keys.view(np.int64), hot_parts, hot_lows)], "context long, parts array<long>, low double")
+        counts = self.grams(order).groupBy("context").agg(F.sum("c").alias("c")).join(F.broadcast(hot), "context")
+        lost = F.lit(0.0)
+        for r in range(1, TOP + 1):
+            lost = lost + F.col("parts")[r - 1] * float(r * (1 - stage.d[order][r - 1]))
+        left = F.greatest(lost / F.col("c"), F.lit(FLOOR)) / F.greatest(1 - F.col("low"), F.lit(FLOOR))
+        return spread.union(counts.select("context", "c", left))
+
+
+def _join(chunks: DataFrame, told: list[DataFrame], run, schema: str) -> DataFrame:
+    answers = told[0]
+    for other in told[1:]:
+        answers = answers.union(other)
+    answers = answers.where("what = 0").select("chunk", "bucket", "a", "b", "c")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _stats(told: list[DataFrame]) -> dict:
+    names = ["chunk", "k", "low", *[f"n{r}" for r in range(1, TOP + 2)]]
+    out = dict.fromkeys(names, 0)
+    for table in told:
+        for name, x in table.where("what = 3").agg(*[F.sum(n).alias(n) for n in names]).first().asDict().items():
+            out[name] += x or 0
+    return out
 
 
-def score_documents(docs: DataFrame, least: int = 2) -> DataFrame:
-    return score(docs, train(docs, least))
+def _count(chunks: DataFrame, order: int, stage: Stage) -> list[DataFrame]:
+    """An order's tables of answers, one for each turn; its discounts and hot contexts go to the stage."""
+    told = []
+    for k in range(SLICES[order]):
+        asks = chunks.mapInArrow(_ask(order, stage, (k, SLICES[order])), _ASK)
+        told.append(cut(asks.groupBy("bucket").applyInArrow(_answer(order, stage), _TOLD), f"order_{order}", by="what"))
+    stage.d[order] = np.array(discounts({r: _stats(told)[f"n{r}"] for r in range(1, TOP + 2)}))
+    parts = told[0].where("what = 2")
+    for other in told[1:]:
+        parts = parts.union(other.where("what = 2"))
+    names = [*[f"n{r}" for r in range(1, TOP + 1)], "low"]
+    hot = parts.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).orderBy("k").collect()  # MAX_HOT rows at most
+    hot.sort(key=lambda r: r["k"] % (1 << 64))
+    keys = np.array([r["k"] for r in hot], dtype=np.int64).view(np.uint64)
+    stage.hot_parts[order] = keys, np.array([list(r)[1 : TOP + 1] for r in hot], dtype=np.int64).reshape(-1, TOP), np.array([r["low"] for r in hot], dtype=float)
+    return told
+
+
+def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, hot: int | None = None, chunk: int = CHUNK) -> tuple[DataFrame, Model]:
+    """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), and the model.
+
+    Rows whose crc32(doc_id as text) mod `modulus` is `remainder` are scored but not learned from.
+    """
+    spark, passing = docs.sparkSession, []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id"), modulus, remainder).alias("out"))
+    chunks = cut(rows.mapInArrow(_encoded(chunk), _CHUNK), "chunks", passing)
+    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    stage = Stage(max(MIN_BUCKETS, tokens // BUCKET), hot or max(LEAST_HOT, tokens // MAX_HOT))
+
+    asks = chunks.mapInArrow(_ask_words(stage), "bucket long, chunk long, ctx binary, count binary")
+    words = cut(asks.groupBy("bucket").applyInArrow(_answer_words, _TOLD), "order_1", by="what")
+    found = _stats([words])
+    stage.n, stage.v, stage.docs = found["chunk"], found["k"], int(found["low"])
+    stage.d[1] = np.array(discounts({r: found[f"n{r}"] for r in range(1, TOP + 2)}))
+    # What all words leave: what the discounts take from those seen up to TOP times.
+    lost = sum(r * (1 - stage.d[1][r - 1]) * found[f"n{r}"] for r in range(1, TOP + 1))
+    stage.unknown = max(lost / stage.n, FLOOR) if stage.n else 1.0
+
+    passed, passing = passing, []
+    chunks = cut(_join(chunks, [words], _with_words(stage), f"{_CHUNK}, c1 binary"), "chunks", passing)
+    discard(spark, passed)
+    pairs = _count(chunks, 2, stage)
+    passed, passing = passing, []
+    chunks = cut(_join(chunks, pairs, _with_pairs(stage), f"{_CHUNK}, c1 binary, c2 binary, b1 binary"), "chunks", passing)
+    discard(spark, passed)
+    triples = _count(chunks, 3, stage)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scores = cut(_join(chunks, triples, _scored(stage), schema), "scores")
+    discard(spark, passing)
+    scores = scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stage.n).cast("long").alias("train_tokens"), "base_score", "score")
+    tables = {}
+    for order, told in ((1, [words]), (2, pairs), (3, triples)):
+        tables[order] = told[0]
+        for other in told[1:]:
+            tables[order] = tables[order].union(other)
+        tables[order] = tables[order].where("what = 1")
+    return scores, Model(stage, tables)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    return train_and_score(docs)[0]

@@ -7,6 +7,13 @@ import pytest
 
 from concord.llm import katz, queries
 
+
+
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(katz, "MIN_BUCKETS", 6)
+
+
 DOCS = "doc_id long, text string, n_tokens int, c string"
 
 
@@ -21,37 +28,50 @@ def rows(n=150, seed=3):
 
 
 class Slow:
+    """The model by its definition: counts by order, and the recursion."""
+
     def __init__(self, texts):
-        self.uni, self.bi, self.first = Counter(), Counter(), Counter()
+        self.c = {1: Counter(), 2: Counter(), 3: Counter()}
+        self.of = {1: Counter(), 2: Counter(), 3: Counter()}
         for t in texts:
-            w = ["<s>", *t, "</s>"]
-            self.uni.update(w[1:])
-            self.bi.update(zip(w, w[1:]))
-            self.first.update(w[:-1])
-        self.n, self.v = sum(self.uni.values()), len(self.uni)
-        coc = lambda c: {r: sum(x == r for x in c.values()) for r in range(1, 7)}
-        self.du, self.db = katz.discounts(coc(self.uni)), katz.discounts(coc(self.bi))
-        self.after = defaultdict(list)
-        for (h, w), c in self.bi.items():
-            if c >= 2:
-                self.after[h].append(w)
-        self.unknown = max(1e-12, 1 - sum(self.low(w) for w in self.uni))
-
-    def low(self, w):
-        c = self.uni.get(w, 0)
-        return (self.du[c - 1] if c <= 5 else 1) * c / self.n if c else self.unknown
-
-    def p(self, h, w):
-        c = self.bi.get((h, w), 0)
-        if c >= 2:
-            return (self.db[c - 1] if c <= 5 else 1) * c / self.first[h]
-        return self.alpha(h) * self.low(w)
+            w = ["<s>", "<s>", *t, "</s>"]
+            for i in range(2, len(w)):
+                for k in (1, 2, 3):
+                    self.c[k][tuple(w[i - k + 1 : i + 1])] += 1
+                    self.of[k][tuple(w[i - k + 1 : i])] += 1
+        self.words = [w for (w,) in self.c[1]]
+        self.n, self.v = sum(self.c[1].values()), len(self.words)
+        self.d = {k: katz.discounts({r: sum(x == r for x in self.c[k].values()) for r in range(1, 7)}) for k in self.c}
+        self.after = {k: defaultdict(list) for k in self.c}
+        for k in (2, 3):
+            for gram in self.c[k]:
+                self.after[k][gram[:-1]].append(gram[-1])
+        self.unknown = max(1e-12, 1 - sum(self.seen((w,)) for w in self.words)) if self.n else 1.0
+        self.kept = {}
+
+    def seen(self, gram):
+        k = len(gram)
+        c = self.c[k][gram]
+        return (self.d[k][c - 1] if c <= 5 else 1) * c / self.of[k][gram[:-1]]
+
+    def p(self, gram):
+        if self.c[len(gram)].get(gram):
+            return self.seen(gram)
+        return self.unknown if len(gram) == 1 else self.alpha(gram[:-1]) * self.p(gram[1:])
 
     def alpha(self, h):
-        seen = self.after.get(h, [])
-        if not seen:
-            return 1.0
-        return max(1e-12, 1 - sum(self.p(h, w) for w in seen)) / max(1e-12, 1 - sum(self.low(w) for w in seen))
+        if h not in self.kept:
+            own = self.after[len(h) + 1].get(h, [])
+            left = 1 - sum(self.seen((*h, w)) for w in own)
+            self.kept[h] = max(1e-12, left) / max(1e-12, 1 - sum(self.p((*h[1:], w)) for w in own)) if own else 1.0
+        return self.kept[h]
+
+    def score(self, text):
+        w = ["<s>", "<s>", *text, "</s>"]
+        return sum(math.log10(self.p(tuple(w[i - 2 : i + 1]))) for i in range(2, len(w)))
+
+    def base(self, text):
+        return sum(math.log10((self.c[1].get((b,), 0) + 1) / (self.n + self.v + 1)) for b in [*text, "</s>"])
 
 
 def tokens(text):
@@ -62,28 +82,60 @@ def out(i):
     return i is None or zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def test_scores_as_brute_force(spark):
-    data = rows()
-    slow = Slow([tokens(t) for i, t, *_ in data if not out(i)])
-    got = defaultdict(list)
-    for r in katz.score_documents(spark.createDataFrame(data, DOCS)).collect():
-        got[r["doc_id"]].append(r)
-    assert sum(map(len, got.values())) == len(data)
+def same(got, data, slow):
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert sum(map(len, by.values())) == len(data)
     for i, t, *_ in data:
-        w = ["<s>", *tokens(t), "</s>"]
-        score = sum(math.log10(slow.p(a, b)) for a, b in zip(w, w[1:]))
-        base = sum(math.log10((slow.uni.get(b, 0) + 1) / (slow.n + slow.v + 1)) for b in w[1:])
-        r = next(r for r in got[i] if r["n_tokens"] == len(w) - 1)
+        w = tokens(t)
+        r = next(r for r in by[i] if r["n_tokens"] == len(w) + 1)
         assert r["held_out"] == out(i) and r["train_tokens"] == slow.n
-        assert r["n_known"] == sum(b in slow.uni for b in w[1:])
-        assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert r["score"] == pytest.approx(score, rel=1e-9)
+        assert r["n_known"] == sum((b,) in slow.c[1] for b in [*w, "</s>"])
+        assert r["base_score"] == pytest.approx(slow.base(w), rel=1e-9)
+        assert r["score"] == pytest.approx(slow.score(w), rel=1e-9)
 
 
-def test_distributions_sum_to_one(spark):
-    slow = Slow([tokens(t) for i, t, *_ in rows() if not out(i)])
-    for h in list(slow.first)[:40]:
-        assert sum(slow.p(h, w) for w in slow.uni) + slow.alpha(h) * slow.unknown == pytest.approx(1, abs=1e-9)
+@pytest.mark.parametrize("hot,chunk", [(None, katz.CHUNK), (20, 700), (1, 3000)])
+def test_scores_as_brute_force(spark, hot, chunk):
+    """Also with contexts spread over the buckets, and with many chunks."""
+    data = rows()
+    slow = Slow([tokens(t) for i, t, *_ in data if not out(i)])
+    assert min(slow.c[2].values()) == min(slow.c[3].values()) == 1
+    scores, _ = katz.train_and_score(spark.createDataFrame(data, DOCS).repartition(5), hot=hot, chunk=chunk)
+    same(scores.collect(), data, slow)
+
+
+def test_query_scores_whole_table(spark, tmp_path):
+    data = rows(80, 4)
+    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    same(queries.op5_katz_backoff(spark, str(tmp_path)).collect(), data, Slow([tokens(t) for i, t, *_ in data if not out(i)]))
+
+
+@pytest.mark.parametrize("hot", [None, 20])
+def test_stored_weights_normalise_every_history(spark, hot):
+    """The tables hold each n-gram once, and each context's weight; with it every distribution sums to 1."""
+    data = rows()
+    slow = Slow([tokens(t) for i, t, *_ in data if not out(i)])
+    _, model = katz.train_and_score(spark.createDataFrame(data, DOCS), hot=hot)
+    assert sorted(r["c"] for r in model.words().collect()) == sorted(slow.c[1].values())
+    assert model.stage.unknown == pytest.approx(slow.unknown, abs=1e-12)
+    for k in (2, 3):
+        assert sorted(r["c"] for r in model.grams(k).collect()) == sorted(slow.c[k].values())
+        stored = sorted((r["c"], r["alpha"]) for r in model.contexts(k).collect())
+        want = sorted((slow.of[k][h], slow.alpha(h)) for h in slow.after[k])
+        assert [c for c, _ in stored] == [c for c, _ in want]
+        assert [a for _, a in stored] == pytest.approx([a for _, a in want], rel=1e-6)
+    for h in [*slow.after[2], *slow.after[3]]:  # all histories: seen words by their discounts, the others by what is left
+        k = len(h) + 1
+        own = slow.after[k][h]
+        high, low = sum(slow.seen((*h, w)) for w in own), sum(slow.p((*h[1:], w)) for w in own)
+        if 1 - low > 1e-6:
+            assert high + slow.alpha(h) * (1 - low) == pytest.approx(1, abs=1e-9)
+        else:  # the lower order leaves next to nothing, too little for a difference
+            assert sum(slow.p((*h, w)) for w in slow.words) + slow.p((*h, "no such word")) == pytest.approx(1, abs=1e-9)
+    for h in list(slow.after[2])[:20] + list(slow.after[3])[:20]:
+        assert sum(slow.p((*h, w)) for w in slow.words) + slow.p((*h, "no such word")) == pytest.approx(1, abs=1e-9)
 
 
 def test_empty_and_untrained(spark):
@@ -91,31 +143,3 @@ def test_empty_and_untrained(spark):
     lone = [(i, "a b", 1, "c") for i in range(50) if out(i)][:2]
     for r in katz.score_documents(spark.createDataFrame(lone, DOCS)).collect():
         assert (r["score"], r["base_score"], r["train_tokens"], r["n_known"]) == (0.0, 0.0, 0, 0)
-
-
-class Whole(Slow):
-    """Pairs count from 1 on."""
-
-    def __init__(self, texts):
-        super().__init__(texts)
-        self.after = defaultdict(list)
-        for h, w in self.bi:
-            self.after[h].append(w)
-
-    def p(self, h, w):
-        c = self.bi.get((h, w), 0)
-        return (self.db[c - 1] if c <= 5 else 1) * c / self.first[h] if c else self.alpha(h) * self.low(w)
-
-
-def test_query_keeps_pairs_seen_once(spark, tmp_path):
-    data = rows()
-    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    whole = Whole([tokens(t) for i, t, *_ in data if not out(i)])
-    assert 1 in whole.bi.values()
-    texts = {i: ["<s>", *tokens(t), "</s>"] for i, t, *_ in data if i is not None and i != 9001}
-    got = {r["doc_id"]: r["score"] for r in queries.op5_katz_backoff(spark, str(tmp_path)).collect() if r["doc_id"] in texts}
-    assert got.keys() == texts.keys()
-    for i, w in texts.items():
-        assert got[i] == pytest.approx(sum(math.log10(whole.p(a, b)) for a, b in zip(w, w[1:])), rel=1e-9)
-    for h in list(whole.first)[:40]:
-        assert sum(whole.p(h, w) for w in whole.uni) + whole.alpha(h) * whole.unknown == pytest.approx(1, abs=1e-9)
