@@ -16,12 +16,13 @@ n-gram is unseen, the answer also has what its context's weight is made of.
 * Buckets hold whole contexts, of `BUCKET` tokens' n-grams at most: their number grows with the corpus. Contexts that
   occur more often than `hot` are spread over all buckets by n-gram; their sums are few rows, added up by Spark. `hot`
   is a share of the corpus, so that there are never more than `MAX_HOT` of them, which are sent to all tasks.
-* Each order is asked for in `SLICES` turns, each for a part of the buckets, which bounds the disk that shuffles take.
+* Each order is asked for in `SLICES` turns, each for a part of the buckets, and chunks meet their answers in `TURNS`
+  turns, each for a part of the chunks, which bounds the disk that shuffles take.
 
 The model is a table of each order in the shared folder, partitioned by bucket: `words` and `grams` read them as rows.
 
-Words are known by the 64-bit XXH64 of their bytes, contexts by 64 bits, an n-gram by its context and 40 more bits, which
-only have to tell the successors of one context apart.
+Words are known by the 64-bit XXH64 of their bytes, contexts by 64 bits, an n-gram by its context and 32 more bits (40
+if the context occurs 65,536 times or more), which only have to tell the successors of one context apart.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id is held out; repeated rows are scored each
 (and counted each, if in training); very long texts are read whole; without training rows every word is unknown, of
@@ -43,15 +44,16 @@ from pyspark.taskcontext import TaskContext
 from concord.llm.common import cut, discard, held_out
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64((1 << 24) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Counts up to this one are discounted.
 TOP = 5
 #: Tokens of a chunk, about (a longer document is a chunk of its own).
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: Tokens whose n-grams one bucket holds, about, and buckets at least.
-BUCKET, MIN_BUCKETS = 2_000_000, 64
-#: Turns in which an order's n-grams are asked for.
-SLICES = {2: 2, 3: 4}
+BUCKET, MIN_BUCKETS = 1_500_000, 64
+#: Turns in which an order's n-grams are asked for, and in which chunks meet the answers.
+SLICES, TURNS = {2: 2, 3: 5}, 4
 #: Contexts that are sent to all tasks at most (some 60 bytes each), and the least count that makes one hot.
 MAX_HOT, LEAST_HOT = 200_000, 100_000
 #: What is left for other words counts as this much at least, where rounding or undiscounted counts leave nothing.
@@ -87,12 +89,13 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data).astype(np.uint64), dtype=np.uint64)
 
 
-def pack_floats(x: np.ndarray) -> bytes:
-    return pack(x.astype(np.float64).view(np.uint64))
+def pack_floats(x: np.ndarray, kind=np.float64) -> bytes:
+    x = x.astype(kind)
+    return pack(x.view(f"<u{x.itemsize}"))
 
 
-def unpack_floats(data: bytes) -> np.ndarray:
-    return unpack(data).astype(np.uint64).view(np.float64)
+def unpack_floats(data: bytes, kind=np.float64) -> np.ndarray:
+    return unpack(data).astype(f"<u{np.dtype(kind).itemsize}").view(kind).astype(np.float64)
 
 
 def bucket_of(route: np.ndarray, n: int) -> np.ndarray:
@@ -228,22 +231,21 @@ class Entries:
         route = np.where(h >= stage.hot, t, ctx)
         part, parts = turn
         own = np.flatnonzero(bucket_of(route, stage.buckets) % parts == part) if parts > 1 else np.arange(len(t))
-        by_t = np.argsort(t[own])
-        s = t[own][by_t]
+        # In order of route, and within a route by n-gram: what this leaves apart is sent twice, which does no harm.
+        key = (route[own] & ~_LOW) | (t[own] & _LOW)
+        by = np.argsort(key, kind="stable")  # equal keys in the order of the text, whatever the turn
+        del key
+        s = t[own][by]
         starts = _runs(s)
-        pick = own[by_t[starts]]
-        by_route = np.argsort(route[pick], kind="stable")
-        rank = np.empty(len(own), dtype=np.int64)
-        rank[by_t] = np.repeat(np.arange(len(starts)), _lengths(starts, len(s)))
-        place = np.empty(len(starts), dtype=np.int64)
-        place[by_route] = np.arange(len(starts))
-        self.of_token = place[rank]  # for each token (of this turn) its n-gram's place
-        pick = pick[by_route]
-        self.count = _summed(c.trained[own][by_t], starts)[by_route]
-        self.ctx, self.t, self.h, self.aux = ctx[pick], t[pick] >> np.uint64(24), h[pick], aux[pick]
+        self.of_token = np.empty(len(own), dtype=np.int32)  # for each token (of this turn) its n-gram's place
+        self.of_token[by] = np.repeat(np.arange(len(starts), dtype=np.int32), _lengths(starts, len(s)))
+        self.count = _summed(c.trained[own][by], starts)
+        pick = own[by[starts]]
+        self.ctx, self.h, self.aux = ctx[pick], h[pick], aux[pick]
+        self.t = np.where(self.h < 1 << 16, t[pick] >> np.uint64(32), t[pick] >> np.uint64(24))
         self.g = None if g is None else g[pick]
         self.bucket = bucket_of(route[pick], stage.buckets)
-        self.token_ctx, self.token_h = ctx, h
+        self.token_h = h
 
 
 _ASK = "bucket long, chunk long, ctx binary, run binary, t binary, count binary, aux binary, h binary, g binary"
@@ -356,7 +358,7 @@ def _answer(order: int, stage: Stage):
                 row |= {"b": pack(got.T.ravel()), "c": pack_floats(np.where(hit, lows[found], 0.0) if len(heads) else np.zeros(len(asked)))}
             rows.append(row)
             lo = hi
-        rows.append({"what": 1, "bucket": bucket, "a": pack_keys(heads), "b": pack(size), "c": pack(t[pick[seen]]), "d": pack(own_total), "e": pack_floats(np.where(hot, np.nan, lows))})
+        rows.append({"what": 1, "bucket": bucket, "a": pack_keys(heads), "b": pack(size), "c": pack(t[pick[seen]]), "d": pack(own_total), "e": pack_floats(np.where(hot, np.nan, 1 - lows), np.float32)})
         for i in np.flatnonzero(hot).tolist():
             rows.append({"what": 2, "k": int(heads[i].view(np.int64)), "low": float(lows[i]), **{f"n{r}": int(parts[i, r - 1]) for r in range(1, TOP + 1)}})
         rows.append({"what": 3, "bucket": bucket, **_counts_of(total)})
@@ -496,7 +498,7 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    ctx, size, c, low = unpack_keys(r["a"]), unpack(r["b"]), unpack(r["d"]), unpack_floats(r["e"])
+                    ctx, size, c, low = unpack_keys(r["a"]), unpack(r["b"]), unpack(r["d"]), 1 - unpack_floats(r["e"], np.float32)
                     at = np.cumsum(size) - size
                     parts = np.stack([_summed((c == k).astype(np.int64), at) for k in range(1, TOP + 1)], axis=1) if len(at) else np.zeros((0, TOP))
                     h = _summed(c, at)
@@ -516,12 +518,21 @@ class Model:
         return spread.union(counts.select("context", "c", left))
 
 
-def _join(chunks: DataFrame, told: list[DataFrame], run, schema: str) -> DataFrame:
-    answers = told[0]
-    for other in told[1:]:
-        answers = answers.union(other)
-    answers = answers.where("what = 0").select("chunk", "bucket", "a", "b", "c")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.union(other)
+    return out
+
+
+def _join(chunks: DataFrame, told: list[DataFrame], run, schema: str, name: str, into: list[str] | None = None) -> DataFrame:
+    """Each chunk with the answers to it, in turns."""
+    answers = _union(told).where("what = 0").select("chunk", "bucket", "a", "b", "c")
+    out = []
+    for k in range(TURNS):
+        mine = F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == k
+        out.append(cut(chunks.where(mine).groupBy("chunk").cogroup(answers.where(mine).groupBy("chunk")).applyInArrow(run, schema), name, into))
+    return _union(out)
 
 
 def _stats(told: list[DataFrame]) -> dict:
@@ -540,9 +551,7 @@ def _count(chunks: DataFrame, order: int, stage: Stage) -> list[DataFrame]:
         asks = chunks.mapInArrow(_ask(order, stage, (k, SLICES[order])), _ASK)
         told.append(cut(asks.groupBy("bucket").applyInArrow(_answer(order, stage), _TOLD), f"order_{order}", by="what"))
     stage.d[order] = np.array(discounts({r: _stats(told)[f"n{r}"] for r in range(1, TOP + 2)}))
-    parts = told[0].where("what = 2")
-    for other in told[1:]:
-        parts = parts.union(other.where("what = 2"))
+    parts = _union(told).where("what = 2")
     names = [*[f"n{r}" for r in range(1, TOP + 1)], "low"]
     hot = parts.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).orderBy("k").collect()  # MAX_HOT rows at most
     hot.sort(key=lambda r: r["k"] % (1 << 64))
@@ -572,23 +581,18 @@ def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, hot:
     stage.unknown = max(lost / stage.n, FLOOR) if stage.n else 1.0
 
     passed, passing = passing, []
-    chunks = cut(_join(chunks, [words], _with_words(stage), f"{_CHUNK}, c1 binary"), "chunks", passing)
+    chunks = _join(chunks, [words], _with_words(stage), f"{_CHUNK}, c1 binary", "chunks", passing)
     discard(spark, passed)
     pairs = _count(chunks, 2, stage)
     passed, passing = passing, []
-    chunks = cut(_join(chunks, pairs, _with_pairs(stage), f"{_CHUNK}, c1 binary, c2 binary, b1 binary"), "chunks", passing)
+    chunks = _join(chunks, pairs, _with_pairs(stage), f"{_CHUNK}, c1 binary, c2 binary, b1 binary", "chunks", passing)
     discard(spark, passed)
     triples = _count(chunks, 3, stage)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scores = cut(_join(chunks, triples, _scored(stage), schema), "scores")
+    scores = _join(chunks, triples, _scored(stage), schema, "scores")
     discard(spark, passing)
     scores = scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stage.n).cast("long").alias("train_tokens"), "base_score", "score")
-    tables = {}
-    for order, told in ((1, [words]), (2, pairs), (3, triples)):
-        tables[order] = told[0]
-        for other in told[1:]:
-            tables[order] = tables[order].union(other)
-        tables[order] = tables[order].where("what = 1")
+    tables = {order: _union(told).where("what = 1") for order, told in ((1, [words]), (2, pairs), (3, triples))}
     return scores, Model(stage, tables)
 
 
