@@ -44,7 +44,7 @@ from pyspark.taskcontext import TaskContext
 from concord.llm.common import cut, discard, held_out
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
-_LOW = np.uint64((1 << 24) - 1)
+_LOW = np.uint64((1 << 38) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Counts up to this one are discounted.
 TOP = 5
@@ -66,18 +66,44 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers in the fewest bytes that hold them, compressed by byte planes."""
+    """Unsigned integers in the fewest bytes that hold them, by byte planes: compressed, but for planes without a pattern."""
     top = int(x.max()) if len(x) else 0
     size = next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n)
-    x = x.astype(f"<u{size}")
-    return bytes([size]) + zstandard.compress(x.view(np.uint8).reshape(len(x), size).T.tobytes(), 1)
+    planes = np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(len(x), size).T)
+    plain = [len(x) >= 512 and int(np.bincount(p[:2048]).max()) < min(len(x), 2048) // 64 for p in planes]
+    held = [p.tobytes() for p, raw in zip(planes, plain) if raw]
+    rest = _zip.compress(b"".join(p.tobytes() for p, raw in zip(planes, plain) if not raw))
+    return b"".join([bytes([size, sum(1 << i for i, raw in enumerate(plain) if raw)]), len(x).to_bytes(8, "little"), *held, rest])
 
 
 def unpack(data: bytes) -> np.ndarray:
-    size = data[0]
-    planes = np.frombuffer(zstandard.decompress(data[1:]), dtype=np.uint8)
-    return planes.reshape(size, -1).T.copy().reshape(-1).view(f"<u{size}").astype(np.int64 if size < 8 else np.uint64)
+    size, plain, n = data[0], data[1], int.from_bytes(data[2:10], "little")
+    out, at = np.empty((n, size), dtype=np.uint8), 10
+    for i in range(size):
+        if plain >> i & 1:
+            out[:, i] = np.frombuffer(data, dtype=np.uint8, count=n, offset=at)
+            at += n
+    rest = np.frombuffer(_unzip.decompress(data[at:]), dtype=np.uint8).reshape(-1, n) if n else np.zeros((size, 0), dtype=np.uint8)
+    for own, i in enumerate(i for i in range(size) if not plain >> i & 1):
+        out[:, i] = rest[own]
+    return out.reshape(-1).view(f"<u{size}").astype(np.int64 if size < 8 else np.uint64)
+
+
+def order_of(key: np.ndarray) -> np.ndarray:
+    """A stable argsort of 64-bit keys: their upper bits are sorted with their places as the lower ones, if these tell them apart."""
+    if not len(key):
+        return np.zeros(0, dtype=np.int64)
+    mask = np.uint64((1 << max(1, (len(key) - 1).bit_length())) - 1)
+    s = np.sort((key & ~mask) | np.arange(len(key), dtype=np.uint64))
+    by = (s & mask).astype(np.int64)
+    k = key[by]
+    if ((k[1:] != k[:-1]) & ((s[1:] ^ s[:-1]) <= mask)).any():
+        return np.argsort(key, kind="stable")
+    return by
 
 
 def pack_keys(x: np.ndarray) -> bytes:
@@ -99,8 +125,8 @@ def unpack_floats(data: bytes, kind=np.float64) -> np.ndarray:
 
 
 def bucket_of(route: np.ndarray, n: int) -> np.ndarray:
-    """Ranges of the upper 32 bits: keys in order are in the order of their buckets."""
-    return ((route >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Ranges of the upper 26 bits: keys in order are in the order of their buckets."""
+    return ((route >> np.uint64(38)) * np.uint64(n) >> np.uint64(26)).astype(np.int64)
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -231,16 +257,19 @@ class Entries:
         route = np.where(h >= stage.hot, t, ctx)
         part, parts = turn
         own = np.flatnonzero(bucket_of(route, stage.buckets) % parts == part) if parts > 1 else np.arange(len(t))
-        # In order of route, and within a route by n-gram: what this leaves apart is sent twice, which does no harm.
-        key = (route[own] & ~_LOW) | (t[own] & _LOW)
-        by = np.argsort(key, kind="stable")  # equal keys in the order of the text, whatever the turn
+        # In order of route, and within a route by n-gram, as far as 64 bits go; what this leaves apart is sent twice, which
+        # does no harm. The place in the text is part of the key, so that the order is the same in every turn.
+        bits = np.uint64(max(1, (len(t) - 1).bit_length()))
+        key = (route[own] >> np.uint64(38) << np.uint64(38)) | ((t[own] & _LOW) >> bits << bits) | own.astype(np.uint64)
+        key.sort()
+        by = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # places in the text
         del key
-        s = t[own][by]
+        s = t[by]
         starts = _runs(s)
-        self.of_token = np.empty(len(own), dtype=np.int32)  # for each token (of this turn) its n-gram's place
+        self.of_token = np.empty(len(t), dtype=np.int32)  # for each token (of this turn) its n-gram's place
         self.of_token[by] = np.repeat(np.arange(len(starts), dtype=np.int32), _lengths(starts, len(s)))
-        self.count = _summed(c.trained[own][by], starts)
-        pick = own[by[starts]]
+        self.count = _summed(c.trained[by], starts)
+        pick = by[starts]
         self.ctx, self.h, self.aux = ctx[pick], h[pick], aux[pick]
         self.t = np.where(self.h < 1 << 16, t[pick] >> np.uint64(32), t[pick] >> np.uint64(24))
         self.g = None if g is None else g[pick]
@@ -327,7 +356,7 @@ def _answer(order: int, stage: Stage):
         each = lambda name: np.concatenate([unpack(r[name]) for r in asks])
         ctx, t = over("ctx", unpack_keys), each("t").astype(np.uint64)
         ident = pair_key(ctx, t)
-        by = np.argsort(ident)
+        by = order_of(ident)
         starts = _runs(ident[by])
         total = _summed(each("count")[by], starts)
         where = np.empty(len(by), dtype=np.int64)
@@ -338,7 +367,10 @@ def _answer(order: int, stage: Stage):
         low, h = stage.seen(order - 1, each("aux")[pick], of), over("h", unpack)[pick]
         # Contexts: the seen n-grams by context; unseen ones are of no account.
         seen = np.flatnonzero(total > 0)
-        seen = seen[np.argsort(ctx[pick[seen]], kind="stable")]
+        # The bucket's own contexts are a range of all; within it they are told apart by lower bits.
+        low_end, bits = np.uint64(-(-(bucket << 26) // stage.buckets) << 38), np.uint64(stage.buckets.bit_length() - 1)
+        within = lambda x: (x - low_end) << bits
+        seen = seen[order_of(within(ctx[pick[seen]]))]
         own_ctx, own_total = ctx[pick[seen]], total[seen]
         at = _runs(own_ctx)
         heads, size = own_ctx[at], _lengths(at, len(own_ctx))
@@ -352,7 +384,7 @@ def _answer(order: int, stage: Stage):
             row = {"what": 0, "bucket": bucket, "chunk": r["chunk"], "a": pack(own)}
             if (own == 0).any():
                 asked = ctx[lo:hi][own == 0]
-                found = np.minimum(np.searchsorted(heads, asked), max(len(heads) - 1, 0))
+                found = np.minimum(np.searchsorted(within(heads), within(asked)), max(len(heads) - 1, 0))
                 hit = heads[found] == asked if len(heads) else np.zeros(len(asked), dtype=bool)
                 got = np.where(hit[:, None], parts[found], 0) if len(heads) else np.zeros((len(asked), TOP), dtype=np.int64)
                 row |= {"b": pack(got.T.ravel()), "c": pack_floats(np.where(hit, lows[found], 0.0) if len(heads) else np.zeros(len(asked)))}
