@@ -49,11 +49,11 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Counts up to this one are discounted.
 TOP = 5
 #: Tokens of a chunk, about (a longer document is a chunk of its own).
-CHUNK = 1_000_000
+CHUNK = 750_000
 #: Tokens whose n-grams one bucket holds, about, and buckets at least.
-BUCKET, MIN_BUCKETS = 1_500_000, 64
+BUCKET, MIN_BUCKETS = 1_000_000, 24
 #: Turns in which an order's n-grams are asked for, and in which chunks meet the answers.
-SLICES, TURNS = {2: 2, 3: 5}, 4
+SLICES, TURNS = {2: 2, 3: 8}, 4
 #: Contexts that are sent to all tasks at most (some 60 bytes each), and the least count that makes one hot.
 MAX_HOT, LEAST_HOT = 200_000, 100_000
 #: What is left for other words counts as this much at least, where rounding or undiscounted counts leave nothing.
@@ -456,6 +456,7 @@ def _with_pairs(stage: Stage):
 def _scored(stage: Stage):
     def run(key: tuple, chunks: pa.Table, told: pa.Table) -> pa.Table:
         c = Chunk(chunks.to_pylist()[0])
+        del chunks
         e = Entries(c, 3, stage)
         total, parts, lows = _answers(told)
         c3 = total[e.of_token]
@@ -576,12 +577,12 @@ def _stats(told: list[DataFrame]) -> dict:
     return out
 
 
-def _count(chunks: DataFrame, order: int, stage: Stage) -> list[DataFrame]:
-    """An order's tables of answers, one for each turn; its discounts and hot contexts go to the stage."""
+def _count(chunks: DataFrame, order: int, stage: Stage, into: list[str]) -> list[DataFrame]:
+    """An order's tables of answers, one for each turn, at paths `into`; its discounts and hot contexts go to the stage."""
     told = []
     for k in range(SLICES[order]):
         asks = chunks.mapInArrow(_ask(order, stage, (k, SLICES[order])), _ASK)
-        told.append(cut(asks.groupBy("bucket").applyInArrow(_answer(order, stage), _TOLD), f"order_{order}", by="what"))
+        told.append(cut(asks.groupBy("bucket").applyInArrow(_answer(order, stage), _TOLD), f"order_{order}", into, by="what"))
     stage.d[order] = np.array(discounts({r: _stats(told)[f"n{r}"] for r in range(1, TOP + 2)}))
     parts = _union(told).where("what = 2")
     names = [*[f"n{r}" for r in range(1, TOP + 1)], "low"]
@@ -604,7 +605,8 @@ def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, hot:
     stage = Stage(max(MIN_BUCKETS, tokens // BUCKET), hot or max(LEAST_HOT, tokens // MAX_HOT))
 
     asks = chunks.mapInArrow(_ask_words(stage), "bucket long, chunk long, ctx binary, count binary")
-    words = cut(asks.groupBy("bucket").applyInArrow(_answer_words, _TOLD), "order_1", by="what")
+    paths: list[str] = []
+    words = cut(asks.groupBy("bucket").applyInArrow(_answer_words, _TOLD), "order_1", paths, by="what")
     found = _stats([words])
     stage.n, stage.v, stage.docs = found["chunk"], found["k"], int(found["low"])
     stage.d[1] = np.array(discounts({r: found[f"n{r}"] for r in range(1, TOP + 2)}))
@@ -612,17 +614,23 @@ def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, hot:
     lost = sum(r * (1 - stage.d[1][r - 1]) * found[f"n{r}"] for r in range(1, TOP + 1))
     stage.unknown = max(lost / stage.n, FLOOR) if stage.n else 1.0
 
+    def answered() -> None:
+        """What has been told to the chunks goes; the model stays."""
+        discard(spark, [*passed, *[f"{p}/what=0" for p in paths]])
+        paths.clear()
+
     passed, passing = passing, []
     chunks = _join(chunks, [words], _with_words(stage), f"{_CHUNK}, c1 binary", "chunks", passing)
-    discard(spark, passed)
-    pairs = _count(chunks, 2, stage)
+    answered()
+    pairs = _count(chunks, 2, stage, paths)
     passed, passing = passing, []
     chunks = _join(chunks, pairs, _with_pairs(stage), f"{_CHUNK}, c1 binary, c2 binary, b1 binary", "chunks", passing)
-    discard(spark, passed)
-    triples = _count(chunks, 3, stage)
+    answered()
+    triples = _count(chunks, 3, stage, paths)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scores = _join(chunks, triples, _scored(stage), schema, "scores")
-    discard(spark, passing)
+    passed = passing
+    answered()
     scores = scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stage.n).cast("long").alias("train_tokens"), "base_score", "score")
     tables = {order: _union(told).where("what = 1") for order, told in ((1, [words]), (2, pairs), (3, triples))}
     return scores, Model(stage, tables)
