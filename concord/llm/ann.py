@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm.common import bounds, by_key, cut, runs
+from concord.llm.common import bounds, by_key, cut, runs, thinned
 
 #: Rows that the centroids are fitted on at most, chosen by a hash of vec_id.
 SAMPLE = 20_000
@@ -161,7 +161,7 @@ def build(vectors: DataFrame, k: int, recall: float, lists: int | None = None, e
     if not n:
         return None
     share = min(1.0, SAMPLE / n)
-    sample = vectors if share == 1 else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = vectors.where(thinned(share, "vec_id"))
     x = matrix(sample.select("v").orderBy("vec_id").limit(2 * SAMPLE).toArrow().column("v"))
     index = Index(x, float(np.sqrt(norm)), lists or int(min(MAX_LISTS, max(1, n**0.5 / 2))), epsilon)
     index.calibrate(x, k, recall)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -76,6 +76,11 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def thinned(share: float, *keys: str) -> Column:
+    """Whether a row is among the `share` of all that a hash of its keys picks, however small the share."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(*keys, F.lit("fit")), 1) < max(1, int(share * 2**63))
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches sorted by key, regrouped: each table holds one or more whole keys, never part of one."""
     rest: list[pa.RecordBatch] = []

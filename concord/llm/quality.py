@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import held_out
+from concord.llm.common import held_out, thinned
 
 NAMES = ("log_words", "letters", "upper", "digits", "marks", "word_length", "distinct", "top_word", "adjacent", "marked_words", "line_length", "repeated_lines")
 #: At most about so many labelled rows are learned from, chosen by a hash of doc_id.
@@ -102,7 +102,7 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
         .agg(F.min("y").alias("y"))
     )
     share = min(1.0, bound / max(1, rows.count()))
-    return rows if share == 1 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows.where(thinned(share, "doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT) -> Discriminant:
