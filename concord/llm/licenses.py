@@ -1,18 +1,19 @@
 """License scan by template matching.
 
-A template is the wording of a license with markup: [[...]] may be left out, {{a|b}} is one of the given wordings,
-{{n}} with a number n is any text of up to n words. Templates are compiled into automata over words (nondeterministic,
-with skips for optional parts), which accept a stretch of text only if all mandatory wording stands there exactly.
-Automata start at the places of their first words only, and texts without any of the words that every template needs
-are not tokenised at all.
+A template is the whole published wording of a license, or a short notice that names one, with markup: [[...]] may be left
+out, {{a|b}} is one of the given wordings, {{n}} with a number n is any text of up to n words (names, addresses). Templates
+are compiled into automata over words (nondeterministic, with skips for optional parts), which accept a stretch of text
+only if all mandatory wording stands there exactly. Automata start at the places of their first words only, and texts
+without any of the words that every template needs are not tokenised at all.
 
-Besides, three phrases are searched everywhere, for the base labels.
+Besides, three phrases are searched everywhere, for the base labels. The score is 1.0 where a license's text is accepted,
+else 0.8 where a notice is, else 0.5 where a phrase stands, else 0.0.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; everything else separates.
 
 Defined cases: a null text has no words; n_words counts the whole text; repeated rows are judged alike; first_word and
-last_word are null without a place; labels without any license are empty strings; extra columns are ignored; an empty
-table gives an empty table.
+last_word are null without a place; labels without any license are empty strings; a text that holds another license's whole
+wording has both labels; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.license_texts import TEMPLATES
+
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:] = True
@@ -32,58 +35,26 @@ _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 # Phrases and labels of the base.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Wordings of licenses, as published by their stewards; label, markup.
-TEMPLATES = (
-    ("mit", "released under the [[terms of the]] mit license"),
-    ("mit", "licensed under the [[terms of the]] mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
-        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
-        "to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software",
-    ),
-    ("apache", "licensed under the apache license [[version]] {{2 0|2}}"),
-    (
-        "apache",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
-        "{{12}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
-    ),
-    ("gpl", "licensed under the gnu general public license [[as published by the free software foundation]] [[version]] {{3 0|2 0|3|2}}"),
-    (
-        "gpl",
-        "this {{program|library|software|file}} is free software you can redistribute it and or modify it under the terms of the gnu [[{{lesser|library|affero}}]] general public license as published by "
-        "the free software foundation either version {{3 0|2 1|2 0|3|2}} of the license or at your option any later version",
-    ),
-    ("lgpl", "gnu {{lesser|library}} general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("cc-by", "licensed under [[a]] [[the]] {{cc|creative commons}} {{by|attribution}} {{4 0|3 0}}"),
-    ("cc-by-nc", "licensed under [[a]] [[the]] {{cc|creative commons}} {{by|attribution}} {{nc|noncommercial}} {{4 0|3 0}}"),
-    ("cc-by-sa", "licensed under [[a]] [[the]] {{cc|creative commons}} {{by|attribution}} {{sa|sharealike}} {{4 0|3 0}}"),
-    ("cc-by-nd", "licensed under [[a]] [[the]] {{cc|creative commons}} {{by|attribution}} {{nd|noderivatives}} {{4 0|3 0}}"),
-    (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain "
-        "the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
-        "following disclaimer in the documentation and or other materials provided with the distribution",
-    ),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license [[v]] [[version]] 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+#: What a match is worth.
+SCORES = {"text": 1.0, "notice": 0.8, "phrase": 0.5}
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return _WORD.findall(text.lower())
 
 
 class Automaton:
     """States are places in the wording; arcs are (word or None for any word, next state), skips are free moves."""
 
-    def __init__(self, label: str, markup: str) -> None:
-        self.label, self.arcs, self.skips = label, [[]], [[]]
+    def __init__(self, label: str, markup: str, kind: str = "text") -> None:
+        self.label, self.kind, self.arcs, self.skips = label, kind, [[]], [[]]
         self.mandatory = 0
-        self.end = self._sequence(0, re.findall(r"\[\[|\]\]|\{\{[^}]*\}\}|[^\s\[\]{}]+", markup), True)
+        self.end = self._sequence(0, re.findall(r"\[\[|\]\]|\{\{[^}]*\}\}|(?:(?!\[\[|\]\]|\{\{).)+", markup, re.S))
         self.first = frozenset(w for s in self.closed({0}) for w, _ in self.arcs[s])
         if None in self.first:
             raise ValueError(f"a template begins with a word: {markup}")
-        plain = re.sub(r"\[\[.*?\]\]|\{\{.*?\}\}", " ", markup).split()
-        self.needs = max(plain, key=len).encode()  # a mandatory word; its longest is the rarest as a rule
+        plain = re.sub(r"\[\[.*?\]\]|\{\{.*?\}\}", " ", markup, flags=re.S)
+        self.needs = max(words_of(plain.encode()), key=len)  # a mandatory word; the longest is the rarest as a rule
 
     def _state(self) -> int:
         self.arcs.append([])
@@ -95,7 +66,7 @@ class Automaton:
         self.arcs[at].append((word, to))
         return to
 
-    def _sequence(self, at: int, parts: list[str], mandatory: bool) -> int:
+    def _sequence(self, at: int, parts: list[str]) -> int:
         opened: list[int] = []
         for part in parts:
             if part == "[[":
@@ -114,13 +85,14 @@ class Automaton:
                 to = self._state()
                 for choice in part[2:-2].split("|"):
                     end = at
-                    for word in choice.split():
-                        end = self._word(end, word.encode())
+                    for word in words_of(choice.encode()):
+                        end = self._word(end, word)
                     self.skips[end].append(to)
                 at = to
             else:
-                at = self._word(at, part.encode())
-                self.mandatory += mandatory and not opened
+                for word in words_of(part.encode()):
+                    at = self._word(at, word)
+                    self.mandatory += not opened
         if opened:
             raise ValueError("an optional part isn't closed")
         return at
@@ -148,7 +120,7 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates=TEMPLATES, phrases=PHRASES) -> None:
-        self.automata = [Automaton(label, markup) for label, markup in templates]
+        self.automata = [Automaton(label, markup, kind) for label, kind, markup in templates]
         self.phrases = [(tuple(p.encode().split()), label) for p, label in phrases]
         self.phrase_ends = [words[-1] for words, _ in self.phrases]
         self.starts: dict[bytes, list[Automaton]] = {}
@@ -163,7 +135,7 @@ class Scanner:
         n = int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
         if not n or not self.anchors.search(text):
             return n, 0, None, None, "", "", 0.0
-        words = _WORD.findall(text)
+        words = words_of(text)
         places, labels = [], set()
         at: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
@@ -175,13 +147,13 @@ class Scanner:
                     places.append(i)
                     labels.add(label)
         base = ",".join(sorted(labels))
-        score = 0.5 if labels else 0.0
+        score = SCORES["phrase"] if labels else 0.0
         present = set(words)
         for word, automata in self.starts.items():
             for automaton in automata:
                 if automaton.needs in present and any(automaton.accepts(words, i) for i in at.get(word, ())):
                     labels.add(automaton.label)
-                    score = max(score, automaton.mandatory / (automaton.mandatory + 1))
+                    score = max(score, SCORES[automaton.kind])
         return n, len(places), min(places, default=None), max(places, default=None), base, ",".join(sorted(labels)), score
 
 
