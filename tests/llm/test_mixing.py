@@ -3,28 +3,42 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concord.llm import mixing
 
 DOCS = "doc_id long, text string, source string, size int, target double"
 
 
-def test_targets_are_shared_and_capped():
-    assert mixing.targets({"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 187.5, "b": 75.0, "c": 37.5})
-    got = mixing.targets({"a": 10, "b": 500, None: 490})
+def by_hand(sizes, weights=mixing.WEIGHTS, cap=mixing.CAP):
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full: set = set()
+    while True:
+        left = sum(sizes.values()) - sum(cap * sizes[s] for s in full)
+        share = left / sum(weight[s] for s in order if s not in full) if len(full) < len(order) else 0.0
+        more = {s for s in order if s not in full and weight[s] * share > cap * sizes[s]}
+        if not more:
+            return {s: float(cap * sizes[s]) if s in full else weight[s] * share for s in order}
+        full |= more
+
+
+def test_targets_by_hand():
+    assert by_hand({"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 187.5, "b": 75.0, "c": 37.5})
+    got = by_hand({"a": 10, "b": 500, None: 490})
     assert got["a"] == 30 and got["b"] == pytest.approx(970 * 2 / 3) and got[None] == pytest.approx(970 / 3)
-    got = mixing.targets({"a": 0, "b": 10})
-    assert got == {"a": 0.0, "b": 10.0}
-    assert mixing.targets({}) == {}
+
+
+def test_targets_are_shared_and_capped(spark):
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        sizes = {f"s{i:02}": int(rng.integers(0, 1000)) for i in range(9)}
-        got = mixing.targets(sizes)
-        assert sum(got.values()) == pytest.approx(sum(sizes.values()))
-        assert all(got[s] <= 3 * n + 1e-9 for s, n in sizes.items())
-        free = {s for s in sizes if got[s] < 3 * sizes[s] - 1e-9}
-        weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sorted(sizes))}
-        assert len({round(got[s] / weight[s], 6) for s in free}) <= 1
+    for sizes in [{"a": 100, "b": 100, "c": 100}, {"a": 0, "b": 10}, {None: 5}, {}, {f"s{i:02}": int(rng.integers(0, 1000)) for i in range(40)} | {"é": 7, "": 900, "\U0001f600": 3, "\uffee": 20, None: 60}]:
+        table = mixing.ranked(spark.createDataFrame(list(sizes.items()), "s string, z long"))
+        rows = mixing.targets(table).collect()
+        want = by_hand(sizes)
+        order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+        assert {r["s"]: r["rank"] for r in rows} == {s: i for i, s in enumerate(order)}
+        assert {r["s"]: r["target"] for r in rows} == pytest.approx(want)
+        assert all(r["target"] <= 3 * r["z"] + 1e-9 for r in rows)
 
 
 def rows():
@@ -45,7 +59,7 @@ def test_mixture(spark):
     sums = defaultdict(int)
     for i, _, s, *_ in data:
         sums[s] += size[i]
-    due = mixing.targets(dict(sums))
+    due = by_hand(dict(sums))
     taken = defaultdict(int)
     for r in got:
         assert r["size"] == size[r["doc_id"]] and r["source_size"] == sums[r["source"]]
@@ -64,11 +78,16 @@ def test_mixture(spark):
 
 
 def test_multipliers_solve_the_dual(spark):
-    df = spark.createDataFrame([("a", 10), ("a", 30), ("b", 5), (None, 7)], "s string, size long")
-    due = {"a": 4.0, "b": 14.9, None: 0.0}
-    held = mixing.multipliers(df, due)
-    assert 40 * math.exp(held["a"]) == pytest.approx(4.0) and 5 * math.exp(held["b"]) == pytest.approx(14.9)
-    assert held[None] == -math.inf
+    data = [(40.0, 4.0), (5.0, 14.9), (7.0, 7.0), (1e9, 1.0), (3.0, 9.0)]
+    got = spark.createDataFrame(data, "z double, target double").select("z", "target", mixing.multiplier(F.col("z"), F.col("target")).alias("l")).collect()
+    assert [r["z"] * math.exp(r["l"]) for r in got] == pytest.approx([r["target"] for r in got], rel=1e-12)
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a b c", f"s{i % 40}", 1, 1.0) for i in range(400)], DOCS)
+    want = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 3)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()} == want
 
 
 def test_repeats_nulls_and_empty(spark):
