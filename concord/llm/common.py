@@ -76,6 +76,18 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df has not, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def thinned(share: float, *keys: str) -> Column:
     """Whether a row is among the `share` of all that a hash of its keys picks, however small the share."""
     return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(*keys, F.lit("fit")), 1) < max(1, int(share * 2**63))

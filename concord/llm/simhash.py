@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import bounds, by_key, cut, runs
+from concord.llm.common import bounds, by_key, cut, fresh, runs
 from concord.llm.components import components
 
 SEED = 42
@@ -331,17 +331,20 @@ def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     """docs without the near copies: of each group the row with the smallest doc_id stays, once, with its own columns.
 
     Rows with a null doc_id stay, as they can't be told apart. Rows are told apart by doc_id and words: of those that
-    repeat both one stays, and different texts under one doc_id are judged each.
+    repeat both one stays, the first by all its columns as JSON, and different texts under one doc_id are judged each.
     """
     groups = cut(copy_groups(docs, size, similarity).where("doc_id is not null"), "groups")
-    own = [F.col("doc_id").alias("_id"), F.col("same").alias("_own")]
+    same, of_id, of_text = fresh(docs, "same", "of_id", "of_text")
+    own = [F.col("doc_id").alias(of_id), F.col("same").alias(of_text)]
     gone = groups.where("doc_id <> component_id or same <> component_same").select(*own).distinct()
-    marked = docs.withColumn("_same", _same(F.col("text")))
-    here = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_same") == F.col("_own"))
+    marked = docs.withColumn(same, _same(F.col("text")))
+    here = (F.col("doc_id").cast("long") == F.col(of_id)) & (F.col(same) == F.col(of_text))
     kept = marked.join(gone, here, "left_anti")
-    twice = groups.groupBy("doc_id", "same").agg(F.count("*").alias("_n")).where("_n > 1").select(*own)
+    twice = groups.groupBy("doc_id", "same").agg(F.count("*").alias("n")).where("n > 1").select(*own)
     if twice.isEmpty():
-        return kept.drop("_same")
-    again = kept.join(twice, here, "left_semi").dropDuplicates(["doc_id", "_same"])
-    single = kept.join(twice, here, "left_anti")
-    return single.unionByName(again).drop("_same")
+        return kept.drop(same)
+    again = kept.join(twice, here, "left_semi")
+    whole = F.struct(*[again[c] for c in docs.columns])
+    again = again.groupBy(F.col("doc_id").cast("long"), same).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    single = kept.join(twice, here, "left_anti").drop(same)
+    return single.unionByName(again)
