@@ -5,16 +5,17 @@ largest norm) and 0 for the queries. A k-means on a bounded sample gives the lis
 A query visits the nearest lists. Within a list, vectors are rotated by a random orthogonal matrix and read in blocks of
 columns: after a block, the distance so far times D / d estimates the whole distance, and a candidate is abandoned if
 the estimate lies above the query's 20th best by more than `1 + epsilon / sqrt(d)` allows (Gao and Long, 2023). What
-survives all blocks is measured on the original vectors in double precision.
+survives all blocks is measured on the original vectors in double precision. A query first visits the nearest lists that
+hold enough vectors for an answer; its 20th best there is the threshold that it carries to all the others.
 
 A list of many vectors is dealt into chunks, and its queries into parts, by hash; each (list, chunk, part) is one small
 group, whatever the skew. A group returns at most k rows for each query. The centroids and the table of lists are
 parameters of the index, of bounded size; nothing else is broadcast or collected.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
-another length than the most frequent; equal scores rank by vec_id; rows that repeat a vec_id and its vector count once
-(with other vectors each counts, and none answers a query of its own vec_id); with fewer than k candidates all are returned; an empty
-table gives an empty table; extra columns are ignored.
+another length than the most frequent; equal scores rank by vec_id; rows that repeat a vec_id and its vector are one
+(with other vectors each counts and each is a query of its own, and none answers a query of its own vec_id); with fewer
+than k candidates all are returned; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm.common import bounds, by_key, cut, runs, thinned
+from concord.llm.common import bounds, by_key, cut, discard, runs, thinned
 
 #: Rows that the centroids are fitted on at most, chosen by a hash of vec_id.
 SAMPLE = 20_000
@@ -36,12 +37,12 @@ BLOCKS = 4
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """(vec_id, v: array<double>) of the vectors that take part."""
+    """(vec_id, v: array<double>) of the vectors that take part, without repeats."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(fine)
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (usual["n"] if usual else 0))
+    return rows.where(F.size("v") == (usual["n"] if usual else 0)).dropDuplicates(["vec_id", "v"])
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -51,19 +52,6 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def once(rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """rows without repeats of the same id and vector."""
-    if len(rows) < 2:
-        return rows
-    order = rows[np.argsort(ids[rows], kind="stable")]
-    again = ids[order][1:] == ids[order][:-1]
-    if not again.any():
-        return rows
-    seen: set[tuple[int, bytes]] = set()
-    keep = [r for r in order.tolist() if not ((key := (int(ids[r]), v[r].tobytes())) in seen or seen.add(key))]
-    return np.array(keep)
-
-
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
@@ -117,15 +105,20 @@ class Index:
     def as_query(q: np.ndarray) -> np.ndarray:
         return np.hstack([q, np.zeros((len(q), 1))])
 
-    def scan(self, q: np.ndarray, own: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, batch: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query its best (scores, ids) among the candidates, abandoning by partial distances."""
+    def scan(self, q: np.ndarray, own: np.ndarray, least: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, batch: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query its best (scores, ids) among the candidates, abandoning by partial distances.
+
+        least: the score of the query's k-th best so far, from other lists; -inf if it has fewer.
+        """
         order = np.argsort(ids, kind="stable")
         c, ids = c[order], ids[order]
         scale = self.norm / np.maximum(np.sqrt((q**2).sum(axis=1)), 1e-300)
         rq, rc = self.scaled(q) @ self.rotation, self.lifted(c) @ self.rotation
         d = rq.shape[1]
         cuts = np.unique(np.linspace(0, d, BLOCKS + 1).astype(int))
-        limit = np.full(len(q), np.inf)
+        limit = 2 * self.norm**2 - 2 * np.maximum(least, -1e300) * scale  # |q'|^2 + |c'|^2 - 2 q'c', with both norms M
+        floor = limit * (1 + 1e-9) + 1e-9
+        limit = np.where(least > -np.inf, floor, np.inf)
         best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in range(len(q))]
         for lo in range(0, len(c), batch):
             part = rc[lo : lo + batch]
@@ -151,8 +144,8 @@ class Index:
                 t = np.concatenate([best[n][1], ids[lo + j[starts[n] : starts[n + 1]]]])
                 top = np.lexsort((t, -s))[:k]
                 best[n] = s[top], t[top]
-                if len(top) == k:  # |q'|^2 + |c'|^2 - 2 q'c', with both norms M
-                    limit[n] = 2 * self.norm**2 - 2 * s[top[-1]] * scale[n]
+                if len(top) == k:
+                    limit[n] = min(limit[n], 2 * self.norm**2 - 2 * s[top[-1]] * scale[n])
         return best
 
 
@@ -177,7 +170,8 @@ def search(table: DataFrame, queries: DataFrame | None = None, k: int = 20, reca
     """
     spark = table.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    vectors = cut(usable(table), "vectors")
+    passing: list[str] = []
+    vectors = cut(usable(table), "vectors", passing)
     asked = vectors.where("vec_id % 20 = 0") if queries is None else usable(queries)
     index = build(vectors, k, recall)
     if index is None:
@@ -189,7 +183,7 @@ def search(table: DataFrame, queries: DataFrame | None = None, k: int = 20, reca
                 near = nearest(index.lifted(matrix(batch.column("v"))), index.centers, 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
 
-    placed = cut(vectors.mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists")
+    placed = cut(vectors.mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists", passing)
     size = np.zeros(len(index.centers), dtype=np.int64)
     for row in placed.groupBy("list").count().collect():  # one row a list
         size[row["list"]] = row["count"]
@@ -201,37 +195,53 @@ def search(table: DataFrame, queries: DataFrame | None = None, k: int = 20, reca
                 continue
             near = nearest(index.scaled(matrix(batch.column("v"))), index.centers, len(size))
             held = np.cumsum(size[near], axis=1)
-            enough = (held >= k + 1).argmax(axis=1) + 1
-            enough = np.where(held[:, -1] >= k + 1, enough, len(size))
-            n = np.maximum(enough, visits)
-            lists = [near[i, : n[i]][size[near[i, : n[i]]] > 0].astype(np.int32) for i in range(len(near))]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
-
-    routed = cut(asked.mapInArrow(route, "vec_id long, v array<double>, lists array<int>"), "routes")
+            enough = np.where(held[:, -1] >= k + 1, (held >= k + 1).argmax(axis=1) + 1, len(size))
+            last = np.maximum(enough, visits)
+            some = lambda i, lo, hi: near[i, lo:hi][size[near[i, lo:hi]] > 0].astype(np.int32)  # noqa: B023, E731
+            kind = pa.list_(pa.int32())
+            parts = [pa.array([some(i, 0, enough[i]) for i in range(len(near))], kind), pa.array([some(i, enough[i], last[i]) for i in range(len(near))], kind)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("q"), *parts], ["vec_id", "v", "q", "first", "others"])
+
+    routed = cut(asked.withColumn("q", F.xxhash64("v")).mapInArrow(route, "vec_id long, v array<double>, q long, first array<int>, others array<int>"), "routes", passing)
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    begun = cut(best(_scanned(placed, routed.withColumn("least", F.lit(float("-inf"))), "first", size, index, k, chunk, part)), "begun", passing)
+    least = begun.groupBy(F.col("query_id").alias("vec_id"), "q").agg(F.when(F.count("*") == k, F.min("score")).otherwise(float("-inf")).alias("least"))
+    carried = cut(routed.where("size(others) > 0").join(least, ["vec_id", "q"], "left").fillna(float("-inf"), ["least"]), "carried", passing)
+    found = _scanned(placed, carried, "others", size, index, k, chunk, part)
+    out = cut(best(begun.drop("rank").union(found)).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    discard(spark, passing)
+    return out
+
+
+def _scanned(placed: DataFrame, asks: DataFrame, lists: str, size: np.ndarray, index: Index, k: int, chunk: int, part: int) -> DataFrame:
+    """placed (vec_id, v, list) and asks (vec_id, v, q, least, lists) -> (query_id, q, vec_id, score): at most k of each group."""
+    spark = placed.sparkSession
     visited = np.zeros(len(size), dtype=np.int64)
-    for row in routed.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
+    for row in asks.select(F.explode(lists).alias("list")).groupBy("list").count().collect():  # one row a list
         visited[row["list"]] = row["count"]
-    plan = [(i, max(1, -(-int(s) // chunk)), max(1, -(-int(q) // part))) for i, (s, q) in enumerate(zip(size, visited))]
+    plan = [(i, max(1, -(-int(s) // chunk)), max(1, -(-int(q) // part))) for i, (s, q) in enumerate(zip(size, visited)) if q]
     plan_df = F.broadcast(spark.createDataFrame(plan, "list int, chunks int, parts int"))  # one row a list
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.col(n)).cast("int")
     group = F.xxhash64("list", "chunk", "part").alias("g")
-    held = placed.join(plan_df, "list").withColumn("chunk", dealt("chunks")).withColumn("part", each("parts")).select(group, F.lit(False).alias("asks"), "vec_id", "v")
-    asks = routed.select("vec_id", "v", F.explode("lists").alias("list")).join(plan_df, "list").withColumn("part", dealt("parts")).withColumn("chunk", each("chunks")).select(group, F.lit(True).alias("asks"), "vec_id", "v")
+    none = [F.lit(None).cast("long").alias("q"), F.lit(None).cast("double").alias("least")]
+    held = placed.join(plan_df, "list").withColumn("chunk", dealt("chunks")).withColumn("part", each("parts")).select(group, F.lit(False).alias("asks"), "vec_id", "v", *none)
+    asked = asks.select("vec_id", "v", "q", "least", F.explode(lists).alias("list")).join(plan_df, "list").withColumn("part", dealt("parts")).withColumn("chunk", each("chunks"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "g"):
-            g, ids, q = t.column("g").to_numpy(), t.column("vec_id").to_numpy(), t.column("asks").to_numpy().astype(bool)
+            g, ids, asking = t.column("g").to_numpy(), t.column("vec_id").to_numpy(), t.column("asks").to_numpy().astype(bool)
+            q, least = t.column("q").fill_null(0).to_numpy(), t.column("least").fill_null(0.0).to_numpy()
             v, out = matrix(t.column("v")), []
             cuts = bounds(g)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                a, c = (once(lo + np.flatnonzero(x), ids, v) for x in (q[lo:hi], ~q[lo:hi]))  # repeats share a group
+                a, c = lo + np.flatnonzero(asking[lo:hi]), lo + np.flatnonzero(~asking[lo:hi])
                 if len(a) and len(c):
-                    for n, (s, i) in zip(a.tolist(), index.scan(v[a], ids[a], v[c], ids[c], k)):
-                        out.append((np.full(len(s), ids[n]), i, s))
+                    for n, (s, i) in zip(a.tolist(), index.scan(v[a], ids[a], least[a], v[c], ids[c], k)):
+                        out.append((np.full(len(s), ids[n]), np.full(len(s), q[n]), i, s))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "q", "vec_id", "score"])
 
-    found = by_key(held.union(asks), "g", scan, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = held.union(asked.select(group, F.lit(True).alias("asks"), "vec_id", "v", "q", "least"))
+    return by_key(rows, "g", scan, "query_id long, q long, vec_id long, score double")

@@ -64,3 +64,23 @@ def test_odd_vectors(spark):
     assert rows == [(0, 1, 2.0), (0, 3, 2.0), (0, 2, 0.0)]
     assert ann.search(spark.createDataFrame([], VECTORS)).collect() == []
     assert ann.search(spark.createDataFrame([(i, None, 1, "s") for i in range(3)], VECTORS)).collect() == []
+
+
+def test_vectors_that_share_an_id_are_queries_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), *[(i, [float(i % 7), float(i % 5)]) for i in range(100, 160) if i % 20]]
+    df = spark.createDataFrame([(i, v, None, None) for i, v in rows], VECTORS)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, probes=1.0).where("query_id = 20").collect()]
+    assert len(got) == 40 and 20 not in {i for _, i, _ in got}
+    others = [(i, v) for i, v in rows if i != 20]
+    want = [(n + 1, i, s) for axis in (0, 1) for n, (s, i) in enumerate(sorted(((v[axis], i) for i, v in others), key=lambda r: (-r[0], r[1]))[:20])]
+    assert sorted(got) == sorted(want)
+
+
+def test_recall_on_the_tables_vectors(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    rows = ann.usable(table).orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    want, got = exact(ids, x), found(ann.search(table))
+    recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in top}) / len(top) for q, top in want.items()])
+    print("recall", len(ids), recall)
+    assert recall >= 0.9
