@@ -107,17 +107,25 @@ def features_packed(packed: DataFrame, dt: float = DT) -> DataFrame:
 
 
 def displacement_error(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Mean planar distance of prediction to ground truth: (clip_id, ade_meters, n_joined).
+    """Mean planar distance of prediction to ground truth: (clip_id, ade_meters, n_joined) of clips that have a common step."""
+    return path_pairs(pred, truth).where("n_joined > 0").select("clip_id", "ade_meters", "n_joined")
 
-    Both tables are stacked and met by an aggregation rather than a join: with waypoints partitioned by clip_id neither
-    is shuffled or sorted again, and no side can be taken for small enough to broadcast. (clip_id, step) is a key.
+
+def path_pairs(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(clip_id, ade_meters, n_joined), and for each side (p, g) its rows n, first step lo and last step hi.
+
+    A step that a side has twice takes its largest coordinates; n then differs from hi - lo + 1. Both tables are stacked and met by an aggregation rather than a join: with waypoints partitioned by clip_id neither
+    is shuffled or sorted again, and no side can be taken for small enough to broadcast.
     """
     side = lambda df, n: df.select("clip_id", "step", F.lit(n).alias("side"), "x", "y")
     pick = lambda c, n: F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{c}{n}")
     both = side(pred, 0).unionByName(side(truth, 1)).groupBy("clip_id", "step")
-    pairs = both.agg(*[pick(c, n) for c in ("x", "y") for n in (0, 1)], (F.max("side") != F.min("side")).alias("met"))
+    pairs = both.agg(*[pick(c, n) for c in ("x", "y") for n in (0, 1)], F.sum("side").alias("n1"), F.sum(1 - F.col("side")).alias("n0"))
     error = F.sqrt(F.pow(F.col("x0") - F.col("x1"), 2.0) + F.pow(F.col("y0") - F.col("y1"), 2.0))
-    return pairs.where("met").groupBy("clip_id").agg(F.avg(error).alias("ade_meters"), F.count("*").alias("n_joined"))
+    met = (F.col("n0") > 0) & (F.col("n1") > 0)
+    step = lambda n: F.when(F.col(n) > 0, F.col("step"))
+    spans = [x for side, n in (("p", "n0"), ("g", "n1")) for x in (F.sum(n).alias(f"n{side}"), F.min(step(n)).alias(f"n{side}_lo"), F.max(step(n)).alias(f"n{side}_hi"))]
+    return pairs.groupBy("clip_id").agg(F.avg(F.when(met, error)).alias("ade_meters"), F.count(F.when(met, 1)).alias("n_joined"), *spans)
 
 
 def curvature(way: DataFrame) -> DataFrame:

@@ -43,11 +43,13 @@ def curvature_effect(results: DataFrame, way: DataFrame) -> DataFrame:
 def parser_ablation(results: DataFrame, variants: dict[str, RuleSet] = VARIANTS) -> DataFrame:
     """The severe rate of the same paths under several rule sets, and the spread with its verdict."""
     rows = valid(results).select("clip_id", "cot_text", "long_execution", "lat_execution")
-    severe = (severity(F.col("mismatch_score")) == "severe").cast("double")
-    out = None
-    for name, rules in variants.items():
-        part = score(classify_text(rows, "cot_text", rules)).agg(F.lit(name).alias("variant"), F.count("*").alias("n"), (100 * F.avg(severe)).alias("severe_pct"))
-        out = part if out is None else out.unionByName(part)
+    kept, rates = list(rows.columns), []
+    for name, rules in variants.items():  # all in one pass over the texts
+        judged = score(classify_text(rows, "cot_text", rules))
+        kept.append(f"severe_{name}")
+        rows = judged.withColumn(kept[-1], (severity(F.col("mismatch_score")) == "severe").cast("double")).select(*kept)
+        rates.append(F.struct(F.lit(name).alias("variant"), F.count("*").alias("n"), (100 * F.avg(kept[-1])).alias("severe_pct")))
+    out = rows.agg(F.array(*rates).alias("rates")).select(F.inline("rates"))
     over = Window.partitionBy()  # one row a variant
     spread = F.max("severe_pct").over(over) - F.min("severe_pct").over(over)
     return out.withColumn("spread", spread).withColumn("verdict", F.when(F.round(spread, 6) > 5, "parser_sensitive").when(F.round(spread, 6) <= 2, "robust").otherwise("unclear"))

@@ -17,11 +17,12 @@ def valid(results: DataFrame) -> DataFrame:
     return results.where("mismatch_score is not null") if "mismatch_score" in results.columns else results.where(F.lit(False))
 
 
-def run_summary(results: DataFrame) -> DataFrame:
-    """Counts and means of a run; means are null without a valid row."""
+def run_summary(results: DataFrame, timestamp: str | None = None) -> DataFrame:
+    """Counts and means of a run; means are null without a valid row. timestamp: when it ended, if it is to be told."""
     names = dict(zip(METRICS, ("mean_mismatch", "mean_ade", "mean_long_match", "mean_lat_match")))
     scored = F.col("mismatch_score").isNotNull()
-    return results.agg(F.count("*").alias("total_clips"), F.count("mismatch_score").alias("valid"), *[F.avg(F.when(scored, F.col(c))).alias(n) for c, n in names.items()])
+    out = results.agg(F.count("*").alias("total_clips"), F.count("mismatch_score").alias("valid"), *[F.avg(F.when(scored, F.col(c))).alias(n) for c, n in names.items()])
+    return out.select(F.lit(timestamp).alias("timestamp"), "*") if timestamp else out
 
 
 def with_percent(counts: DataFrame, n: str = "n") -> DataFrame:

@@ -82,13 +82,12 @@ def score_with_errors(clips: DataFrame, reasoning: DataFrame, predictions: DataF
     """Results in which a clip whose inputs don't fit is an error row; the job goes on."""
     clips = normalize_clips(clips).select("clip_id", "t0_us", "scenario_type")
     predictions, truth = _of(clips, predictions, truth)
-    span = lambda df, n: df.groupBy("clip_id").agg(F.count("*").alias(n), F.min("step").alias(f"{n}_lo"), F.max("step").alias(f"{n}_hi"))
-    paths = kinematics.features(predictions).drop("n_steps").join(kinematics.displacement_error(predictions, truth).select("clip_id", "ade_meters"), "clip_id", "left")
-    rows = clips.join(paths, "clip_id", "left").join(span(predictions, "np"), "clip_id", "left").join(span(truth, "ng"), "clip_id", "left")
+    pairs = kinematics.path_pairs(predictions, truth)  # its spans are those of both tables
+    rows = clips.join(pairs, "clip_id", "left").join(kinematics.features(predictions).drop("n_steps"), "clip_id", "left")
     gap = lambda n: (F.col(f"{n}_lo") != 0) | (F.col(f"{n}_hi") != F.col(n) - 1)
     error = (
-        F.when(F.col("np").isNull(), "missing prediction")
-        .when(F.col("ng").isNull(), "missing ground truth")
+        F.when(F.coalesce(F.col("np"), F.lit(0)) == 0, "missing prediction")
+        .when(F.coalesce(F.col("ng"), F.lit(0)) == 0, "missing ground truth")
         .when(gap("np") | gap("ng"), "steps not contiguous")
         .when(F.col("np") != F.col("ng"), "length mismatch")
     )

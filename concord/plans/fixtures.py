@@ -36,6 +36,8 @@ PHRASES = (
     None,
 )
 SEED = 99
+#: Event ids of a block.
+BLOCK = 65_536
 
 
 class Tables:
@@ -98,11 +100,14 @@ class Tables:
         return rows.select("clip_id", "step", (F.col("r") * F.sin("h") - F.col("c") * F.sin("h")).alias("x"), (F.col("r") * (1 - F.cos("h")) + F.col("c") * F.cos("h")).alias("y"), F.lit(0.0).alias("z"))
 
     def event_paths(self) -> DataFrame:
-        """Ragged paths from the running sums of events; a clip is a user."""
-        w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        rows = self.read("events").withColumn("step", F.row_number().over(w) - 1)
-        rows = rows.withColumns({"x": F.sum(F.col("value") / 100).over(w), "y": F.sum((F.col("event_id") % 3 - 1) * F.lit(0.11)).over(w)}).where("step < 64")
-        return rows.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("clip_id"), F.col("step").cast("int").alias("step"), "x", "y", F.lit(0.0).alias("z"))
+        """Ragged paths from the running sums of events; a clip is a user's events in a block of ids, so that none is long
+        without bound however busy a user is."""
+        block = F.floor(F.col("event_id") / BLOCK)
+        w = Window.partitionBy("user_id", "block").orderBy("ts", "event_id")
+        rows = self.read("events").withColumn("block", block).withColumn("step", F.row_number().over(w) - 1)
+        rows = rows.withColumns({"x": F.sum(F.col("value") / 100).over(w), "y": F.sum((F.col("event_id") % 3 - 1) * F.lit(0.11)).over(w)})
+        clip = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("block").cast("string"))
+        return rows.select(clip.alias("clip_id"), F.col("step").cast("int").alias("step"), "x", "y", F.lit(0.0).alias("z"))
 
     def packed_paths(self) -> DataFrame:
         """Packed paths from embeddings: the vector as the lateral course."""

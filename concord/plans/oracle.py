@@ -106,8 +106,8 @@ CTES: dict[str, str] = {
     "cls": f"SELECT *, {_LONG} AS long_execution, {_LAT.format('total_lateral_shift')} AS lat_execution FROM feat",
     "ades": _ade("way", "gt"),
     "ades_e": _ade("way_e", "gt_e"),
-    "evw": """SELECT 'u' || user_id AS clip_id, step::INT AS step, x, y FROM (SELECT user_id, row_number() OVER w - 1 AS step, sum(value / 100) OVER w AS x, sum((event_id % 3 - 1) * 0.11::DOUBLE) OVER w AS y
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE step < 64""",
+    "evw": """SELECT 'u' || user_id || '-' || event_id // 65536 AS clip_id, step::INT AS step, x, y FROM (SELECT user_id, event_id, row_number() OVER w - 1 AS step, sum(value / 100) OVER w AS x, sum((event_id % 3 - 1) * 0.11::DOUBLE) OVER w AS y
+  FROM events WINDOW w AS (PARTITION BY user_id, event_id // 65536 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""",
     "evs": "SELECT *, distance / 0.1::DOUBLE AS speed FROM (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS distance FROM evw WINDOW w AS (PARTITION BY clip_id ORDER BY step))",
     "emb": "SELECT 'v' || vec_id AS clip_id, i::INT - 1 AS step, (i - 1) * 0.1::DOUBLE * (2 + label) AS x, embedding[i]::DOUBLE * 4 AS y FROM embeddings, range(1, 65) AS r(i) WHERE i <= len(embedding)",
     "embf": _features("emb"),
@@ -185,6 +185,10 @@ def oracle_sql() -> dict[str, str]:
         "quota_fill": f"{drawn} FROM (SELECT *, row_number() OVER (PARTITION BY hour_bucket ORDER BY {_MD5.format(_SEED + 2)}) AS k FROM cand WHERE clip_id IN (SELECT clip_id FROM cover WHERE ego_max >= 19500000 AND ego_min <= 300000)) WHERE k <= {n_each}",
         "simple_sample": f"SELECT clip_id, {_T0} AS t0_us, 'all' AS hour_bucket, coalesce(country, 'unknown') AS country FROM elig ORDER BY {_MD5.format(_SEED)} LIMIT {_SAMPLE}",
         "scenario_sample": "SELECT * FROM scen",
+        "clip_manifest": "SELECT clip_id, scenario, 'camera_front_wide,egomotion' AS sensors FROM scen",
+        "overdrawn_candidates": f"SELECT clip_id, hour_bucket, hour_of_day FROM (SELECT *, row_number() OVER (PARTITION BY hour_bucket ORDER BY {_MD5.format(_SEED)}) AS k FROM elig WHERE hour_bucket IS NOT NULL) WHERE k = 1 ORDER BY {_MD5.format(_SEED + 1)} LIMIT 3",
+        "shuffled_order": f"SELECT clip_id, ('0x' || substr(md5('{_SEED}|' || clip_id), 1, 15))::BIGINT AS ord FROM clips",
+        "stored_eval_set": "SELECT * FROM clips",
         "normalize_clips": "SELECT clip_id, t0_us, hour_bucket AS scenario_type FROM clips",
         "limit_clips": "SELECT * FROM clips ORDER BY ord LIMIT 250",
         "eval_set_profile": f"SELECT hour_bucket, count(*) AS n, {_r('min(t0_us) / 1e6 AS t0_min_s', 'max(t0_us) / 1e6 AS t0_max_s')} FROM clips GROUP BY hour_bucket",
@@ -197,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
         "trajectory_features": f"SELECT clip_id, coalesce(n_steps, 0) AS n_steps, {_r(*[f'coalesce({c}, 0.0) AS {c}' for c in _FEATS if c != 'speed_change'], 'coalesce(final_speed - initial_speed, 0.0) AS speed_change')} FROM idx LEFT JOIN feat_e USING (clip_id)",
         "exec_class": "SELECT clip_id, long_execution, lat_execution FROM cls",
         "exec_class_packed": f"SELECT clip_id, {_r(*[c for c in _FEATS if c != 'speed_change'], 'final_speed - initial_speed AS speed_change')}, {_LONG} AS long_execution, {_LAT.format('total_lateral_shift')} AS lat_execution FROM embf",
+        "pack_trajectory": f"SELECT clip_id, step, {_r('x', 'y')}, 0.0::DOUBLE AS z FROM evw",
         "unpack_trajectory": f"SELECT clip_id, step, {_r('x', 'y')}, 0.0::DOUBLE AS z FROM emb",
         "ade": f"SELECT clip_id, {_r('ade_meters')}, n_joined FROM ades_e",
         "curvature_lateral": "SELECT clip_id, round(residual, 3) + 0.0::DOUBLE AS residual, raw_class, curve_class FROM arcc",

@@ -110,7 +110,28 @@ def scenario_sample(t):
 
 @query
 def clip_manifest(t):
-    return io.manifest(sampling.scenario_sample(t.metadata(), SCENARIOS, 300), ["camera_front_wide", "egomotion"])
+    """The manifest's one row, read again as rows."""
+    made = io.manifest(sampling.scenario_sample(t.metadata(), SCENARIOS, 300), ["camera_front_wide", "egomotion"])
+    return made.select(F.explode("clips").alias("c"), F.array_join("sensors", ",").alias("sensors")).select("c.clip_id", "c.scenario", "sensors")
+
+
+@query
+def overdrawn_candidates(t):
+    """One of each bucket is more than was asked for: drawn again."""
+    return sampling.stratified_candidates(sampling.eligible(t.indexed()), 1, 3, SEED, strict=False).select("clip_id", "hour_bucket", "hour_of_day")
+
+
+@query
+def shuffled_order(t):
+    return sampling.shuffled(t.clips(), SEED).select("clip_id", "ord")
+
+
+@query
+def stored_eval_set(t):
+    """Written, and read as the first of several paths that there is."""
+    path = io.new_path(t.spark, "eval_set")
+    io.write_eval_set(t.clips(), path)
+    return io.eval_set(t.spark, [f"{path}-none", path])
 
 
 @query
@@ -177,7 +198,8 @@ def exec_class_packed(t):
 
 @query
 def pack_trajectory(t):
-    return kinematics.pack(t.event_paths())
+    """Packed, and read again as waypoints in the order of their steps."""
+    return kinematics.unpack(kinematics.pack(t.event_paths()))
 
 
 @query

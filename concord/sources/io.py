@@ -40,6 +40,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 _own_dirs: dict[str, str] = {}
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in spark.checkpoint.dir; where that is unset, in a temporary folder if driver and executors are one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master.partition("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir is unset: on {master} stored tables need a folder that all executors share")
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="concord-")
+        shared = _own_dirs[app]
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str = "scores") -> DataFrame:
     """df written to the folder that driver and executors share, and read back.
 
@@ -47,11 +60,7 @@ def stored(df: DataFrame, name: str = "scores") -> DataFrame:
     classification and evaluate every pattern again.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="concord-")
-        _own_dirs[spark.sparkContext.applicationId] = shared
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,8 +81,9 @@ def append_results(df: DataFrame, path: str, csv: bool = False) -> None:
         rows.write.mode("append").parquet(path)
 
 
-def write_checkpoint(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_checkpoint(df: DataFrame, path: str, run: str | None = None) -> None:
+    """The rows so far, over those of the same run; each run has a folder of its own."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}" if run else path)
 
 
 def write_eval_set(clips: DataFrame, path: str) -> None:
@@ -90,7 +100,7 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def eval_set(spark: SparkSession, paths: list[str], example: tuple = ("example", 5_100_000, "unknown", "unknown", 0)) -> DataFrame:
+def eval_set(spark: SparkSession, paths: list[str], example: tuple = ("example", 5_100_000, "example", "unknown", 0)) -> DataFrame:
     """The first of the files that exists, else one example clip."""
     for path in paths:
         if exists(spark, path):

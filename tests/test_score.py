@@ -95,3 +95,13 @@ def test_matrices_are_broadcast(spark):
     plan = score.score(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "Python" not in plan
     assert score.score(df).first()["mismatch_score"] == pytest.approx(0.5)
+
+
+def test_repeated_steps_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    way = spark.createDataFrame([(c, s, float(s), 0.0, 0.0) for c in ("a", "b") for s in range(4)] + [("b", 2, 9.0, 9.0, 0.0)], "clip_id string, step int, x double, y double, z double")
+    clips = spark.createDataFrame([("a",), ("b",)], "clip_id string")
+    texts = clips.withColumn("cot_text", F.lit("Stop."))
+    got = {r["clip_id"]: (r["error"], r["ade_meters"]) for r in score.score_with_errors(clips, texts, way, way.dropDuplicates(["clip_id", "step"])).collect()}
+    assert got == {"a": (None, 0.0), "b": ("steps not contiguous", None)}
