@@ -12,7 +12,8 @@ is looked for by that one of several walks whose samples show most of its words.
 that the item would fill around the piece decides.
 
 A walk stops as soon as its samples so far match no piece's, which changes nothing in the result: most windows end
-after the first samples. The items are the only broadcast: a benchmark is a list of questions, and its size is checked.
+after the first samples. The items are the only broadcast, at most `MAX_ITEM_WORDS` words of them at once: a larger
+benchmark is looked for in parts, and what the parts find is united.
 
 A document is contaminated if some part of it is within edit distance `tolerance` * (words of the item) of an item.
 
@@ -32,8 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.common import cut
+
 _WORD = re.compile(r"[^\W_]+")
-#: Words of all items together that are broadcast at most; a larger benchmark is to be given in parts.
+#: Words of items that are broadcast together, about.
 MAX_ITEM_WORDS = 5_000_000
 #: Walks, their steps, and how many of these are sampled
 WALKS, STEPS, SAMPLES = 4, 12, 7
@@ -202,19 +205,28 @@ class Finder:
         return [sorted(x) for x in found]
 
 
-def finder(benchmark: DataFrame, tolerance: float) -> Finder:
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    size = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0))).first()[0]
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"the benchmark has {size} words, over {MAX_ITEM_WORDS}: give it in parts")
-    items: dict[tuple[str, ...], int] = {}
-    for item, text in sorted(((i, t) for i, t in rows.collect() if i is not None), key=lambda r: r[0]):
-        if words := words_of(text):
-            items.setdefault(tuple(words), item)
-    return Finder([(i, list(w)) for w, i in items.items()], tolerance)
+def finders(benchmark: DataFrame, tolerance: float) -> list[Finder]:
+    """One for each part of the benchmark; one part if it has `MAX_ITEM_WORDS` words at most."""
+
+    @F.pandas_udf("array<string>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return pd.Series([words_of(t) for t in texts], dtype=object)
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item"), cut_up(F.col("text").cast("string")).alias("words")).where("item is not null and size(words) > 0")
+    items = cut(rows.groupBy("words").agg(F.min("item").alias("item")), "items")
+    parts = max(1, -(-items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] // MAX_ITEM_WORDS))
+    out = []
+    for k in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).orderBy("item").collect()
+        out.append(Finder([(r["item"], list(r["words"])) for r in own], tolerance))
+    return out
+
+
+def _found(found: list[Finder], text):
+    return F.array_sort(F.flatten(F.array(*[_found_by(f, text) for f in found])))
 
 
-def _found(found: Finder, text):
+def _found_by(found: Finder, text):
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
         out: list[list[int]] = []
@@ -227,11 +239,11 @@ def _found(found: Finder, text):
 
 def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """documents -> (doc_id, n_items, items, contaminated), one row for each document."""
-    found = finder(benchmark, tolerance)
+    found = finders(benchmark, tolerance)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _found(found, F.col("text")).alias("items"))
     return rows.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """The documents that hold no item, with their own columns."""
-    return docs.where(F.size(_found(finder(benchmark, tolerance), F.col("text"))) == 0)
+    return docs.where(F.size(_found(finders(benchmark, tolerance), F.col("text"))) == 0)
