@@ -54,7 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
-def _url_filter_sql(damping: float = 0.85, rounds: int = 20) -> str:
+def _url_filter_sql(damping: float = 0.85, rounds: int = 40) -> str:
     """Rules by length, then both walks as a chain of sums, one for each round."""
     lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in urlfilter.RULES)

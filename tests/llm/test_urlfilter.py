@@ -38,7 +38,7 @@ def test_rules_as_brute_force(spark):
             assert got[i]["verdict"] == verdict
 
 
-def slow_walk(seeds, edges, damping=0.85, rounds=20):
+def slow_walk(seeds, edges, damping=0.85, rounds=40):
     hosts = sorted({h for h in seeds} | {h for e in edges for h in e[:2]})
     at = {h: i for i, h in enumerate(hosts)}
     p = np.zeros((len(hosts), len(hosts)))
