@@ -253,10 +253,17 @@ class Entries:
             h[1:] = c.c2[:-1]
             h[c.first] = stage.docs
             g, aux = hist[c.u], c.c2
-        t = pair_key(ctx, c.words[c.w])
-        route = np.where(h >= stage.hot, t, ctx)
+        # Where its bucket is known by the context alone, an n-gram of another turn needn't be made.
         part, parts = turn
-        own = np.flatnonzero(bucket_of(route, stage.buckets) % parts == part) if parts > 1 else np.arange(len(t))
+        spread = h >= stage.hot
+        own = np.flatnonzero((bucket_of(ctx, stage.buckets) % parts == part) | spread) if parts > 1 else np.arange(len(ctx))
+        made = pair_key(ctx[own], c.words[c.w[own]])
+        routes = np.where(spread[own], made, ctx[own])
+        if parts > 1:
+            mine = bucket_of(routes, stage.buckets) % parts == part
+            own, made, routes = own[mine], made[mine], routes[mine]
+        t, route = np.empty(len(ctx), dtype=np.uint64), np.empty(len(ctx), dtype=np.uint64)
+        t[own], route[own] = made, routes
         # In order of route, and within a route by n-gram, as far as 64 bits go; what this leaves apart is sent twice, which
         # does no harm. The place in the text is part of the key, so that the order is the same in every turn.
         bits = np.uint64(max(1, (len(t) - 1).bit_length()))
