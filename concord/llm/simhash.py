@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, chunk: int
     edges = fingerprint_links(distinct, radius, blocks_for(distinct.count(), radius), chunk)
     labels = components(edges)
     named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    least = cut(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")  # a table, so that a large component's rows can be split in the join
     table = named.join(least, "label").select("fp", "component_id")
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -313,7 +313,7 @@ def copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     labels = components(edges)
     named = classes.join(labels, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("label", "same").alias("label"))
     named_first = F.when(F.col("first").isNotNull(), F.struct("first", "same"))
-    least = named.groupBy("label").agg(F.min(named_first).alias("least"))
+    least = cut(named.groupBy("label").agg(F.min(named_first).alias("least")), "least")  # a table, so that a large component's rows can be split in the join
     table = named.join(least, "label").select("same", F.col("least.first").alias("component_id"), F.col("least.same").alias("component_same"))
     return prints.select("doc_id", "same").join(table, "same").select("doc_id", "same", "component_id", "component_same")
 
