@@ -129,6 +129,18 @@ def bucket_of(route: np.ndarray, n: int) -> np.ndarray:
     return ((route >> np.uint64(38)) * np.uint64(n) >> np.uint64(26)).astype(np.int64)
 
 
+def first_key(bucket: int, n: int) -> int:
+    """The least key of a bucket."""
+    return -(-(bucket << 26) // n) << 38
+
+
+def in_turn(route: np.ndarray, turn: tuple[int, int], n: int) -> np.ndarray:
+    """Whether keys are of the buckets of turn k of m, a range of all."""
+    k, m = turn
+    lo, hi = first_key(k * n // m, n), first_key((k + 1) * n // m, n)
+    return (route >= np.uint64(lo)) & (route <= np.uint64(hi - 1)) if hi > lo else np.zeros(len(route), dtype=bool)
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
@@ -246,42 +258,44 @@ class Entries:
     def __init__(self, c: Chunk, order: int, stage: Stage, turn: tuple[int, int] = (0, 1)) -> None:
         hist = c.histories(stage.docs)
         if order == 2:
-            ctx, h, g, aux = c.words[c.u], hist[c.u], None, c.c1[c.w]
+            ctx, h = c.words[c.u], hist[c.u]
         else:
             ctx = pair_key(c.words[c.v], c.words[c.u])
             h = np.empty(len(ctx), dtype=np.int64)
             h[1:] = c.c2[:-1]
             h[c.first] = stage.docs
-            g, aux = hist[c.u], c.c2
+        self.token_h, n = h, len(ctx)
         # Where its bucket is known by the context alone, an n-gram of another turn needn't be made.
-        part, parts = turn
+        whole = turn[1] == 1
         spread = h >= stage.hot
-        own = np.flatnonzero((bucket_of(ctx, stage.buckets) % parts == part) | spread) if parts > 1 else np.arange(len(ctx))
-        made = pair_key(ctx[own], c.words[c.w[own]])
-        routes = np.where(spread[own], made, ctx[own])
-        if parts > 1:
-            mine = bucket_of(routes, stage.buckets) % parts == part
-            own, made, routes = own[mine], made[mine], routes[mine]
-        t, route = np.empty(len(ctx), dtype=np.uint64), np.empty(len(ctx), dtype=np.uint64)
-        t[own], route[own] = made, routes
+        own = np.arange(n) if whole else np.flatnonzero(in_turn(ctx, turn, stage.buckets) | spread)
+        if not whole:
+            ctx, spread = ctx[own], spread[own]
+        t = pair_key(ctx, c.words[c.w[own]])
+        route = np.where(spread, t, ctx)
+        if not whole and spread.any():
+            mine = in_turn(route, turn, stage.buckets)
+            own, ctx, t, route = own[mine], ctx[mine], t[mine], route[mine]
         # In order of route, and within a route by n-gram, as far as 64 bits go; what this leaves apart is sent twice, which
-        # does no harm. The place in the text is part of the key, so that the order is the same in every turn.
-        bits = np.uint64(max(1, (len(t) - 1).bit_length()))
-        key = (route[own] >> np.uint64(38) << np.uint64(38)) | ((t[own] & _LOW) >> bits << bits) | own.astype(np.uint64)
+        # does no harm. Ties go by the place in the text, in as many bits in each turn, so that all turns have one order.
+        bits = np.uint64(max(1, (n - 1).bit_length()))
+        key = (route >> np.uint64(38) << np.uint64(38)) | ((t & _LOW) >> bits << bits) | np.arange(len(t), dtype=np.uint64)
         key.sort()
-        by = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # places in the text
+        by = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         del key
         s = t[by]
         starts = _runs(s)
-        self.of_token = np.empty(len(t), dtype=np.int32)  # for each token (of this turn) its n-gram's place
-        self.of_token[by] = np.repeat(np.arange(len(starts), dtype=np.int32), _lengths(starts, len(s)))
-        self.count = _summed(c.trained[by], starts)
-        pick = by[starts]
-        self.ctx, self.h, self.aux = ctx[pick], h[pick], aux[pick]
-        self.t = np.where(self.h < 1 << 16, t[pick] >> np.uint64(32), t[pick] >> np.uint64(24))
-        self.g = None if g is None else g[pick]
-        self.bucket = bucket_of(route[pick], stage.buckets)
-        self.token_h = h
+        if whole:
+            self.of_token = np.empty(n, dtype=np.int32)  # for each token its n-gram's place
+            self.of_token[by] = np.repeat(np.arange(len(starts), dtype=np.int32), _lengths(starts, n))
+        self.count = _summed(c.trained[own[by]], starts)
+        first = by[starts]
+        pick = own[first]  # places in the text
+        self.ctx, self.h = ctx[first], h[pick]
+        self.aux = c.c1[c.w[pick]] if order == 2 else c.c2[pick]
+        self.t = np.where(self.h < 1 << 16, t[first] >> np.uint64(32), t[first] >> np.uint64(24))
+        self.g = None if order == 2 else hist[c.u[pick]]
+        self.bucket = bucket_of(route[first], stage.buckets)
 
 
 _ASK = "bucket long, chunk long, ctx binary, run binary, t binary, count binary, aux binary, h binary, g binary"
@@ -375,7 +389,7 @@ def _answer(order: int, stage: Stage):
         # Contexts: the seen n-grams by context; unseen ones are of no account.
         seen = np.flatnonzero(total > 0)
         # The bucket's own contexts are a range of all; within it they are told apart by lower bits.
-        low_end, bits = np.uint64(-(-(bucket << 26) // stage.buckets) << 38), np.uint64(stage.buckets.bit_length() - 1)
+        low_end, bits = np.uint64(first_key(bucket, stage.buckets)), np.uint64(stage.buckets.bit_length() - 1)
         within = lambda x: (x - low_end) << bits
         seen = seen[order_of(within(ctx[pick[seen]]))]
         own_ctx, own_total = ctx[pick[seen]], total[seen]
