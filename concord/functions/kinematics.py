@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from concord.functions.rules import Thresholds
 
@@ -24,6 +24,37 @@ def step_acceleration(way: DataFrame, dt: float = DT) -> DataFrame:
     return fast.withColumn("acceleration", (F.col("speed") - F.lag("speed").over(w)) / dt)
 
 
+def _path_aggregates(own: Column | None = None) -> list[Column]:
+    """What the features of a path are made of, over rows with y, distance and speed; of rows that are `own` only.
+
+    Extremes of the lateral course stand for its deviations: the largest |y - y0| is that of the largest or smallest y.
+    """
+    of = lambda c: F.col(c) if own is None else F.when(own, F.col(c))
+    moved = F.when(F.col("speed").isNotNull(), of("step"))  # only rows with a speed take part in min_by and max_by
+    return [
+        F.count("*" if own is None else F.when(own, 1)).alias("n_steps"),
+        F.min_by("speed", moved).alias("initial_speed"),
+        F.max_by("speed", moved).alias("final_speed"),
+        F.avg("speed").alias("mean_speed"),
+        F.min_by("y", of("step")).alias("y_first"),
+        F.max_by("y", of("step")).alias("y_last"),
+        F.min(of("y")).alias("y_least"),
+        F.max(of("y")).alias("y_most"),
+        F.sum("distance").alias("total_distance"),
+    ]
+
+
+def _with_features(paths: DataFrame, dt: float, *kept: str) -> DataFrame:
+    """n_steps and FEATURES from _path_aggregates."""
+    change = F.col("final_speed") - F.col("initial_speed")
+    deviation = F.greatest(F.col("y_most") - F.col("y_first"), F.col("y_first") - F.col("y_least"))
+    mean = F.when(F.col("n_steps") > 2, change / ((F.col("n_steps") - 2) * F.lit(dt))).otherwise(0.0)
+    n = F.coalesce("n_steps", F.lit(0)).cast("long")
+    out = paths.withColumns({"n_steps": n, "speed_change": change, "mean_acceleration": mean, "total_lateral_shift": F.col("y_last") - F.col("y_first"), "max_lateral_deviation": deviation})
+    short = F.col("n_steps") < 2
+    return out.select("clip_id", "n_steps", *[F.when(short, 0.0).otherwise(F.col(c)).alias(c) for c in FEATURES], *kept)
+
+
 def features(way: DataFrame, clips: DataFrame | None = None, dt: float = DT) -> DataFrame:
     """clip_id, n_steps and FEATURES.
 
@@ -31,24 +62,10 @@ def features(way: DataFrame, clips: DataFrame | None = None, dt: float = DT) ->
     aggregation and joins on clip_id share one partitioning. Clips with fewer than two waypoints, and those of `clips`
     without any, get zeros.
     """
-    w = Window.partitionBy("clip_id").orderBy("step")
-    rows = step_speed(way, dt).withColumn("dev", F.col("y") - F.first("y").over(w))
-    moved = F.when(F.col("speed").isNotNull(), F.col("step"))  # only rows with a speed take part in min_by and max_by
-    out = rows.groupBy("clip_id").agg(
-        F.count("*").alias("n_steps"),
-        F.min_by("speed", moved).alias("initial_speed"),
-        F.max_by("speed", moved).alias("final_speed"),
-        F.avg("speed").alias("mean_speed"),
-        F.max_by("dev", "step").alias("total_lateral_shift"),
-        F.max(F.abs("dev")).alias("max_lateral_deviation"),
-        F.sum("distance").alias("total_distance"),
-    )
+    out = step_speed(way, dt).groupBy("clip_id").agg(*_path_aggregates())
     if clips is not None:
         out = clips.select("clip_id").distinct().join(out, "clip_id", "left")
-    change = F.col("final_speed") - F.col("initial_speed")
-    out = out.withColumns({"n_steps": F.coalesce("n_steps", F.lit(0)).cast("long"), "speed_change": change, "mean_acceleration": F.when(F.col("n_steps") > 2, change / ((F.col("n_steps") - 2) * F.lit(dt))).otherwise(0.0)})
-    short = F.col("n_steps") < 2
-    return out.select("clip_id", "n_steps", *[F.when(short, 0.0).otherwise(F.col(c)).alias(c) for c in FEATURES])
+    return _with_features(out, dt)
 
 
 def _above(value: Column, limit: float) -> Column:
@@ -108,24 +125,53 @@ def features_packed(packed: DataFrame, dt: float = DT) -> DataFrame:
 
 def displacement_error(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean planar distance of prediction to ground truth: (clip_id, ade_meters, n_joined) of clips that have a common step."""
-    return path_pairs(pred, truth).where("n_joined > 0").select("clip_id", "ade_meters", "n_joined")
+    rows, _ = _stacked(pred, truth)
+    pairs = rows.groupBy("clip_id").agg(F.avg("error").alias("ade_meters"), F.count(F.when(F.col("met"), 1)).alias("n_joined"))
+    return pairs.where("n_joined > 0")
+
+
+_SIDES = (("p", 0), ("g", 1))
+_SPANS = [f"n{name}{end}" for name, _ in _SIDES for end in ("", "_lo", "_hi")]
 
 
-def path_pairs(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """(clip_id, ade_meters, n_joined), and for each side (p, g) its rows n, first step lo and last step hi.
+def _stacked(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, WindowSpec]:
+    """Both tables' rows in one order by step: prediction (side 0) before truth (side 1), each with what it meets.
 
-    A step that a side has twice takes its largest coordinates; n then differs from hi - lo + 1. Both tables are stacked and met by an aggregation rather than a join: with waypoints partitioned by clip_id neither
-    is shuffled or sorted again, and no side can be taken for small enough to broadcast.
+    met: a row of the truth right after one of the prediction with its step; error: their distance; again: a step that
+    its side has twice. Such a step is one pair, the prediction's largest point (by x, then y) with the truth's smallest.
+    With waypoints partitioned by clip_id neither table is shuffled again, one sort serves both, and no side can be
+    taken for small enough to broadcast.
     """
     side = lambda df, n: df.select("clip_id", "step", F.lit(n).alias("side"), "x", "y")
-    pick = lambda c, n: F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{c}{n}")
-    both = side(pred, 0).unionByName(side(truth, 1)).groupBy("clip_id", "step")
-    pairs = both.agg(*[pick(c, n) for c in ("x", "y") for n in (0, 1)], F.sum("side").alias("n1"), F.sum(1 - F.col("side")).alias("n0"))
-    error = F.sqrt(F.pow(F.col("x0") - F.col("x1"), 2.0) + F.pow(F.col("y0") - F.col("y1"), 2.0))
-    met = (F.col("n0") > 0) & (F.col("n1") > 0)
-    step = lambda n: F.when(F.col(n) > 0, F.col("step"))
-    spans = [x for side, n in (("p", "n0"), ("g", "n1")) for x in (F.sum(n).alias(f"n{side}"), F.min(step(n)).alias(f"n{side}_lo"), F.max(step(n)).alias(f"n{side}_hi"))]
-    return pairs.groupBy("clip_id").agg(F.avg(F.when(met, error)).alias("ade_meters"), F.count(F.when(met, 1)).alias("n_joined"), *spans)
+    w = Window.partitionBy("clip_id").orderBy("step", "side", "x", "y")
+    before = {f"{c}_before": F.lag(c).over(w) for c in ("step", "side", "x", "y")}
+    rows = side(pred, 0).unionByName(side(truth, 1)).withColumns(before)
+    same = F.col("step") == F.col("step_before")
+    met = same & (F.col("side") > F.col("side_before"))
+    error = F.sqrt(F.pow(F.col("x") - F.col("x_before"), 2.0) + F.pow(F.col("y") - F.col("y_before"), 2.0))
+    return rows.withColumns({"met": met, "error": F.when(met, error), "again": same & (F.col("side") == F.col("side_before"))}), w
+
+
+def _pair_aggregates() -> list[Column]:
+    """ade_meters, n_joined, repeated, and for each side (p, g) its rows n, first step lo and last step hi."""
+    spans = []
+    for name, n in _SIDES:
+        step = F.when(F.col("side") == n, F.col("step"))
+        spans += [F.count(step).alias(f"n{name}"), F.min(step).alias(f"n{name}_lo"), F.max(step).alias(f"n{name}_hi")]
+    return [F.avg("error").alias("ade_meters"), F.count(F.when(F.col("met"), 1)).alias("n_joined"), F.coalesce(F.max("again"), F.lit(False)).alias("repeated"), *spans]
+
+
+def compared(pred: DataFrame, truth: DataFrame, dt: float = DT) -> DataFrame:
+    """features() of the predictions and their error to the truth, in one pass over both tables: clip_id, n_steps,
+    FEATURES, ade_meters, n_joined, repeated (a side has a step twice), and the spans of both sides."""
+    rows, w = _stacked(pred, truth)
+    own = F.col("side") == 0
+    last = F.last(F.when(own, F.struct("x", "y")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("own_before", last)
+    distance = F.sqrt(F.pow(F.col("x") - F.col("own_before.x"), 2.0) + F.pow(F.col("y") - F.col("own_before.y"), 2.0))
+    rows = rows.withColumn("distance", F.when(own, distance)).withColumn("speed", F.col("distance") / dt)
+    out = rows.groupBy("clip_id").agg(*_path_aggregates(own), *_pair_aggregates())
+    return _with_features(out, dt, "ade_meters", "n_joined", "repeated", *_SPANS)
 
 
 def curvature(way: DataFrame) -> DataFrame:
@@ -136,13 +182,13 @@ def curvature(way: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("clip_id").orderBy("step")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    rows = way.withColumns({"s": F.sqrt(F.pow(dx, 2.0) + F.pow(dy, 2.0)), "theta": F.atan2(dy, dx), "dev": F.col("y") - F.first("y").over(w)})
+    rows = way.withColumns({"s": F.sqrt(F.pow(dx, 2.0) + F.pow(dy, 2.0)), "theta": F.atan2(dy, dx)})
     turn = F.col("theta") - F.lag("theta").over(w)
     full = 2 * 3.141592653589793
     rows = rows.withColumn("turn", turn - full * F.floor((turn + full / 2) / full))
     moved = F.when(F.col("s").isNotNull(), F.col("step"))
     agg = rows.groupBy("clip_id").agg(
-        F.count("*").alias("n"), F.sum("s").alias("S"), F.sum("turn").alias("turned"), F.min_by("s", moved).alias("s1"), F.max_by("s", moved).alias("s2"), F.min_by("theta", moved).alias("th"), F.max_by("dev", "step").alias("dy")
+        F.count("*").alias("n"), F.sum("s").alias("S"), F.sum("turn").alias("turned"), F.min_by("s", moved).alias("s1"), F.max_by("s", moved).alias("s2"), F.min_by("theta", moved).alias("th"), (F.max_by("y", "step") - F.min_by("y", "step")).alias("dy")
     )
     kappa = F.col("turned") / F.nullif(F.col("S") - (F.col("s1") + F.col("s2")) / 2, F.lit(0.0))
     agg = agg.withColumn("kappa", F.when((F.col("n") < 3) | (F.col("S") < 1e-6), 0.0).otherwise(F.coalesce(kappa, F.lit(0.0))))

@@ -63,8 +63,8 @@ def score_clips(clips: DataFrame, reasoning: DataFrame, predictions: DataFrame,
     """One result row for each clip; paths of fewer than two points, or none, count as standing still."""
     clips = normalize_clips(clips).select("clip_id", "t0_us", "scenario_type")
     predictions, truth = _of(clips, predictions, truth)
-    paths = kinematics.features(predictions).join(kinematics.displacement_error(predictions, truth).select("clip_id", "ade_meters"), "clip_id", "left")
-    rows = clips.join(paths.withColumnRenamed("n_steps", "_n"), "clip_id", "left").na.fill(0.0, list(kinematics.FEATURES)).drop("_n")
+    paths = kinematics.compared(predictions, truth).select("clip_id", *kinematics.FEATURES, "ade_meters")
+    rows = clips.join(paths, "clip_id", "left").na.fill(0.0, list(kinematics.FEATURES))
     return _result(_scored_rows(rows, reasoning, rules), F.lit(None).cast("string"))
 
 
@@ -82,13 +82,12 @@ def score_with_errors(clips: DataFrame, reasoning: DataFrame, predictions: DataF
     """Results in which a clip whose inputs don't fit is an error row; the job goes on."""
     clips = normalize_clips(clips).select("clip_id", "t0_us", "scenario_type")
     predictions, truth = _of(clips, predictions, truth)
-    pairs = kinematics.path_pairs(predictions, truth)  # its spans are those of both tables
-    rows = clips.join(pairs, "clip_id", "left").join(kinematics.features(predictions).drop("n_steps"), "clip_id", "left")
+    rows = clips.join(kinematics.compared(predictions, truth), "clip_id", "left")
     gap = lambda n: (F.col(f"{n}_lo") != 0) | (F.col(f"{n}_hi") != F.col(n) - 1)
     error = (
         F.when(F.coalesce(F.col("np"), F.lit(0)) == 0, "missing prediction")
         .when(F.coalesce(F.col("ng"), F.lit(0)) == 0, "missing ground truth")
-        .when(gap("np") | gap("ng"), "steps not contiguous")
+        .when(F.col("repeated") | gap("np") | gap("ng"), "steps not contiguous")
         .when(F.col("np") != F.col("ng"), "length mismatch")
     )
     return _result(_scored_rows(rows.na.fill(0.0, list(kinematics.FEATURES)), reasoning, rules), error)
