@@ -69,29 +69,48 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"), "value")
 
 
-def _offset(size: Column) -> Column:
-    """Where the magic before each piece stands in its file."""
-    before = Window.partitionBy("file").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(size + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)
+def _placed(pieces: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """pieces (file, at, seq, n, ...) with o, where the magic before each stands in its file; with `marks` (file, at, o,
+    own) also `carried`, the own of the last mark in the splits before.
+
+    Sizes are summed for each split, and only these sums over the file: however large a file is, no task sorts more of
+    it than a split holds.
+    """
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("n") + len(MAGIC)
+    sums, kept = pieces.groupBy("file", "at").agg(F.sum(size).alias("split_size")), ["file", "at", "base"]
+    # Sums and marks may come from other scans: what they don't agree on must not be placed somewhere else.
+    known = lambda c: F.coalesce(c, F.raise_error(F.lit("the splits of an archive changed while it was read")).cast("long"))
+    if marks is not None:
+        sums, kept = sums.join(marks.groupBy("file", "at").agg(F.max_by("own", "o").alias("mark")), ["file", "at"], "full"), [*kept, "carried"]
+        sums = sums.withColumn("carried", F.last("mark", ignorenulls=True).over(before))
+    sums = sums.withColumn("base", F.coalesce(F.sum(known(F.col("split_size"))).over(before), F.lit(0))).select(kept)
+    within = F.sum(size).over(Window.partitionBy("file", "at").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return pieces.join(sums, ["file", "at"], "left").withColumn("o", known(F.col("base")) + F.coalesce(within, F.lit(0)) - len(MAGIC)).drop("base")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, o, succ, head, size, whole, digest): every magic that a plausible header follows, and its successor's offset."""
+    """(file, at, o, succ, head, h, size, whole, digest): every magic that a plausible header follows, its successor's
+    offset, and where the split begins that it was read from."""
     head = F.substring_index("value", GAP, 1)
     rows = _pieces(spark, path).withColumns({"n": F.octet_length("value").cast("long"), "head": head, "h": F.octet_length(head).cast("long")})
     rows = rows.withColumn("size", F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\\\r\\\\n)Content-Length:[ \\\\t]*([0-9]{1,18})[ \\\\t]*(?:\\\\r\\\\n|$)', 1) as bigint)"))
     whole = F.coalesce(F.col("n") == F.col("h") + 4 + F.col("size") + 4, F.lit(False))
     block = F.when(whole, base32_sha1(F.expr("substring(cast(value as binary), cast(h + 5 as int), cast(size as int))")))
     rows = rows.select("file", "at", "seq", "n", F.when(F.col("size").isNotNull() & (F.col("n") >= F.col("h") + 4), F.col("head")).alias("head"), "h", "size", whole.alias("whole"), block.alias("digest"))
-    rows = rows.withColumn("o", _offset(F.col("n")))
-    return rows.where("head is not null and o >= 0").select("file", "o", (F.col("o") + len(MAGIC) + F.col("h") + 4 + F.col("size") + 4).alias("succ"), "head", "h", "size", "whole", "digest")
+    rows = _placed(cut(rows, "pieces"))
+    return rows.where("head is not null and o >= 0").select("file", "at", "o", (F.col("o") + len(MAGIC) + F.col("h") + 4 + F.col("size") + 4).alias("succ"), "head", "h", "size", "whole", "digest")
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
-    """nodes (file, o, succ, ...) -> those on the chain that starts at offset 0 of their file."""
-    w = Window.partitionBy("file").orderBy("o")
-    broken = F.coalesce(F.lag("succ").over(w) != F.col("o"), F.lit(True)).cast("int")
-    nodes = cut(nodes.withColumn("broken", broken).withColumn("run", F.sum("broken").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("broken"), "candidates")
+    """nodes (file, at, o, succ, ...) -> those on the chain that starts at offset 0 of their file.
+
+    A run ends with its split at the latest, so that no task sorts a whole file; its number is its first offset.
+    """
+    w = Window.partitionBy("file", "at").orderBy("o")
+    first = F.when(F.coalesce(F.lag("succ").over(w) != F.col("o"), F.lit(True)), F.col("o"))
+    run = F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    nodes = cut(nodes.withColumn("first", first).withColumn("run", run).drop("first"), "candidates")
     ends = nodes.groupBy("file", "run").agg(F.max_by("succ", "o").alias("o"))
     jumps = cut(ends.join(nodes.select("file", "o", F.col("run").alias("to_run")), ["file", "o"]).select("file", "run", "to_run", F.col("o").alias("to_o")), "jumps")
     reached = nodes.where("o = 0").select("file", "run", F.col("o").alias("entry"))
@@ -105,10 +124,12 @@ def reachable(nodes: DataFrame) -> DataFrame:
 
 def _joined_payloads(spark: SparkSession, path: str, spanning: DataFrame) -> DataFrame:
     """Digests of payloads that hold the magic: (file, o, digest)."""
-    marks = spanning.select("file", "o", F.struct("o", "succ", "h", "size").alias("own"))
-    pieces = _pieces(spark, path).join(marks.select("file").distinct(), "file", "left_semi").withColumn("o", _offset(F.octet_length("value").cast("long")))
-    last = Window.partitionBy("file").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    owned = pieces.join(marks, ["file", "o"], "left").withColumn("own", F.last("own", ignorenulls=True).over(last)).where("o < own.succ")
+    marks = spanning.select("file", "at", "o", F.struct("o", "succ", "h", "size").alias("own"))
+    pieces = _pieces(spark, path).join(marks.select("file").distinct(), "file", "left_semi").withColumn("n", F.octet_length("value").cast("long"))
+    # The record that a piece belongs to began in the same split, or is the last that began before it.
+    owned = _placed(pieces, marks).join(marks.drop("at"), ["file", "o"], "left")
+    last = Window.partitionBy("file", "at").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    owned = owned.withColumn("own", F.coalesce(F.last("own", ignorenulls=True).over(last), F.col("carried"))).where("o < own.succ")
     record = owned.groupBy("file", "own").agg(F.sort_array(F.collect_list(F.struct("o", "value"))).alias("parts"))  # one record
     text = F.array_join(F.col("parts.value"), MAGIC).cast("binary")
     return record.select("file", F.col("own.o").alias("o"), text.alias("text"), F.col("own.h").alias("h"), F.col("own.size").alias("size")).select(
