@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -159,51 +160,67 @@ def _summed(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _CHUNK = "chunk long, tokens long, words binary, tok binary, len binary, doc array<long>, out array<boolean>"
 
 
-class _Places(dict):
-    """word -> its place in a chunk's list of words; 0 and 1 are the start and end symbols."""
+#: Texts that are split at once.
+_ROWS = 1024
 
-    def __init__(self) -> None:
-        super().__init__({0: 0, 1: 1})
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts one after another, and where each text's begin (and the last ends)."""
+    kind = pa.large_string() if pa.types.is_large_binary(text.type) else pa.string()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text.fill_null(b"").view(kind)))  # whitespace: x20, x09-x0D
+    flat, at = split.flatten(), split.offsets.to_numpy()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at the ends of a text leaves an empty word there
+    return flat.filter(pa.array(full)), np.append(0, np.cumsum(full))[at - at[0]]
+
+
+def _digests(words: pa.Array) -> np.ndarray:
+    """XXH64 of each word, cut from the array's buffer."""
+    _, ends, data = words.buffers()
+    if not len(words) or data is None:
+        return np.full(len(words), xxhash.xxh64_intdigest(b"", 0), dtype=np.uint64)
+    at = np.frombuffer(ends, dtype=np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset :][: len(words) + 1].tolist()
+    text, digest = data.to_pybytes(), xxhash.xxh64_intdigest
+    return np.fromiter((digest(text[a:b], 0) for a, b in zip(at[:-1], at[1:])), dtype=np.uint64, count=len(words))
 
 
 def _encoded(limit: int):
-    def row(chunk: int, places: _Places, parts: list[np.ndarray], records: list[tuple]) -> pa.RecordBatch:
-        digest = xxhash.xxh64_intdigest
-        words = np.empty(len(places), dtype=np.uint64)
-        words[:2] = START, END
-        words[2:] = np.fromiter((digest(w, 0) for w in list(places)[2:]), dtype=np.uint64, count=len(places) - 2)
+    def row(chunk: int, parts: list[pa.Array], counts: list[np.ndarray], docs: list, outs: list) -> pa.RecordBatch:
+        coded, n = pa.concat_arrays(parts).dictionary_encode(), np.concatenate(counts)
+        words = np.concatenate([np.array([START, END]), _digests(coded.dictionary)])
         order = np.argsort(words)
         place = np.empty(len(words), dtype=np.int64)
         place[order] = np.arange(len(words))
-        tokens = place[np.concatenate(parts)]
-        lengths = np.array([n for _, _, n in records], dtype=np.int64)
-        cols = [[chunk], [int(lengths.sum())], [pack_keys(words[order])], [pack(tokens)], [pack(lengths)]]
+        ends = np.cumsum(n + 3)
+        starts = ends - n - 3
+        inner = np.ones(ends[-1], dtype=bool)
+        inner[starts] = inner[starts + 1] = inner[ends - 1] = False
+        tokens = np.zeros(len(inner), dtype=np.int64)  # two start symbols, the words, an end
+        tokens[ends - 1] = 1
+        tokens[inner] = coded.indices.to_numpy() + 2
+        cols = [[chunk], [int(n.sum()) + len(n)], [pack_keys(words[order])], [pack(place[tokens])], [pack(n + 1)]]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-        arrays += [pa.array([[d for d, _, _ in records]], pa.list_(pa.int64())), pa.array([[o for _, o, _ in records]], pa.list_(pa.bool_()))]
+        arrays += [pa.array([docs], pa.list_(pa.int64())), pa.array([outs], pa.list_(pa.bool_()))]
         return pa.RecordBatch.from_arrays(arrays, ["chunk", "tokens", "words", "tok", "len", "doc", "out"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        places, parts, records, tokens = _Places(), [], [], 0
-        for batch in batches:
-            for text, doc, out in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "out"))):
-                words = (text or b"").lower().split()
-                own = np.zeros(len(words) + 3, dtype=np.int32)
-                own[-1] = 1
-                own[2:-1] = np.fromiter(map(places.__getitem__, words), dtype=np.int32, count=len(words))
-                parts.append(own)
-                records.append((doc, out, len(words) + 1))
-                tokens += len(own)
+        chunk, tokens = TaskContext.get().partitionId() << 32, 0
+        held: tuple[list, list, list, list] = [], [], [], []
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+            words, at = _words_of(batch.column("text"))
+            docs, outs = batch.column("doc_id").to_pylist(), batch.column("out").to_pylist()
+            upto, lo = at + 3 * np.arange(len(at)), 0
+            while lo < len(docs):
+                hi = min(int(np.searchsorted(upto, upto[lo] + limit - tokens)), len(docs))  # where the chunk is full
+                for kept, more in zip(held, ([words.slice(at[lo], at[hi] - at[lo])], [np.diff(at[lo : hi + 1])], docs[lo:hi], outs[lo:hi])):
+                    kept.extend(more)
+                tokens += int(upto[hi] - upto[lo])
+                lo = hi
                 if tokens >= limit:
-                    yield row(chunk, places, parts, records)
-                    places, parts, records, tokens, chunk = _Places(), [], [], 0, chunk + 1
-        if records:
-            yield row(chunk, places, parts, records)
+                    yield row(chunk, *held)
+                    held, tokens, chunk = ([], [], [], []), 0, chunk + 1
+        if tokens:
+            yield row(chunk, *held)
 
     return run
 
