@@ -1,9 +1,9 @@
 """Alignment of the tokens of two tokenizers over the bytes of the same texts.
 
-A text is cut into units before each single space between characters that are no white space. Neither tokenizer's
-tokens cross such a space (the byte-level one cuts there first; no piece of the other has a space after anything else,
-which loading checks), so a unit's tokens, groups and links are those that the whole text has there, and each
-distinct unit is encoded once a worker. Within a unit the spans that the libraries give (character offsets of one, byte
+A text is cut into units before each single space or line end between characters that are no white space. No token of
+either crosses such a place (the byte-level tokenizer cuts there first; no piece of the other has a space after anything
+else or a line end in it, which loading checks), so a unit's tokens, groups and links are those that the whole text has
+there, and each distinct unit is encoded once by a worker. Within a unit the spans that the libraries give (character offsets of one, byte
 spans of the other's proto) are the cuts; where they are too coarse, because a token ends inside a character or a
 character is spelled in byte tokens, the tokens' decoded bytes say where each ends.
 
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 from concord.llm.common import cut
 
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text of a chunk (one text may be longer), units that a worker remembers, and the longest that it does.
-CHUNK_BYTES, REMEMBERED, LONGEST = 16_000_000, 200_000, 256
+#: Bytes of text of a chunk (one text may be longer), units that a worker remembers (twice as many for a while), and the longest that it does.
+CHUNK_BYTES, REMEMBERED, LONGEST = 8_000_000, 250_000, 256
 #: A pair of ids as one number: a * _BASE + b.
 _BASE = 1 << 24
-_BEFORE = re.compile(r"(?<=\S) (?=\S)")
+_LINE, _SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 CHUNK = f"chunk long, pair array<long>, n array<long>, docs array<long>, {', '.join(f'{c} array<long>' for c in _COUNTS)}, sha array<string>, body binary"
 RESULT = f"doc_id long, {', '.join(f'{c} long' for c in _COUNTS)}, n_best long, count_sum long, groups_sha256 string"
@@ -55,6 +56,7 @@ class Tokenizers:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         import sentencepiece
         import tokenizers
 
@@ -65,63 +67,118 @@ class Tokenizers:
         self.bytes_a = {i: bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.by_unit = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.by_unit = not any(re.search("[^▁]▁|\n", p) for p in pieces)
+        self.told = [f"{i}{sign}" for i in range(max(len(pieces), 1 + max(self.bytes_a))) for sign in ",|;"]
         self.known: dict[str, Unit | None] = {}
+        self.older: dict[str, Unit | None] = {}
+        self.same: dict[tuple, tuple] = {}
 
     def units(self, text: str) -> list[str]:
-        """The units of a space and the text; all of it as one where pieces may cross a space."""
-        first, *rest = _BEFORE.split(f" {text}") if self.by_unit else [f" {text}"]
-        return [first, *[f" {x}" for x in rest]]
+        """The units of a space and the text; all of it as one where pieces may cross."""
+        if not self.by_unit:
+            return [f" {text}"]
+        out, begin = [], ""
+        for line in _LINE.split(f" {text}"):
+            first, *rest = _SPACE.split(line)
+            out.append(begin + first)
+            out += [f" {x}" for x in rest]
+            begin = "\n"
+        return out
 
     def learn(self, units: set[str]) -> dict[str, Unit | None]:
-        """Each unit's alignment; None where its tokens don't spell it."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        out = {u: self.known[u] for u in units if u in self.known}
-        for unit, a in zip(new, self.a.encode_batch(new, add_special_tokens=False)):
-            b = self.b.encode(unit[1:], return_type="proto").pieces
-            out[unit] = self.aligned(unit, a, b)
-            if len(unit) <= LONGEST:
-                self.known[unit] = out[unit]
+        """Each unit's alignment; None where its tokens don't spell it. Those met last are remembered, in two generations."""
+        out, new, known, older = {}, [], self.known, self.older
+        for u in units:
+            if u in known:
+                out[u] = known[u]
+            elif u in older:
+                out[u] = known[u] = older[u]
+            else:
+                new.append(u)
+        for u, made in zip(new, self.aligned(new)):
+            out[u] = made
+            if len(u) <= LONGEST:
+                known[u] = made
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
+        return out
+
+    def aligned(self, units: list[str]) -> list[Unit | None]:
+        plain = [u[1:] if u[0] == " " else u for u in units]  # B puts a space before each
+        of_a = [(e.ids, e.offsets) for e in self.a.encode_batch(units, add_special_tokens=False)]
+        of_b = [(e["ids"], e["offsets"]) for e in self.b.encode(plain, return_type="offset_mapping", num_threads=1)]
+        raw = [u.encode() for u in units]
+        good, left, right = [], [], []
+        for k, (u, r, (ids_a, spans_a), (ids_b, spans_b)) in enumerate(zip(units, raw, of_a, of_b)):
+            ahead = 1 if u[0] == " " else 0
+            if not ahead:
+                ids_b, spans_b = ids_b[1:], spans_b[1:]
+            own_a, own_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+            if b"".join(own_a) != r or b"".join(own_b) != r:
+                continue
+            if len(r) == len(u):  # every character is a byte
+                ends_a, ends_b = [hi for _, hi in spans_a], [ahead + hi for _, hi in spans_b]
+            else:
+                at = [0, *accumulate(len(c.encode()) for c in u)]
+                ends_a = ends([(at[lo], at[hi]) for lo, hi in spans_a], own_a)
+                ends_b = ends([(at[lo + ahead] if j else 0, at[hi + ahead]) for j, (lo, hi) in enumerate(spans_b)], own_b)
+            good.append(k)
+            left.append((ids_a, ends_a))
+            right.append((ids_b, ends_b))
+        out: list[Unit | None] = [None] * len(units)
+        if good:
+            for k, made in zip(good, self.linked(left, right, np.cumsum([0, *[len(raw[k]) for k in good]]))):
+                out[k] = made
         return out
 
-    def aligned(self, unit: str, a, b) -> Unit | None:
-        raw, ids_a, ids_b = unit.encode(), a.ids, [p.id for p in b]
-        own_a, own_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
-            return None
-        at = [0, *accumulate(len(c.encode()) for c in unit)] if len(raw) != len(unit) else range(len(raw) + 1)
-        ends_a = ends([(at[lo], at[hi]) for lo, hi in a.offsets], [len(x) for x in own_a])
-        ends_b = ends([(1 + p.begin if k else 0, 1 + p.end) for k, p in enumerate(b)], [len(x) for x in own_b])
-        return Unit(ids_a, ends_a, ids_b, ends_b)
+    def linked(self, left: list[tuple[list[int], list[int]]], right: list[tuple[list[int], list[int]]], first: np.ndarray) -> list[Unit]:
+        """Units from the ids and ends of their tokens, laid one after another: first is where each begins.
+
+        Between two neighbouring ends, of whichever list, one token of each lies: that is a link. Ends of both close groups.
+        """
+
+        def flat(own: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = np.array([len(x) for x, _ in own])
+            return np.fromiter(chain.from_iterable(x for x, _ in own), np.int64), np.fromiter(chain.from_iterable(e for _, e in own), np.int64) + np.repeat(first[:-1], n), n
+
+        (ids_a, ends_a, n_a), (ids_b, ends_b, n_b) = flat(left), flat(right)
+        every = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
+        pairs = ids_a[at_a] * _BASE + ids_b[at_b]
+        both = every[(ends_a[at_a] == every) & (ends_b[at_b] == every)]
+        links, groups = (np.diff(np.searchsorted(x, first[1:], "right"), prepend=0) for x in (every, both))
+        # tokens by group, A's before B's, each with the sign that follows it
+        group = np.concatenate([np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)])
+        side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
+        order = np.argsort(2 * group + side, kind="stable")
+        last = np.concatenate([np.isin(ends_a, both), np.isin(ends_b, both)])
+        sign = np.where(last, 1 + side, 0)[order]
+        told = (np.concatenate([ids_a, ids_b])[order] * 3 + sign).tolist()
+        words, links, text, at, lo = self.told, links.tolist(), [], 0, 0
+        for n in (n_a + n_b).tolist():
+            text.append("".join([words[k] for k in told[at : at + n]])[:-1])
+            at += n
+        out, same, pairs = [], self.same, pairs.tobytes()
+        for t, *counts, n in zip(text, n_a.tolist(), n_b.tolist(), groups.tolist(), links):
+            counts = (*counts, n)
+            out.append((t, same.setdefault(counts, counts), pairs[8 * lo : 8 * (lo + n)]))
+            lo += n
+        return out
 
 
-def ends(spans: list[tuple[int, int]], lengths: list[int]) -> list[int]:
+def ends(spans: list[tuple[int, int]], own: list[bytes]) -> list[int]:
     """Where tokens end, in bytes. A span as long as its token's bytes, that begins where the token before ended, is a cut as it is; from
     there to the next such span the bytes of the tokens are counted."""
     out, at = [], 0
-    for (lo, hi), n in zip(spans, lengths):
+    for (lo, hi), x in zip(spans, own):
+        n = len(x)
         at = hi if lo == at and hi - lo == n else at + n
         out.append(at)
     return out
 
 
-class Unit:
-    """Groups and links of one unit: text of the groups, sizes, and pairs of linked ids, repeated as often as linked."""
-
-    __slots__ = ("groups", "counts", "pairs")
-
-    def __init__(self, ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> None:
-        groups, pairs, i, j, i0, j0 = [], [], 0, 0, 0, 0
-        while i < len(ids_a):  # both end at the unit's end
-            pairs.append(ids_a[i] * _BASE + ids_b[j])
-            left, right = ends_a[i], ends_b[j]
-            i, j = i + (left <= right), j + (right <= left)
-            if left == right:
-                groups.append(f"{','.join(map(str, ids_a[i0:i]))}|{','.join(map(str, ids_b[j0:j]))}")
-                i0, j0 = i, j
-        self.groups, self.pairs, self.counts = ";".join(groups), pairs, (len(ids_a), len(ids_b), len(groups), len(pairs))
+#: One unit: text of its groups; numbers of A tokens, B tokens, groups and links; pairs of linked ids, repeated as often as linked.
+Unit = tuple[str, tuple[int, int, int, int], bytes]
 
 
 @functools.lru_cache(maxsize=4)
@@ -146,8 +203,8 @@ class _Chunk:
         own = [self.made[i] for i in row.tolist()]
         if not own or None in own:
             row, own = row[:0], []
-        self.sha.append(hashlib.sha256(";".join([u.groups for u in own]).encode()).hexdigest() if own else "")
-        self.counts.append(np.array([u.counts for u in own], np.int64).reshape(-1, 4).sum(axis=0))
+        self.sha.append(hashlib.sha256(";".join([u[0] for u in own]).encode()).hexdigest() if own else "")
+        self.counts.append([sum(c) for c in zip(*[u[1] for u in own])] if own else [0, 0, 0, 0])
         self.docs.append(doc_id)
         self.rows.append(row)
         self.bytes += size
@@ -157,11 +214,12 @@ class _Chunk:
         pair's place in `pair`."""
         rows = np.concatenate(self.rows)
         used = np.bincount(rows, minlength=len(self.made))
-        links = [u.pairs if u and k else [] for u, k in zip(self.made, used.tolist())]
-        pair, at = np.unique(np.array([p for x in links for p in x], np.int64), return_inverse=True)
-        times = np.repeat(used, [len(x) for x in links])
+        links = [u[2] if u and k else b"" for u, k in zip(self.made, used.tolist())]
+        lengths = np.array([len(x) // 8 for x in links], np.int32)
+        pair, at = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+        times = np.repeat(used, lengths)
         n = np.bincount(at, weights=times, minlength=len(pair)).astype(np.int64)
-        parts = [np.array([len(r) for r in self.rows], np.int32), rows, np.array([len(x) for x in links], np.int32), at.astype(np.int32)]
+        parts = [np.array([len(r) for r in self.rows], np.int32), rows, lengths, at.astype(np.int32)]
         body = b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *[p.tobytes() for p in parts]])
         counts = np.array(self.counts, np.int64).T
         return {"chunk": uuid.uuid4().int >> 65, "pair": pair, "n": n, "docs": self.docs, "sha": self.sha, "body": zstandard.compress(body, 1)} | dict(zip(_COUNTS, counts))
