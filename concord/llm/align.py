@@ -24,7 +24,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,11 @@ from concord.llm.common import cut
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of a chunk (one text may be longer), units that a worker remembers (twice as many for a while), and the longest that it does.
 CHUNK_BYTES, REMEMBERED, LONGEST = 8_000_000, 250_000, 256
+#: Bytes of text whose units are looked up together.
+LOOKED_UP = 500_000
 #: A pair of ids as one number: a * _BASE + b.
 _BASE = 1 << 24
-_LINE, _SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+_LINE, _SPACE, _RUN = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s(?:\s|$)")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 CHUNK = f"chunk long, pair array<long>, n array<long>, docs array<long>, {', '.join(f'{c} array<long>' for c in _COUNTS)}, sha array<string>, body binary"
 RESULT = f"doc_id long, {', '.join(f'{c} long' for c in _COUNTS)}, n_best long, count_sum long, groups_sha256 string"
@@ -77,10 +79,11 @@ class Tokenizers:
         """The units of a space and the text; all of it as one where pieces may cross."""
         if not self.by_unit:
             return [f" {text}"]
-        out, begin = [], ""
-        for line in _LINE.split(f" {text}"):
-            first, *rest = _SPACE.split(line)
-            out.append(begin + first)
+        text, out, begin = f" {text}", [], ""
+        plain = not _RUN.search(text)
+        for line in text.split("\n") if plain else _LINE.split(text):
+            first, *rest = (line[1:].split(" ") if not begin else line.split(" ")) if plain else _SPACE.split(line)
+            out.append((begin or " " * plain) + first)
             out += [f" {x}" for x in rest]
             begin = "\n"
         return out
@@ -104,77 +107,71 @@ class Tokenizers:
         return out
 
     def aligned(self, units: list[str]) -> list[Unit | None]:
-        plain = [u[1:] if u[0] == " " else u for u in units]  # B puts a space before each
-        of_a = [(e.ids, e.offsets) for e in self.a.encode_batch(units, add_special_tokens=False)]
-        of_b = [(e["ids"], e["offsets"]) for e in self.b.encode(plain, return_type="offset_mapping", num_threads=1)]
-        raw = [u.encode() for u in units]
-        good, left, right = [], [], []
-        for k, (u, r, (ids_a, spans_a), (ids_b, spans_b)) in enumerate(zip(units, raw, of_a, of_b)):
-            ahead = 1 if u[0] == " " else 0
-            if not ahead:
-                ids_b, spans_b = ids_b[1:], spans_b[1:]
-            own_a, own_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if b"".join(own_a) != r or b"".join(own_b) != r:
-                continue
-            if len(r) == len(u):  # every character is a byte
-                ends_a, ends_b = [hi for _, hi in spans_a], [ahead + hi for _, hi in spans_b]
-            else:
-                at = [0, *accumulate(len(c.encode()) for c in u)]
-                ends_a = ends([(at[lo], at[hi]) for lo, hi in spans_a], own_a)
-                ends_b = ends([(at[lo + ahead] if j else 0, at[hi + ahead]) for j, (lo, hi) in enumerate(spans_b)], own_b)
-            good.append(k)
-            left.append((ids_a, ends_a))
-            right.append((ids_b, ends_b))
-        out: list[Unit | None] = [None] * len(units)
-        if good:
-            for k, made in zip(good, self.linked(left, right, np.cumsum([0, *[len(raw[k]) for k in good]]))):
-                out[k] = made
-        return out
-
-    def linked(self, left: list[tuple[list[int], list[int]]], right: list[tuple[list[int], list[int]]], first: np.ndarray) -> list[Unit]:
-        """Units from the ids and ends of their tokens, laid one after another: first is where each begins.
+        """Units are encoded as one text, as far as each may stand before another and the tokens spell it; else in halves."""
+        if not units:
+            return []
+        text = "".join(units)
+        if len(units) > 1 and not all(map(_joins, units)):
+            odd = [k for k, u in enumerate(units) if not _joins(u)]
+            out = dict(zip(odd, [self.aligned([units[k]])[0] for k in odd]))
+            rest = iter(self.aligned([u for u in units if _joins(u)]))
+            return [out[k] if k in out else next(rest) for k in range(len(units))]
+        ahead = int(text[0] == " ")  # B puts a space before its text
+        a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[ahead:], return_type="offset_mapping")
+        ids_a, ids_b = a.ids, b["ids"] if ahead else b["ids"][1:]
+        raw = text.encode()
+        own_a, own_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+        if b"".join(own_a) != raw or b"".join(own_b) != raw:
+            half = len(units) // 2
+            return self.aligned(units[:half]) + self.aligned(units[half:]) if half else [None]
+        upto = np.flatnonzero(np.append((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True))  # where characters begin
+        spans_a = upto[_flat(a.offsets).reshape(-1, 2)]
+        spans_b = _flat(b["offsets"]).reshape(-1, 2) if ahead else _flat(b["offsets"][1:]).reshape(-1, 2)
+        spans_b = upto[spans_b + ahead]
+        spans_b[0, 0] = 0
+        sizes = np.cumsum([len(u) for u in units])
+        return self.linked(np.array(ids_a), ends(spans_a, own_a), np.array(ids_b), ends(spans_b, own_b), upto[sizes])
+
+    def linked(self, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, last: np.ndarray) -> list[Unit]:
+        """Units from the ids and ends of their tokens, laid one after another: last is where each ends.
 
         Between two neighbouring ends, of whichever list, one token of each lies: that is a link. Ends of both close groups.
         """
-
-        def flat(own: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            n = np.array([len(x) for x, _ in own])
-            return np.fromiter(chain.from_iterable(x for x, _ in own), np.int64), np.fromiter(chain.from_iterable(e for _, e in own), np.int64) + np.repeat(first[:-1], n), n
-
-        (ids_a, ends_a, n_a), (ids_b, ends_b, n_b) = flat(left), flat(right)
         every = np.union1d(ends_a, ends_b)
         at_a, at_b = np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
-        pairs = ids_a[at_a] * _BASE + ids_b[at_b]
+        pairs = (ids_a[at_a] * _BASE + ids_b[at_b]).astype(np.int64).tobytes()
         both = every[(ends_a[at_a] == every) & (ends_b[at_b] == every)]
-        links, groups = (np.diff(np.searchsorted(x, first[1:], "right"), prepend=0) for x in (every, both))
+        n_a, n_b, groups, links = (np.diff(np.searchsorted(x, last, "right"), prepend=0).tolist() for x in (ends_a, ends_b, both, every))
         # tokens by group, A's before B's, each with the sign that follows it
         group = np.concatenate([np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)])
         side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
         order = np.argsort(2 * group + side, kind="stable")
-        last = np.concatenate([np.isin(ends_a, both), np.isin(ends_b, both)])
-        sign = np.where(last, 1 + side, 0)[order]
-        told = (np.concatenate([ids_a, ids_b])[order] * 3 + sign).tolist()
-        words, links, text, at, lo = self.told, links.tolist(), [], 0, 0
-        for n in (n_a + n_b).tolist():
-            text.append("".join([words[k] for k in told[at : at + n]])[:-1])
-            at += n
-        out, same, pairs = [], self.same, pairs.tobytes()
-        for t, *counts, n in zip(text, n_a.tolist(), n_b.tolist(), groups.tolist(), links):
-            counts = (*counts, n)
-            out.append((t, same.setdefault(counts, counts), pairs[8 * lo : 8 * (lo + n)]))
-            lo += n
+        closes = np.concatenate([both[group[: len(ids_a)]] == ends_a, both[group[len(ids_a) :]] == ends_b])
+        told = (np.concatenate([ids_a, ids_b]) * 3 + np.where(closes, 1 + side, 0))[order].tolist()
+        words, out, same, at, lo = list(map(self.told.__getitem__, told)), [], self.same, 0, 0
+        for counts in zip(n_a, n_b, groups, links):
+            stop, hi = at + counts[0] + counts[1], lo + 8 * counts[3]
+            out.append(("".join(words[at:stop])[:-1], same.setdefault(counts, counts), pairs[lo:hi]))
+            at, lo = stop, hi
         return out
 
 
-def ends(spans: list[tuple[int, int]], own: list[bytes]) -> list[int]:
-    """Where tokens end, in bytes. A span as long as its token's bytes, that begins where the token before ended, is a cut as it is; from
-    there to the next such span the bytes of the tokens are counted."""
-    out, at = [], 0
-    for (lo, hi), x in zip(spans, own):
-        n = len(x)
-        at = hi if lo == at and hi - lo == n else at + n
-        out.append(at)
-    return out
+def _joins(unit: str) -> bool:
+    """Whether another unit may follow it."""
+    return not unit[-1].isspace() and (unit[0] == "\n" or unit[0] == " ") and not unit[1].isspace()
+
+
+def _flat(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans))
+
+
+def ends(spans: np.ndarray, own: list[bytes]) -> np.ndarray:
+    """Where tokens end, in bytes. A span as long as its token's bytes is the token: its end is a cut. From there to the next
+    such span the tokens' own bytes are counted."""
+    n = np.fromiter(map(len, own), np.int64, len(own))
+    fits, counted = spans[:, 1] - spans[:, 0] == n, np.cumsum(n)
+    cut = np.maximum.accumulate(np.where(fits, np.arange(len(n)), -1))
+    return counted + np.where(cut >= 0, spans[cut, 1] - counted[cut], 0)
 
 
 #: One unit: text of its groups; numbers of A tokens, B tokens, groups and links; pairs of linked ids, repeated as often as linked.
@@ -187,42 +184,50 @@ def loaded(byte_bpe: str, piece_bpe: str) -> Tokenizers:
 
 
 class _Chunk:
-    """Texts by their units' numbers."""
-
-    def __init__(self) -> None:
-        self.bytes, self.number, self.made, self.docs, self.rows, self.sha, self.counts = 0, {}, [], [], [], [], []
-
-    def add(self, doc_id: int | None, text: str | None, size: int, tools: Tokenizers) -> None:
-        units = tools.units(text) if text else []
-        new = {u for u in units if u not in self.number}
-        if new:
-            for u, made in tools.learn(new).items():
-                self.number[u] = len(self.made)
-                self.made.append(made)
-        row = np.fromiter(map(self.number.__getitem__, units), np.int32, len(units))
-        own = [self.made[i] for i in row.tolist()]
-        if not own or None in own:
-            row, own = row[:0], []
-        self.sha.append(hashlib.sha256(";".join([u[0] for u in own]).encode()).hexdigest() if own else "")
-        self.counts.append([sum(c) for c in zip(*[u[1] for u in own])] if own else [0, 0, 0, 0])
-        self.docs.append(doc_id)
-        self.rows.append(row)
-        self.bytes += size
+    """Texts by their units' numbers. Units are looked up for some texts at a time."""
+
+    def __init__(self, tools: Tokenizers) -> None:
+        self.tools, self.bytes, self.waiting, self.held = tools, 0, [], 0
+        self.number, self.told, self.counts, self.links, self.bad = {}, [], [], [], set()
+        self.docs, self.rows, self.sha = [], [], []
+
+    def add(self, doc_id: int | None, text: str | None, size: int) -> None:
+        self.waiting.append((doc_id, self.tools.units(text) if text else []))
+        self.bytes, self.held = self.bytes + size, self.held + size
+        if self.held >= LOOKED_UP:
+            self.look_up()
+
+    def look_up(self) -> None:
+        number = self.number
+        for u, made in self.tools.learn({u for _, units in self.waiting for u in units if u not in number}).items():
+            if not made:
+                self.bad.add(len(number))
+            number[u] = len(number)
+            for kept, part in zip((self.told, self.counts, self.links), made or ("", (0, 0, 0, 0), b"")):
+                kept.append(part)
+        for doc_id, units in self.waiting:
+            row = list(map(number.__getitem__, units))
+            if self.bad and not self.bad.isdisjoint(row):
+                row = []
+            self.docs.append(doc_id)
+            self.sha.append(hashlib.sha256(";".join(map(self.told.__getitem__, row)).encode()).hexdigest() if row else "")
+            self.rows.append(np.array(row, np.int32))
+        self.waiting, self.held = [], 0
 
     def record(self) -> dict:
         """The body holds, compressed, the documents' lengths in units and their units, the units' lengths in links, and those by the
         pair's place in `pair`."""
-        rows = np.concatenate(self.rows)
-        used = np.bincount(rows, minlength=len(self.made))
-        links = [u[2] if u and k else b"" for u, k in zip(self.made, used.tolist())]
+        self.look_up()
+        rows, sizes = np.concatenate(self.rows), np.array([len(r) for r in self.rows], np.int32)
+        used = np.bincount(rows, minlength=len(self.links))
+        links = [x if k else b"" for x, k in zip(self.links, used.tolist())]
         lengths = np.array([len(x) // 8 for x in links], np.int32)
         pair, at = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
-        times = np.repeat(used, lengths)
-        n = np.bincount(at, weights=times, minlength=len(pair)).astype(np.int64)
-        parts = [np.array([len(r) for r in self.rows], np.int32), rows, lengths, at.astype(np.int32)]
+        n = np.bincount(at, weights=np.repeat(used, lengths), minlength=len(pair)).astype(np.int64)
+        parts = [sizes, rows, lengths, at.astype(np.int32)]
         body = b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *[p.tobytes() for p in parts]])
-        counts = np.array(self.counts, np.int64).T
-        return {"chunk": uuid.uuid4().int >> 65, "pair": pair, "n": n, "docs": self.docs, "sha": self.sha, "body": zstandard.compress(body, 1)} | dict(zip(_COUNTS, counts))
+        counts = np.array(self.counts, np.int64).reshape(-1, 4).T
+        return {"chunk": uuid.uuid4().int >> 65, "pair": pair, "n": n, "docs": self.docs, "sha": self.sha, "body": zstandard.compress(body, 1)} | {c: _sums(x[rows], sizes) for c, x in zip(_COUNTS, counts)}
 
 
 def _unpacked(body: bytes) -> list[np.ndarray]:
@@ -243,7 +248,8 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def chunks(docs: DataFrame, byte_bpe: str, piece_bpe: str, chunk_bytes: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, chunk = loaded(byte_bpe, piece_bpe), _Chunk()
+        tools = loaded(byte_bpe, piece_bpe)
+        chunk = _Chunk(tools)
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = raw.as_py()
@@ -251,11 +257,11 @@ def chunks(docs: DataFrame, byte_bpe: str, piece_bpe: str, chunk_bytes: int) ->
                     text = raw.decode() if raw else None
                 except UnicodeDecodeError:
                     text = None
-                chunk.add(doc_id, text, len(raw or b""), tools)
+                chunk.add(doc_id, text, len(raw or b""))
                 if chunk.bytes >= chunk_bytes:
                     yield _batch(chunk.record())
-                    chunk = _Chunk()
-        if chunk.docs:
+                    chunk = _Chunk(tools)
+        if chunk.waiting or chunk.docs:
             yield _batch(chunk.record())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from concord.llm import align
 
@@ -105,9 +108,28 @@ def test_units_are_exact(tools, sf_dir):
 
 def test_spans_that_fit_are_cuts_and_others_are_counted():
     own = lambda *n: [b"x" * k for k in n]
-    assert align.ends([(0, 2), (2, 4), (4, 5)], own(2, 2, 1)) == [2, 4, 5]
-    assert align.ends([(0, 1), (1, 4), (1, 4), (4, 6)], own(1, 2, 1, 2)) == [1, 3, 4, 6]  # a character of three bytes in two tokens
-    assert align.ends([(0, 1), (1, 1), (1, 1), (1, 4), (4, 5)], own(1, 1, 1, 1, 1)) == [1, 2, 3, 4, 5]  # spelled in bytes
+    ends = lambda spans, *n: align.ends(np.array(spans), own(*n)).tolist()
+    assert ends([(0, 2), (2, 4), (4, 5)], 2, 2, 1) == [2, 4, 5]
+    assert ends([(0, 1), (1, 4), (1, 4), (4, 6)], 1, 2, 1, 2) == [1, 3, 4, 6]  # a character of three bytes in two tokens
+    assert ends([(0, 3), (0, 3), (3, 4)], 2, 1, 1) == [2, 3, 4]
+    assert ends([(0, 1), (1, 1), (1, 1), (1, 4), (4, 5)], 1, 1, 1, 1, 1) == [1, 2, 3, 4, 5]  # spelled in bytes
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab.,'1 \n\t\r\x1c\x85\u2028 é世☃👍▁ﬁ"), max_size=30))
+def test_units_of_odd_texts(tools, text):
+    if text:
+        loaded = align.loaded(align.BYTE_BPE, align.PIECE_BPE)
+        units = loaded.units(text)
+        assert "".join(units) == f" {text}"
+        ids_a, own_a, ids_b, own_b = spelled(tools, text)
+        made = [loaded.learn({u})[u] for u in units]
+        together = loaded.aligned(list(dict.fromkeys(units)))
+        assert together == [made[units.index(u)] for u in dict.fromkeys(units)]
+        assert (b"".join(own_a) == b"".join(own_b) == f" {text}".encode()) == (None not in made)
+        if None not in made:
+            a, b = zip(*[g.split("|") for g in ";".join(m[0] for m in made).split(";")])
+            assert ",".join(a) == ",".join(map(str, ids_a)) and ",".join(b) == ",".join(map(str, ids_b))
 
 
 def test_not_utf8_and_empty(spark):
