@@ -36,7 +36,7 @@ from concord.llm.common import cut
 
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of a chunk (one text may be longer), units that a worker remembers (twice as many for a while), and the longest that it does.
-CHUNK_BYTES, REMEMBERED, LONGEST = 8_000_000, 250_000, 256
+CHUNK_BYTES, REMEMBERED, LONGEST = 8_000_000, 350_000, 256
 #: Bytes of text whose units are looked up together.
 LOOKED_UP = 500_000
 #: A pair of ids as one number: a * _BASE + b.
@@ -66,11 +66,15 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         letters = _byte_letters()
-        self.bytes_a = {i: bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.bytes_a = [b""] * (1 + max(vocabulary.values()))
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.by_unit = not any(re.search("[^▁]▁|\n", p) for p in pieces)
-        self.told = [f"{i}{sign}" for i in range(max(len(pieces), 1 + max(self.bytes_a))) for sign in ",|;"]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        self.told = [f"{i}{sign}" for i in range(max(len(pieces), len(self.bytes_a))) for sign in ",|;"]
         self.known: dict[str, Unit | None] = {}
         self.older: dict[str, Unit | None] = {}
         self.same: dict[tuple, tuple] = {}
@@ -98,10 +102,9 @@ class Tokenizers:
                 out[u] = known[u] = older[u]
             else:
                 new.append(u)
-        for u, made in zip(new, self.aligned(new)):
-            out[u] = made
-            if len(u) <= LONGEST:
-                known[u] = made
+        learned = dict(zip(new, self.aligned(new)))
+        out |= learned
+        known.update(learned if all(len(u) <= LONGEST for u in new) else {u: x for u, x in learned.items() if len(u) <= LONGEST})
         if len(known) > REMEMBERED:
             self.known, self.older = {}, known
         return out
@@ -111,17 +114,17 @@ class Tokenizers:
         if not units:
             return []
         text = "".join(units)
-        if len(units) > 1 and not all(map(_joins, units)):
-            odd = [k for k, u in enumerate(units) if not _joins(u)]
-            out = dict(zip(odd, [self.aligned([units[k]])[0] for k in odd]))
-            rest = iter(self.aligned([u for u in units if _joins(u)]))
-            return [out[k] if k in out else next(rest) for k in range(len(units))]
+        if len(units) > 1 and (not self.by_unit or _RUN.search(text)):
+            odd = {u: self.aligned([u])[0] for u in units if not self.by_unit or not _joins(u)}
+            rest = [u for u in units if u not in odd]
+            if odd:
+                learned = dict(zip(rest, self.aligned(rest))) | odd
+                return [learned[u] for u in units]
         ahead = int(text[0] == " ")  # B puts a space before its text
         a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[ahead:], return_type="offset_mapping")
         ids_a, ids_b = a.ids, b["ids"] if ahead else b["ids"][1:]
         raw = text.encode()
-        own_a, own_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
             half = len(units) // 2
             return self.aligned(units[:half]) + self.aligned(units[half:]) if half else [None]
         upto = np.flatnonzero(np.append((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True))  # where characters begin
@@ -130,7 +133,8 @@ class Tokenizers:
         spans_b = upto[spans_b + ahead]
         spans_b[0, 0] = 0
         sizes = np.cumsum([len(u) for u in units])
-        return self.linked(np.array(ids_a), ends(spans_a, own_a), np.array(ids_b), ends(spans_b, own_b), upto[sizes])
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        return self.linked(ids_a, ends(spans_a, self.sizes_a[ids_a]), ids_b, ends(spans_b, self.sizes_b[ids_b]), upto[sizes])
 
     def linked(self, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, last: np.ndarray) -> list[Unit]:
         """Units from the ids and ends of their tokens, laid one after another: last is where each ends.
@@ -165,10 +169,9 @@ def _flat(spans: list[tuple[int, int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans))
 
 
-def ends(spans: np.ndarray, own: list[bytes]) -> np.ndarray:
-    """Where tokens end, in bytes. A span as long as its token's bytes is the token: its end is a cut. From there to the next
+def ends(spans: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where tokens of n bytes end. A span as long as its token's bytes is the token: its end is a cut. From there to the next
     such span the tokens' own bytes are counted."""
-    n = np.fromiter(map(len, own), np.int64, len(own))
     fits, counted = spans[:, 1] - spans[:, 0] == n, np.cumsum(n)
     cut = np.maximum.accumulate(np.where(fits, np.arange(len(n)), -1))
     return counted + np.where(cut >= 0, spans[cut, 1] - counted[cut], 0)
@@ -176,6 +179,7 @@ def ends(spans: np.ndarray, own: list[bytes]) -> np.ndarray:
 
 #: One unit: text of its groups; numbers of A tokens, B tokens, groups and links; pairs of linked ids, repeated as often as linked.
 Unit = tuple[str, tuple[int, int, int, int], bytes]
+_NONE: Unit = ("", (0, 0, 0, 0), b"")
 
 
 @functools.lru_cache(maxsize=4)
@@ -199,12 +203,15 @@ class _Chunk:
 
     def look_up(self) -> None:
         number = self.number
-        for u, made in self.tools.learn({u for _, units in self.waiting for u in units if u not in number}).items():
-            if not made:
-                self.bad.add(len(number))
-            number[u] = len(number)
-            for kept, part in zip((self.told, self.counts, self.links), made or ("", (0, 0, 0, 0), b"")):
-                kept.append(part)
+        learned = self.tools.learn({u for _, units in self.waiting for u in units if u not in number})
+        first = len(number)
+        if None in learned.values():
+            self.bad.update(k for k, made in enumerate(learned.values(), first) if made is None)
+        number.update(zip(learned, range(first, first + len(learned))))
+        whole = [made or _NONE for made in learned.values()]
+        self.told += [x[0] for x in whole]
+        self.counts += [x[1] for x in whole]
+        self.links += [x[2] for x in whole]
         for doc_id, units in self.waiting:
             row = list(map(number.__getitem__, units))
             if self.bad and not self.bad.isdisjoint(row):
