@@ -101,8 +101,8 @@ def unpack(packed: DataFrame) -> DataFrame:
     return packed.select("clip_id", F.posexplode("traj").alias("step", "p")).select("clip_id", "step", "p.x", "p.y", "p.z")
 
 
-def features_packed(packed: DataFrame, dt: float = DT) -> DataFrame:
-    """features() of packed paths: no shuffle, as each row holds its path."""
+def features_packed(packed: DataFrame, dt: float = DT, kept: tuple[str, ...] = ()) -> DataFrame:
+    """features() of packed paths, with columns that are kept: no shuffle, as each row holds its path."""
     n = F.coalesce(F.size("traj"), F.lit(0))
     gap = lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2.0) + F.pow(b["y"] - a["y"], 2.0))
     tail = F.slice("traj", F.lit(2), F.greatest(F.size("traj") - 1, F.lit(0)))
@@ -120,7 +120,14 @@ def features_packed(packed: DataFrame, dt: float = DT) -> DataFrame:
         }
     )
     rows = rows.withColumn("mean_acceleration", F.when(F.col("n_steps") > 2, F.col("speed_change") / ((F.col("n_steps") - 2) * F.lit(dt))).otherwise(0.0))
-    return rows.select("clip_id", "n_steps", *[F.when(F.col("n_steps") < 2, 0.0).otherwise(F.col(c)).alias(c) for c in FEATURES])
+    return rows.select("clip_id", "n_steps", *[F.when(F.col("n_steps") < 2, 0.0).otherwise(F.col(c)).alias(c) for c in FEATURES], *kept)
+
+
+def displacement_packed(a: str = "traj", b: str = "truth") -> Column:
+    """Mean planar distance of two packed paths of the same length; null for others and for empty ones."""
+    gap = F.zip_with(a, b, lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2.0) + F.pow(p["y"] - q["y"], 2.0)))
+    total = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total / F.size(a))
 
 
 def displacement_error(pred: DataFrame, truth: DataFrame) -> DataFrame:

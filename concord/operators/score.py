@@ -91,3 +91,14 @@ def score_with_errors(clips: DataFrame, reasoning: DataFrame, predictions: DataF
         .when(F.col("np") != F.col("ng"), "length mismatch")
     )
     return _result(_scored_rows(rows.na.fill(0.0, list(kinematics.FEATURES)), reasoning, rules), error)
+
+
+def score_packed(arrivals: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
+    """score_with_errors() of rows that hold their text and both paths: no join and no shuffle, so also on streams."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    error = (
+        F.when(n("traj") <= 0, "missing prediction").when(n("truth") <= 0, "missing ground truth").when(n("traj") != n("truth"), "length mismatch")
+    )
+    rows = normalize_clips(arrivals).withColumns({"error": error, "ade_meters": kinematics.displacement_packed()})
+    rows = kinematics.features_packed(rows, kept=("t0_us", "scenario_type", "cot_text", "ade_meters", "error")).na.fill(0.0, list(kinematics.FEATURES))
+    return _result(score(classify_text(kinematics.classify_features(rows), "cot_text", rules)), F.col("error"))

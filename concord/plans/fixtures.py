@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from concord.functions import kinematics
 from concord.operators import sampling
 
 # The texts of the fixture, by number; the last is null.
@@ -109,6 +110,23 @@ class Tables:
         clip = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("block").cast("string"))
         return rows.select(clip.alias("clip_id"), F.col("step").cast("int").alias("step"), "x", "y", F.lit(0.0).alias("z"))
 
+    def arrivals(self) -> DataFrame:
+        """The events' paths as clips that arrive with a text and a truth; some without a path, some with a truth cut short."""
+        user, block = F.substring_index(F.substring("clip_id", 2, 40), "-", 1).cast("long"), F.substring_index("clip_id", "-", -1).cast("long")
+        packed = kinematics.pack(self.event_paths().withColumn("x", F.col("x") * 1.013)).withColumns({"user": user, "block": block})
+        bank = F.array(*[F.lit(p) if p is not None else F.lit(None).cast("string") for p in PHRASES])
+        truth = F.transform("traj", lambda p, i: F.struct((p["x"] + i * F.lit(0.02)).alias("x"), (p["y"] - i * F.lit(0.01)).alias("y"), p["z"].alias("z")))
+        short = F.when(F.col("user") % 11 == 0, F.slice(truth, F.lit(1), F.size("traj") - 1)).otherwise(truth)
+        return packed.select(
+            "clip_id",
+            (F.lit(2_000_000) + F.col("user") * 1000).cast("long").alias("t0_us"),
+            F.concat(F.lit("s"), F.col("user") % 5).alias("scenario_type"),
+            F.get(bank, ((F.col("user") * 5 + F.col("block")) % 24).cast("int")).alias("cot_text"),
+            F.when(F.col("user") % 13 != 0, F.col("traj")).alias("traj"),
+            short.alias("truth"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("user")).alias("arrived"),
+        )
+
     def packed_paths(self) -> DataFrame:
         """Packed paths from embeddings: the vector as the lateral course."""
         point = lambda v, i: F.struct((i * F.lit(0.1) * (2 + F.col("label"))).alias("x"), (v.cast("double") * 4).alias("y"), F.lit(0.0).alias("z"))

@@ -210,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "score_clips": f"SELECT clip_id, t0_us, {', '.join(_RESULT)}, mismatch_type, NULL::VARCHAR AS error, {_r(*_MEASURES)} FROM res",
         "score_with_errors": f"""SELECT clip_id, t0_us, scenario_type, error, {', '.join(f'CASE WHEN error IS NULL THEN {c} END AS {c}' for c in (*_RESULT[1:], 'mismatch_type'))}, {_r(*[f'CASE WHEN error IS NULL THEN {c} END AS {c}' for c in _MEASURES])}
 FROM (SELECT *, CASE WHEN ord % 103 = 0 THEN 'missing prediction' WHEN ord % 101 = 0 THEN 'length mismatch' END AS error FROM (SELECT *, substr(clip_id, 2)::BIGINT AS ord FROM res))""",
+        "stream_scores": f"""SELECT clip_id, t0_us, scenario_type, error, {', '.join(f'CASE WHEN error IS NULL THEN {c} END AS {c}' for c in (*_RESULT[1:], 'mismatch_type'))}, {_r(*[f'CASE WHEN error IS NULL THEN {c} END AS {c}' for c in _MEASURES])} FROM res_a""",
         "run_summary": f"SELECT count(*) AS total_clips, count(mismatch_score) AS valid, {_r('avg(mismatch_score) AS mean_mismatch', 'avg(ade_meters) AS mean_ade', 'avg(long_match) AS mean_long_match', 'avg(lat_match) AS mean_lat_match')} FROM res",
         "type_distribution": f"SELECT mismatch_type, count(*) AS n, {_r('100.0 * count(*) / sum(count(*)) OVER () AS pct')} FROM res GROUP BY mismatch_type",
         "class_histograms": " UNION ALL ".join(f"SELECT '{c}' AS axis, {c} AS label, count(*) AS n FROM res GROUP BY {c}" for c in _RESULT[2:]),
@@ -241,6 +242,7 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY scenario_type, regime ORDER
 FROM (SELECT old_mismatch_type AS mismatch_type, count(*) AS a FROM pairs GROUP BY 1) FULL JOIN (SELECT mismatch_type, count(*) AS b FROM pairs GROUP BY 1) USING (mismatch_type)""",
         "unspecified_shift": " UNION ALL ".join(f"SELECT '{a}' AS axis, count(*) FILTER (old_{a}_intent = 'unspecified') AS n_before, count(*) FILTER ({a}_intent = 'unspecified') AS n_after, count(*) FILTER ({a}_intent = 'unspecified') - count(*) FILTER (old_{a}_intent = 'unspecified') AS delta FROM pairs" for a in ("long", "lat")),
     }
+    q["run_until_done"] = q["score_with_errors"]
     return {k: _sql(v) for k, v in sorted(q.items())}
 
 
@@ -249,3 +251,11 @@ CTES["raw_r"] = "SELECT r.* EXCLUDE (lat_execution), a.raw_class AS lat_executio
 CTES["res_c"] = _scored("raw_c")
 CTES["res_r"] = _scored("raw_r")
 CTES["both_scores"] = "SELECT r.lat_intent, r.mismatch_score AS raw_score, c.mismatch_score AS curve_score FROM res_r r JOIN res_c c USING (clip_id)"
+
+# Clips that arrive from events: who they are, what their features make of them, their error to the truth.
+CTES["arr"] = "SELECT clip_id, step, x * 1.013::DOUBLE AS x, y, split_part(substr(clip_id, 2), '-', 1)::BIGINT AS usr, split_part(clip_id, '-', 2)::BIGINT AS block FROM evw"
+CTES["arrf"] = _features("arr")
+CTES["arrk"] = f"SELECT *, {_LONG} AS long_execution, {_LAT.format('total_lateral_shift')} AS lat_execution FROM arrf"
+CTES["arre"] = "SELECT clip_id, usr, block, avg(sqrt((0.02::DOUBLE * step) ** 2 + (0.01::DOUBLE * step) ** 2)) AS ade_meters FROM arr GROUP BY ALL"
+CTES["raw_a"] = "SELECT e.clip_id, 2000000 + usr * 1000 AS t0_us, 's' || usr % 5 AS scenario_type, b.cot_text, b.long_intent, b.lat_intent, b.confidence, k.long_execution, k.lat_execution, e.ade_meters, k.total_lateral_shift AS lat_shift_m, k.mean_speed AS mean_speed_ms, CASE WHEN usr % 13 = 0 THEN 'missing prediction' WHEN usr % 11 = 0 THEN CASE WHEN k.n_steps = 1 THEN 'missing ground truth' ELSE 'length mismatch' END END AS error FROM arre e JOIN arrk k USING (clip_id) JOIN cur_bank b ON b.num = (usr * 5 + block) % 24"
+CTES["res_a"] = _scored("raw_a")

@@ -12,6 +12,7 @@ from concord.functions.rules import STRICT
 from concord.operators import extended, report, rescore, sampling, score
 from concord.plans.fixtures import SEED, Tables
 from concord.sources import io
+from concord.sources.log import BatchLog
 from concord.streaming import resume
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,6 +289,29 @@ def batch_progress(t):
     return resume.progress(t.clips(), t.done(), 400)
 
 
+@query
+def run_until_done(t):
+    """All clips in batches of a quarter, one of which is killed before its record: the log's rows are those of one run."""
+    out, clips = io.new_path(t.spark, "batches"), io.stored(t.clips(), "clips")
+    n = -(-clips.count() // 4) or 1
+    inputs = (t.reasoning(), t.predictions(errors=True), t.ground_truth(errors=True))
+    resume.run_until_done(t.spark, clips, *inputs, out, n, most=1)
+    BatchLog(t.spark, out).write(score.score_with_errors(clips.where("ord % 7 = 0"), *inputs), 1)
+    resume.run_until_done(t.spark, clips, *inputs, out, n)
+    return BatchLog(t.spark, out).newest()
+
+
+@query
+def stream_scores(t):
+    """Clips that arrive in files, a part of them twice, scored as a stream."""
+    source, out, state = (io.new_path(t.spark, x) for x in ("arrivals", "streamed", "state"))
+    rows = io.stored(t.arrivals(), "arrivals_once")
+    rows.repartition(5, "clip_id").write.parquet(source)
+    rows.where("t0_us % 3000 = 0").repartition(2, "clip_id").write.mode("append").parquet(source)
+    resume.stream_packed(t.spark, source, out, state, files=2).awaitTermination()
+    return t.spark.read.schema(io.RESULTS).parquet(out)
+
+
 _queries["rescore"] = lambda spark, sf_dir: rounded(pairs(Tables(spark, sf_dir)).select(*io.RESULTS.fieldNames()))
 for _f in (rescore.reclassified, rescore.reclassified_preview, rescore.rescore_summary, rescore.type_shift, rescore.unspecified_shift):
     _queries[_f.__name__] = lambda spark, sf_dir, f=_f: rounded(f(pairs(Tables(spark, sf_dir))))

@@ -21,6 +21,9 @@ METADATA = _schema("clip_id:s country:s month:i hour_of_day:i platform_class:s")
 EGOMOTION = _schema("clip_id:s ts_us:l")
 EVAL_CLIPS = _schema("clip_id:s t0_us:l hour_bucket:s country:s ord:l")
 WAYPOINTS = _schema("clip_id:s step:i x:d y:d z:d")
+POINTS = T.ArrayType(_schema("x:d y:d z:d"))
+#: Clips that arrive with their text and both paths.
+ARRIVALS = T.StructType([*_schema("clip_id:s t0_us:l scenario_type:s cot_text:s").fields, T.StructField("traj", POINTS), T.StructField("truth", POINTS), T.StructField("arrived", T.TimestampType())])
 RESULTS = _schema(
     "clip_id:s t0_us:l scenario_type:s cot_text:s long_intent:s lat_intent:s long_execution:s lat_execution:s "
     "long_match:d lat_match:d mismatch_score:d mismatch_type:s confidence:d ade_meters:d lat_shift_m:d mean_speed_ms:d error:s"

@@ -1,5 +1,9 @@
+import pytest
+
+from concord.operators.score import score_packed, score_with_errors
 from concord.plans.fixtures import Tables
-from concord.sources.io import EVAL_CLIPS, read_results
+from concord.sources.io import EVAL_CLIPS
+from concord.sources.log import BatchLog
 from concord.streaming import resume
 
 
@@ -10,23 +14,107 @@ def inputs(spark, sf_dir, n):
     return clips, own(t.reasoning()), own(t.predictions(errors=True)), own(t.ground_truth(errors=True))
 
 
-def test_batches_make_up_one_run(spark, sf_dir, tmp_path):
-    clips, text, pred, truth = inputs(spark, sf_dir, 50)
-    parts, whole = str(tmp_path / "parts"), str(tmp_path / "whole")
-    assert [resume.run_batch(spark, clips, text, pred, truth, parts, 20) for _ in range(4)] == [20, 20, 10, 0]
-    assert resume.run_batch(spark, clips, text, pred, truth, whole, 1000) == 50
-    a, b = (read_results(spark, p).orderBy("clip_id").collect() for p in (parts, whole))
-    assert a == b and len({r["clip_id"] for r in a}) == 50
-    failed = sum(r["error"] is not None for r in a)
-    assert failed and resume.run_batch(spark, clips, text, pred, truth, parts, 1000, retry_errors=True) == failed
-    assert resume.progress(clips, read_results(spark, whole).limit(45), 4).collect() == [(50, 45, 5, 4, 1)]
+@pytest.fixture(scope="module")
+def fifty(spark, sf_dir):
+    return inputs(spark, sf_dir, 50)
+
+
+def test_batches_make_up_one_run(spark, fifty, tmp_path):
+    clips, *tables = fifty
+    parts = str(tmp_path / "parts")
+    assert resume.run_until_done(spark, clips, *tables, parts, 20) == [20, 20, 10]
+    assert resume.run_until_done(spark, clips, *tables, parts, 20) == []
+    rows = BatchLog(spark, parts).read()
+    assert sorted(map(tuple, rows.drop("batch").collect())) == sorted(map(tuple, score_with_errors(clips, *tables).collect()))
+    assert [r["n"] for r in rows.groupBy("batch").count().orderBy("batch").withColumnRenamed("count", "n").collect()] == [20, 20, 10]
+    assert resume.progress(clips, rows.limit(45), 4).collect() == [(50, 45, 5, 4, 1)]
+    failed = rows.where("error is not null").count()
+    assert failed and resume.run_until_done(spark, clips, *tables, parts, 1000, retry_errors=True) == [failed]
+    log = BatchLog(spark, parts)
+    assert log.read().count() == 50 + failed and log.newest().count() == 50
+    assert BatchLog(spark, parts).last()["batch"] == 3
+
+
+def test_late_clips_are_found(spark, fifty, tmp_path):
+    clips, *tables = fifty
+    out = str(tmp_path / "late")
+    assert resume.run_until_done(spark, clips.where("ord % 3 <> 0"), *tables, out, 100) == [clips.where("ord % 3 <> 0").count()]
+    assert resume.run_until_done(spark, clips, *tables, out, 100) == [clips.where("ord % 3 = 0").count()]
+    assert BatchLog(spark, out).read().select("clip_id").distinct().count() == 50
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("point", ["before the rows", "half of the rows", "before the record", "after the record", "no rename"])
+def test_killed_at_each_point(spark, fifty, tmp_path, monkeypatch, point):
+    clips, *tables = fifty
+    out, write, commit = str(tmp_path / "out"), BatchLog.write, BatchLog.commit
+
+    def fail(*_, **__):
+        raise Killed
 
+    def write_and_fail(self, rows, batch):
+        write(self, rows.where("t0_us % 2 = 0") if point.startswith("half") else rows, batch)
+        fail()
 
-def test_stream_takes_each_file_once(spark, sf_dir, tmp_path):
+    def commit_and_fail(self, batch, **facts):
+        if point == "no rename":
+            (tmp_path / "out" / "_log" / f".{batch:012d}.json.draft").write_text('{"ba')
+        else:
+            commit(self, batch, **facts)
+        fail()
+
+    assert resume.run_until_done(spark, clips, *tables, out, 20, most=1) == [20]
+    with monkeypatch.context() as m:
+        if point in ("after the record", "no rename"):
+            m.setattr(BatchLog, "commit", commit_and_fail)
+        else:
+            m.setattr(BatchLog, "write", fail if point == "before the rows" else write_and_fail)
+        with pytest.raises(Killed):
+            resume.run_until_done(spark, clips, *tables, out, 20)
+    seen = BatchLog(spark, out).read().count()
+    assert seen == (40 if point == "after the record" else 20)
+    assert sum(resume.run_until_done(spark, clips, *tables, out, 20)) == 50 - seen
+    rows = BatchLog(spark, out).read().drop("batch")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, score_with_errors(clips, *tables).collect()))
+
+
+def test_a_batch_is_recorded_once(spark, tmp_path):
+    log = BatchLog(spark, str(tmp_path / "log"))
+    assert log.last() is None and log.read().count() == 0
+    assert log.commit(0, ord=1) and not log.commit(0, ord=2)
+    assert log.last() == {"batch": 0, "ord": 1} and log.records() == [0]
+
+
+def test_stream_takes_each_clip_once(spark, sf_dir, tmp_path):
     clips, text, pred, truth = inputs(spark, sf_dir, 20)
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     for k, part in enumerate((clips.where("ord % 2 = 0"), clips.where("ord % 2 = 1"), clips.where("ord % 2 = 1"))):
         part.coalesce(1).write.mode("append").parquet(src)
         resume.stream(spark, src, text, pred, truth, out, ck).awaitTermination()
-        ids = [r["clip_id"] for r in read_results(spark, out).collect()]
+        ids = [r["clip_id"] for r in BatchLog(spark, out).read().collect()]
         assert len(ids) == len(set(ids)) == (20 if k else clips.where("ord % 2 = 0").count())
+
+
+@pytest.mark.parametrize("remember", [None, "1000 days"])
+def test_packed_stream_reads_only_what_arrives(spark, sf_dir, tmp_path, remember):
+    rows = Tables(spark, sf_dir).arrivals().cache()
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    total, seen = 0, 0
+    for k in range(4):
+        part = rows.where(f"t0_us % 4000 in ({k * 1000}, {(k - 1) * 1000 % 4000})") if k < 3 else rows
+        part.coalesce(1).write.mode("append").parquet(src)
+        query = resume.stream_packed(spark, src, out, ck, files=1, remember=remember)
+        query.awaitTermination()
+        read = [p for p in query.recentProgress if p["numInputRows"]]
+        assert [p["numInputRows"] for p in read] == [part.count()]  # its own file, however much is done
+        total = spark.read.parquet(out).count()
+        assert read[0]["stateOperators"][0]["numRowsTotal"] == total
+        assert "RocksDB" in str(read[0]["stateOperators"][0]["customMetrics"]) or any("rocksdb" in m for m in read[0]["stateOperators"][0]["customMetrics"])
+        assert total > seen or k == 3
+        seen = total
+    got = spark.read.parquet(out)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, score_packed(rows).collect())))
+    assert {r["error"] for r in got.select("error").distinct().collect()} >= {None, "missing prediction", "length mismatch"}
