@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -102,6 +103,11 @@ def _without(rules: dict[str, tuple[str, ...]], gone: re.Pattern) -> dict[str, t
     return {k: tuple(p for p in v if not gone.search(p)) for k, v in rules.items()}
 
 
+def fingerprint(*parts: object) -> str:
+    """A short digest of rule sets or other plain data, in their order."""
+    return hashlib.sha256(repr(parts).encode()).hexdigest()[:16]
+
+
 CURRENT = RuleSet()
 STRICT = RuleSet(_without(LONGITUDINAL, re.compile(r"adapt speed|adjust speed|yield|distance|gap")), _without(LATERAL, re.compile("curve")))
 EXPANDED = RuleSet(

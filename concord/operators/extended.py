@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from concord.functions import kinematics
 from concord.functions.rules import CURRENT, EXPANDED, STRICT, RuleSet
-from concord.functions.text import classify_text
+from concord.functions.text import classify_by_sets
 from concord.operators.report import valid
 from concord.operators.sampling import order_key
 from concord.operators.score import score, severity
@@ -42,10 +42,10 @@ def curvature_effect(results: DataFrame, way: DataFrame) -> DataFrame:
 
 def parser_ablation(results: DataFrame, variants: dict[str, RuleSet] = VARIANTS) -> DataFrame:
     """The severe rate of the same paths under several rule sets, and the spread with its verdict."""
-    rows = valid(results).select("clip_id", "cot_text", "long_execution", "lat_execution")
+    rows = classify_by_sets(valid(results).select("clip_id", "cot_text", "long_execution", "lat_execution"), variants)
     kept, rates = list(rows.columns), []
-    for name, rules in variants.items():  # all in one pass over the texts
-        judged = score(classify_text(rows, "cot_text", rules))
+    for name in variants:  # all in one pass over the texts
+        judged = score(rows.withColumns({f"{axis}_intent": F.col(f"{name}_{axis}_intent") for axis in ("long", "lat")}))
         kept.append(f"severe_{name}")
         rows = judged.withColumn(kept[-1], (severity(F.col("mismatch_score")) == "severe").cast("double")).select(*kept)
         rates.append(F.struct(F.lit(name).alias("variant"), F.count("*").alias("n"), (100 * F.avg(kept[-1])).alias("severe_pct")))

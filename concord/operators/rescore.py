@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from concord.functions.rules import CURRENT, HOUR_BUCKETS, UNSPECIFIED, RuleSet
 from concord.functions.text import classify_text
+from concord.operators.dictionary import TextDictionary
 from concord.operators.score import score
 
 OVERRIDDEN = ("long_intent", "lat_intent", "long_match", "lat_match", "mismatch_score", "mismatch_type", "confidence")
 
 
-def rescore(results: DataFrame, rules: RuleSet = CURRENT, keep_old: bool = False) -> DataFrame:
+def rescore(results: DataFrame, rules: RuleSet = CURRENT, keep_old: bool = False, known: TextDictionary | None = None) -> DataFrame:
     """results with seven fields made anew from their stored text; error rows pass unscored.
 
-    keep_old adds old_<field> for the comparisons.
+    keep_old adds old_<field> for the comparisons. known: a dictionary of these rules, in which the texts are looked up; only those
+    that it doesn't have are classified.
     """
     renamed = results.withColumnsRenamed({c: f"old_{c}" for c in OVERRIDDEN})
-    new = score(classify_text(renamed, "cot_text", rules))
+    new = score(known.classify(renamed) if known else classify_text(renamed, "cot_text", rules))
     scored = F.col("error").isNull() if "error" in results.columns else F.lit(True)
     new = new.withColumns({c: F.when(scored, F.col(c)) for c in OVERRIDDEN})
     return new.select(*results.columns, *[f"old_{c}" for c in OVERRIDDEN if keep_old])

@@ -45,10 +45,34 @@ def safe_window(covered: DataFrame, low: int = EGO_MIN_US, high: int = EGO_MAX_U
     return covered.where((F.col("ego_max") >= high) & (F.col("ego_min") <= low))
 
 
+#: Up to so many rows of a stratum Spark's own limit on ranks cuts down partitions before they are shuffled.
+RANKED = 1000
+
+
+def near_first(df: DataFrame, n: int, seed: int, stratum: str, *salt: str) -> DataFrame:
+    """Rows of each stratum that hold its first n by hash, and few more (an eighth, about), however many there are in all.
+
+    Hashes are counted in bins, eight to a doubling, so that the bins near the first are as fine as any n needs: a table of strata
+    x 481 counts at most, added up in each task before it is shuffled. The bin that the n-th falls into is the cut, exact
+    for any hashes; only rows up to it go on. Strata are few and fixed (hours, or one): their cuts are broadcast.
+    """
+    rank = F.conv(F.substring(order_key(seed, "clip_id", *salt), 1, 15), 16, 10).cast("long")
+    rows = df.withColumn("_bin", F.floor(8 * F.log2(rank.cast("double") + 1)))
+    upto = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = rows.groupBy(stratum, "_bin").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(upto, F.lit(0)))
+    cuts = bins.where(F.col("_before") < n).groupBy(F.col(stratum).alias("_stratum")).agg(F.max("_bin").alias("_cut"))
+    near = rows.join(F.broadcast(cuts), (F.col(stratum) == F.col("_stratum")) & (F.col("_bin") <= F.col("_cut")))
+    return near.select(*df.columns)
+
+
 def _first(df: DataFrame, n: int, seed: int, stratum: str | None = None, *salt: str) -> DataFrame:
     """The first n rows of each stratum by hash."""
     order = [order_key(seed, "clip_id", *salt), F.col("clip_id")]
-    if stratum is None:
+    if n > RANKED:
+        if stratum is None:
+            return near_first(df.withColumn("_all", F.lit(0)), n, seed, "_all", *salt).drop("_all").orderBy(*order).limit(n)
+        df = near_first(df, n, seed, stratum, *salt)
+    elif stratum is None:
         return df.orderBy(*order).limit(n)
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

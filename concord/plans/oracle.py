@@ -242,6 +242,15 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY scenario_type, regime ORDER
 FROM (SELECT old_mismatch_type AS mismatch_type, count(*) AS a FROM pairs GROUP BY 1) FULL JOIN (SELECT mismatch_type, count(*) AS b FROM pairs GROUP BY 1) USING (mismatch_type)""",
         "unspecified_shift": " UNION ALL ".join(f"SELECT '{a}' AS axis, count(*) FILTER (old_{a}_intent = 'unspecified') AS n_before, count(*) FILTER ({a}_intent = 'unspecified') AS n_after, count(*) FILTER ({a}_intent = 'unspecified') - count(*) FILTER (old_{a}_intent = 'unspecified') AS delta FROM pairs" for a in ("long", "lat")),
     }
+    for n in (2000, 20_000):
+        cand = q["stratified_candidates"].replace("FROM cand", f"FROM (SELECT *, row_number() OVER (PARTITION BY hour_bucket ORDER BY {_MD5.format(_SEED)}) AS rk FROM elig WHERE hour_bucket IS NOT NULL) WHERE rk <= {n * 3 // 5}").replace("clip_id, hour", "clip_id, country, hour", 1)
+        q[f"quota_fill_{n}"] = f"{drawn} FROM (SELECT *, row_number() OVER (PARTITION BY hour_bucket ORDER BY {_MD5.format(_SEED + 2)}) AS k FROM ({cand}) WHERE clip_id IN (SELECT clip_id FROM cover WHERE ego_max >= 19500000 AND ego_min <= 300000)) WHERE k <= {n // 5}"
+    q["simple_sample_2000"] = q["simple_sample"].replace(f"LIMIT {_SAMPLE}", "LIMIT 2000")
+    texts = "(SELECT clip_id, ok, ck, cot_text || ' #' || ck % 97 AS cot_text, long_intent, lat_intent, confidence FROM o JOIN cur_bank b ON b.num = (ok * 5 + ck) % 24)"
+    q["text_dictionary"] = f"""SELECT delivery, count(*) AS n_texts, count(DISTINCT cot_text) AS n_distinct, count(DISTINCT cot_text) FILTER (delivery = first) AS n_new
+FROM (SELECT *, (ok % 3 <> 0)::INT AS delivery, min((ok % 3 <> 0)::INT) OVER (PARTITION BY cot_text) AS first FROM {texts}) GROUP BY delivery"""
+    q["dictionary_intents"] = f"SELECT clip_id, long_intent, lat_intent, {_r('confidence')} FROM {texts} WHERE ok % 3 <> 0"
+    q["rescore_known"] = q["rescore"]
     q["run_until_done"] = q["score_with_errors"]
     return {k: _sql(v) for k, v in sorted(q.items())}
 

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import kinematics, text
-from concord.functions.rules import STRICT
-from concord.operators import extended, report, rescore, sampling, score
+from concord.functions.rules import CURRENT, LAT_COMPAT, LONG_COMPAT, STRICT, Thresholds, fingerprint
+from concord.operators import dictionary, extended, report, rescore, sampling, score
 from concord.plans.fixtures import SEED, Tables
 from concord.sources import io
 from concord.sources.log import BatchLog
+from concord.sources.store import Store
 from concord.streaming import resume
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Draws of the sampling queries.
 SAMPLE = 400
 SCENARIOS = ["night", "clear", "rain"]
+#: What scores depend on besides their tables and rule set.
+SCORING = (LONG_COMPAT, LAT_COMPAT, Thresholds(), score.BANDS, kinematics.DT, score.STORED_TEXT)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -31,19 +34,24 @@ def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return f
 
 
+def _inputs(t: Tables) -> list[DataFrame]:
+    return [t.clips(), t.reasoning(), t.predictions(), t.ground_truth()]
+
+
 def scored(t: Tables) -> DataFrame:
-    """Stored scores, as every report reads them."""
-    return io.stored(_scores(t))
+    """Stored scores, as every report reads them: made once for the same tables and rules."""
+    return Store(t.spark).get("scores", _inputs(t), fingerprint(CURRENT, SCORING), lambda: _scores(t))
 
 
 def _scores(t: Tables) -> DataFrame:
-    return score.score_clips(t.clips(), t.reasoning(), t.predictions(), t.ground_truth())
+    return score.score_clips(*_inputs(t))
 
 
 def pairs(t: Tables) -> DataFrame:
     """Strict scores and what the current rules make of them."""
-    old = io.stored(score.score_clips(t.clips(), t.reasoning(), t.predictions(), t.ground_truth(), STRICT), "strict")
-    return io.stored(rescore.rescore(old, keep_old=True), "rescored")
+    store, inputs = Store(t.spark), _inputs(t)
+    old = store.get("strict", inputs, fingerprint(STRICT, SCORING), lambda: score.score_clips(*inputs, STRICT))
+    return store.get("rescored", inputs, fingerprint(STRICT, CURRENT, SCORING), lambda: rescore.rescore(old, keep_old=True))
 
 
 # Sampling
@@ -99,6 +107,27 @@ def quota_fill(t):
     return sampling.quota_fill(drawn, t.egomotion(), SAMPLE, SEED)
 
 
+def _drawn(t: Tables, n: int) -> DataFrame:
+    drawn = sampling.stratified_candidates(sampling.eligible(t.indexed()), n, 3, SEED, strict=False)
+    return sampling.quota_fill(drawn, t.egomotion(), n, SEED)
+
+
+@query
+def quota_fill_2000(t):
+    """The default size: candidates of 1200 a bucket."""
+    return _drawn(t, 2000)
+
+
+@query
+def quota_fill_20000(t):
+    return _drawn(t, 20_000)
+
+
+@query
+def simple_sample_2000(t):
+    return sampling.simple_sample(sampling.eligible(t.indexed()).drop("hour_of_day"), 2000, SEED)
+
+
 @query
 def simple_sample(t):
     return sampling.simple_sample(sampling.eligible(t.indexed()).drop("hour_of_day"), SAMPLE, SEED)
@@ -278,6 +307,40 @@ def audit_slice(t):
     return extended.audit_slice(scored(t))
 
 
+def _deliveries(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Texts by clip, many of them the same, delivered in two parts."""
+    texts = t.reasoning().join(t.orders().select("clip_id", "ok", "ck"), "clip_id")
+    texts = texts.select("clip_id", "ok", F.concat("cot_text", F.lit(" #"), (F.col("ck") % 97).cast("string")).alias("cot_text"))
+    return texts.where("ok % 3 = 0").drop("ok"), texts.where("ok % 3 <> 0").drop("ok")
+
+
+@query
+def text_dictionary(t):
+    """How many texts of each delivery there are, how many different ones, and how many of those had to be classified."""
+    known, reports = dictionary.TextDictionary(t.spark, io.new_path(t.spark, "dictionary")), []
+    for k, texts in enumerate(_deliveries(t)):
+        known.learn(texts)
+        reports.append(known.report(texts).select(F.lit(k).alias("delivery"), "*"))
+    return reports[0].unionByName(reports[1])
+
+
+@query
+def dictionary_intents(t):
+    """The second delivery's intents, looked up."""
+    known = dictionary.TextDictionary(t.spark, io.new_path(t.spark, "dictionary"))
+    first, second = _deliveries(t)
+    known.learn(first)
+    return known.classify(second).drop("cot_text")
+
+
+@query
+def rescore_known(t):
+    """Strict scores rescored through a dictionary of the current rules."""
+    store, inputs = Store(t.spark), _inputs(t)
+    old = store.get("strict", inputs, fingerprint(STRICT, SCORING), lambda: score.score_clips(*inputs, STRICT))
+    return rescore.rescore(old, known=dictionary.TextDictionary(t.spark, io.new_path(t.spark, "dictionary"))).select(*io.RESULTS.fieldNames())
+
+
 # Resuming and rescoring
 @query
 def resume_batch(t):

@@ -43,8 +43,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 _own_dirs: dict[str, str] = {}
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in spark.checkpoint.dir; where that is unset, in a temporary folder if driver and executors are one process."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder if driver and executors are one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         master, app = spark.sparkContext.master, spark.sparkContext.applicationId
@@ -53,7 +53,26 @@ def new_path(spark: SparkSession, name: str) -> str:
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="concord-")
         shared = _own_dirs[app]
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def rename_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a file or folder in one step; False, with the source removed, if the target is there already."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    fs = path(target).getFileSystem(conf)
+    none = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(path(source), path(target), none)
+    except Exception as e:
+        fs.delete(path(source), True)
+        if "FileAlreadyExists" not in str(e):
+            raise
+        return False
+    return True
 
 
 def stored(df: DataFrame, name: str = "scores") -> DataFrame:

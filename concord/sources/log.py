@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.sources.io import RESULTS
+from concord.sources.io import RESULTS, rename_once
 
 
 class BatchLog:
@@ -58,15 +58,7 @@ class BatchLog:
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps({"batch": batch, **facts}).encode()))
         out.close()
-        options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf).rename(draft, self._at(name), options)
-        except Exception as e:
-            fs.delete(draft, False)
-            if "FileAlreadyExists" not in str(e):
-                raise
-            return False
-        return True
+        return rename_once(self.spark, draft.toString(), self._at(name).toString())
 
     def read(self) -> DataFrame:
         """Rows of the recorded batches, with their batch."""

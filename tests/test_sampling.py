@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,25 @@ def test_sources_and_sinks(spark, t, tmp_path):
     m = io.manifest(sel, ["cam"]).first()
     assert m["sensors"] == ["cam"] and sorted((c["clip_id"], c["scenario"]) for c in m["clips"]) == sorted((r["clip_id"], r["scenario"]) for r in sel.collect())
     assert io.profile(rows)[0] == 1
+
+
+@pytest.mark.parametrize("n", [1, 1001, 1500, 3000])
+def test_first_by_hash_is_exact_and_bounded(spark, n):
+    """Strata of very different sizes, clips twice, and fewer than n in some."""
+    df = spark.range(40_000).selectExpr("concat('c', cast(id % 39000 as string)) clip_id", "case when id < 30000 then 'a' when id < 39990 then 'b' else 'c' end hour_bucket")
+    rows = [(r["clip_id"], r["hour_bucket"]) for r in df.collect()]
+    key = {c: hashlib.md5(f"7|{c}".encode()).hexdigest() for c, _ in rows}
+    want = []
+    for s in "abc":
+        want += sorted((key[c], c, s) for c, b in rows if b == s)[:n]
+    got = sampling._first(df, n, 7, "hour_bucket").collect()
+    assert sorted((key[r["clip_id"]], r["clip_id"], r["hour_bucket"]) for r in got) == sorted(want)
+    near = {r["hour_bucket"]: r["count"] for r in sampling.near_first(df, n, 7, "hour_bucket").groupBy("hour_bucket").count().collect()}
+    assert near["c"] == min(10, near["c"]) and all(min(n, size) <= near[s] <= 1.3 * n + 30 for s, size in (("a", 30_000), ("b", 9_990)))
+    one = sampling._first(df.drop("hour_bucket"), n, 7).collect()
+    assert [r["clip_id"] for r in one] == [c for _, c in sorted((key[c], c) for c, _ in rows)[:n]]
+
+
+def test_bins_are_added_up_before_the_shuffle(t):
+    plan = sampling.stratified_candidates(sampling.eligible(t.indexed()), 20_000, 3, strict=False)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "BroadcastHashJoin" in plan

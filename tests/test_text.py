@@ -75,3 +75,47 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([("stop",)], "cot_text string").select(F.col("cot_text"))
     plan = text.classify_text(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("ExistingRDD", "")
+
+
+#: Worked out from the patterns by hand: what each text of the fixture is to be.
+FROZEN = [
+    ("unspecified", "nudge_left", 1), ("stop", "unspecified", 1), ("slow_down", "hold_lane", 1 / 2), ("accelerate", "lane_change_left", 1 / 2), ("maintain", "hold_lane", 1 / 2), ("stop", "unspecified", 1),
+    ("maintain", "hold_lane", 2 / 3), ("slow_down", "nudge_left", 2 / 3), ("unspecified", "nudge_left", 1 / 2), ("accelerate", "lane_change_right", 1 / 2), ("stop", "unspecified", 1 / 2), ("maintain", "unspecified", 2 / 3),
+    ("accelerate", "lane_change_right", 1 / 2), ("maintain", "nudge_right", 1 / 2), ("slow_down", "lane_change_right", 1 / 2), ("maintain", "hold_lane", 1 / 2), ("unspecified", "unspecified", 0), ("unspecified", "unspecified", 0),
+    ("slow_down", "nudge_right", 2 / 3), ("maintain", "hold_lane", 1 / 2), ("accelerate", "lane_change_left", 1 / 2), ("stop", "unspecified", 2 / 3), ("unspecified", "unspecified", 0), ("unspecified", "unspecified", 0),
+]
+
+
+def test_texts_of_the_fixture_as_frozen(spark):
+    df = spark.createDataFrame(list(enumerate(PHRASES)), "clip_id int, cot_text string")
+    got = text.classify_text(df).orderBy("clip_id").collect()
+    assert [(r["long_intent"], r["lat_intent"], round(r["confidence"], 9)) for r in got] == [(a, b, round(c, 9)) for a, b, c in FROZEN]
+
+
+def test_rule_sets_share_their_counts(spark):
+    sets = {"strict": STRICT, "current": CURRENT, "expanded": EXPANDED}
+    texts = [*PHRASES, *variants(), *ODD]
+    df = spark.createDataFrame(list(enumerate(texts)), "clip_id int, cot_text string").cache()
+    got = text.classify_by_sets(df, sets).orderBy("clip_id").collect()
+    for name, rules in sets.items():
+        alone = text.classify_text(df, rules=rules).orderBy("clip_id").collect()
+        for a, b in zip(got, alone):
+            assert tuple(a[f"{name}_{c}"] for c in ("long_intent", "lat_intent", "confidence")) == (b["long_intent"], b["lat_intent"], b["confidence"])
+    plan = text.classify_by_sets(df, sets)._jdf.queryExecution().optimizedPlan().toString()
+    union = {p for rules in sets.values() for axis in (rules.longitudinal, rules.lateral) for ps in axis.values() for p in ps}
+    assert plan.lower().count("regexp_extract_all(") + plan.lower().count("regexp_count(") in (0, len(union))
+
+
+def test_many_patterns_compile(spark, sf_dir):
+    """No stage falls back to interpretation because its code is too large."""
+    from concord.operators.extended import parser_ablation
+    from concord.plans import queries
+    from concord.plans.fixtures import Tables
+
+    rows = queries.scored(Tables(spark, sf_dir))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert parser_ablation(rows).count() == 3
+        assert len(text.classify_text(rows.select("cot_text")).collect()) == rows.count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
