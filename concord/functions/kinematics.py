@@ -130,6 +130,29 @@ def displacement_packed(a: str = "traj", b: str = "truth") -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total / F.size(a))
 
 
+def _with_steps(way: DataFrame, name: str) -> DataFrame:
+    """(clip_id, name: array<struct<step, x, y, z>> in step order); of a step that is there twice the first point by x, y."""
+    rows = F.sort_array(F.collect_set(F.struct("step", "x", "y", "z")))
+    return way.groupBy("clip_id").agg(rows.alias(name))
+
+
+def paths_together(pred: DataFrame, truth: DataFrame, dt: float = DT) -> DataFrame:
+    """features() of the predictions, ade_meters and n_joined, from each clip's two paths side by side.
+
+    Tables that are bucketed by clip_id (io.write_bucketed) are read bucket by bucket, aggregated and joined where they lie:
+    no row is shuffled. A path is bounded (64 steps). Steps that only one side has are left out of the error.
+    """
+    both = _with_steps(pred, "traj").join(_with_steps(truth, "truth"), "clip_id", "left")
+    steps = lambda c: F.transform(c, lambda r: r["step"])
+    gap = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2.0) + F.pow(p["y"] - q["y"], 2.0))
+    of_step = lambda p: gap(p, F.get(F.filter("truth", lambda q: q["step"] == p["step"]), F.lit(0)))
+    gaps = F.when(steps("traj") == steps("truth"), F.zip_with("traj", "truth", gap)).otherwise(F.filter(F.transform("traj", of_step), lambda d: d.isNotNull()))
+    n = F.coalesce(F.size("gaps"), F.lit(0)).cast("long")
+    rows = both.withColumn("gaps", F.when(F.col("truth").isNotNull(), gaps)).withColumn("n_joined", F.greatest(n, F.lit(0).cast("long")))
+    rows = rows.withColumn("ade_meters", F.when(F.col("n_joined") > 0, F.aggregate("gaps", F.lit(0.0), lambda s, x: s + x) / F.col("n_joined")))
+    return features_packed(rows, dt, ("ade_meters", "n_joined"))
+
+
 def displacement_error(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean planar distance of prediction to ground truth: (clip_id, ade_meters, n_joined) of clips that have a common step."""
     rows, _ = _stacked(pred, truth)

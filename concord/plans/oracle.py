@@ -250,6 +250,14 @@ FROM (SELECT old_mismatch_type AS mismatch_type, count(*) AS a FROM pairs GROUP
     q["text_dictionary"] = f"""SELECT delivery, count(*) AS n_texts, count(DISTINCT cot_text) AS n_distinct, count(DISTINCT cot_text) FILTER (delivery = first) AS n_new
 FROM (SELECT *, (ok % 3 <> 0)::INT AS delivery, min((ok % 3 <> 0)::INT) OVER (PARTITION BY cot_text) AS first FROM {texts}) GROUP BY delivery"""
     q["dictionary_intents"] = f"SELECT clip_id, long_intent, lat_intent, {_r('confidence')} FROM {texts} WHERE ok % 3 <> 0"
+    q["ade_bucketed"] = q["ade"]
+    q["features_bucketed"] = f"SELECT clip_id, n_steps, {_r(*[c for c in _FEATS if c != 'speed_change'], 'final_speed - initial_speed AS speed_change')} FROM feat_e"
+    damaged = "SELECT *, substr(clip_id, 2)::BIGINT AS ord FROM res WHERE substr(clip_id, 2)::BIGINT % 5 = 0"
+    q["results_quarantine"] = f"""SELECT 'taken' AS reason, count(*) AS n FROM res UNION ALL SELECT 'score out of range', count(*) FILTER (ord % 2 = 0) FROM ({damaged})
+UNION ALL SELECT 'no clip', count(*) FILTER (ord % 3 = 0) FROM ({damaged}) UNION ALL SELECT 'malformed', count(*) FROM ({damaged})"""
+    q["results_csv"] = q["score_clips"].replace(" cot_text,", " nullif(cot_text, '') AS cot_text,", 1)
+    q["latest_run"] = q["run_summary"].replace("SELECT count", "SELECT '2026-01-03T00:00:00' AS timestamp, count", 1)
+    q["sql_scores"] = f"SELECT clip_id, long_intent, lat_intent, long_execution, lat_execution, mismatch_type, {_r('confidence', 'CASE WHEN usr % 11 <> 0 THEN ade_meters END AS ade_meters', 'mismatch_score')} FROM res_sql"
     q["rescore_known"] = q["rescore"]
     q["run_until_done"] = q["score_with_errors"]
     return {k: _sql(v) for k, v in sorted(q.items())}
@@ -268,3 +276,5 @@ CTES["arrk"] = f"SELECT *, {_LONG} AS long_execution, {_LAT.format('total_latera
 CTES["arre"] = "SELECT clip_id, usr, block, avg(sqrt((0.02::DOUBLE * step) ** 2 + (0.01::DOUBLE * step) ** 2)) AS ade_meters FROM arr GROUP BY ALL"
 CTES["raw_a"] = "SELECT e.clip_id, 2000000 + usr * 1000 AS t0_us, 's' || usr % 5 AS scenario_type, b.cot_text, b.long_intent, b.lat_intent, b.confidence, k.long_execution, k.lat_execution, e.ade_meters, k.total_lateral_shift AS lat_shift_m, k.mean_speed AS mean_speed_ms, CASE WHEN usr % 13 = 0 THEN 'missing prediction' WHEN usr % 11 = 0 THEN CASE WHEN k.n_steps = 1 THEN 'missing ground truth' ELSE 'length mismatch' END END AS error FROM arre e JOIN arrk k USING (clip_id) JOIN cur_bank b ON b.num = (usr * 5 + block) % 24"
 CTES["res_a"] = _scored("raw_a")
+CTES["raw_sql"] = "SELECT *, substr(split_part(clip_id, '-', 1), 2)::BIGINT AS usr FROM raw_a WHERE error IS NULL OR error <> 'missing prediction'"
+CTES["res_sql"] = _scored("raw_sql")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.functions import kinematics, text
+from concord.functions import kinematics, sql, text
 from concord.functions.rules import CURRENT, LAT_COMPAT, LONG_COMPAT, STRICT, Thresholds, fingerprint
 from concord.operators import dictionary, extended, report, rescore, sampling, score
 from concord.plans.fixtures import SEED, Tables
@@ -341,6 +341,75 @@ def rescore_known(t):
     return rescore.rescore(old, known=dictionary.TextDictionary(t.spark, io.new_path(t.spark, "dictionary"))).select(*io.RESULTS.fieldNames())
 
 
+def _bucketed(t: Tables) -> DataFrame:
+    """Predictions and truth as bucketed tables, and what is read off them together."""
+    tables = []
+    for name, way in (("prediction", t.predictions(errors=True)), ("truth", t.ground_truth(errors=True))):
+        path = io.new_path(t.spark, f"bucketed_{name}")
+        table = path.rpartition("/")[2].replace("-", "_")
+        io.write_bucketed(way, table, path, 16)
+        tables.append(t.spark.table(table))
+    return kinematics.paths_together(*tables)
+
+
+@query
+def ade_bucketed(t):
+    return _bucketed(t).where("n_joined > 0").select("clip_id", "ade_meters", "n_joined")
+
+
+@query
+def features_bucketed(t):
+    return _bucketed(t).drop("ade_meters", "n_joined")
+
+
+@query
+def results_quarantine(t):
+    """Results written as CSV, with lines that are broken in three ways among them; what is taken and what is turned away, and why."""
+    path, rejects, rows = io.new_path(t.spark, "results_csv"), io.new_path(t.spark, "rejects"), scored(t)
+    io.append_results(rows, path, csv=True)
+    some = rows.withColumn("ord", F.substring("clip_id", 2, 20).cast("long")).where("ord % 5 = 0")
+    io.append_results(some.where("ord % 2 = 0").withColumn("mismatch_score", F.lit(1.5)), path, csv=True)
+    io.append_results(some.where("ord % 3 = 0").withColumn("clip_id", F.lit(None)), path, csv=True)
+    some.select("clip_id", F.lit("not a number").alias("t0_us"), F.lit("x").alias("scenario_type")).write.option("header", True).csv(f"{path}/more")
+    good, rejected = io.checked_results(t.spark, path)
+    more_good, more_rejected = io.checked_results(t.spark, f"{path}/more")
+    io.quarantine(rejected.unionByName(more_rejected), rejects)
+    counts = t.spark.read.parquet(rejects).groupBy("reason").agg(F.count("*").alias("n"))
+    taken = good.unionByName(more_good).groupBy(F.lit("taken").alias("reason")).agg(F.count("*").alias("n"))
+    return counts.unionByName(taken)
+
+
+@query
+def results_csv(t):
+    """Results written as CSV and read again."""
+    path = io.new_path(t.spark, "results_csv")
+    io.append_results(scored(t), path, csv=True)
+    return io.read_results(t.spark, path, csv=True)
+
+
+@query
+def latest_run(t):
+    """Two runs, of which the first is written again without becoming the latest; the summary of the latest with its time."""
+    path, rows = io.new_path(t.spark, "runs"), scored(t)
+    io.write_run(rows.where("t0_us % 2 = 0"), path, "a", "2026-01-01T00:00:00")
+    io.write_run(rows.where("t0_us % 3 = 0"), path, "b", "2026-01-02T00:00:00")
+    io.write_run(rows, path, "b", "2026-01-03T00:00:00")
+    found, which = io.latest_run(t.spark, path)
+    return report.run_summary(found, which["timestamp"])
+
+
+@query
+def sql_scores(t):
+    """The surface of SQL functions: intents, executions, error and score of packed paths and their texts."""
+    sql.register(t.spark)
+    t.arrivals().createOrReplaceTempView("_arrivals")
+    return t.spark.sql("""
+        select clip_id, long_intent_of(n) as long_intent, lat_intent_of(n) as lat_intent, confidence_of(n) as confidence, long_e as long_execution, lat_e as lat_execution, ade_meters,
+          mismatch_score(long_intent_of(n), long_e, lat_intent_of(n), lat_e) as mismatch_score,
+          mismatch_type(mismatch_score(long_intent_of(n), long_e, lat_intent_of(n), lat_e), long_intent_of(n), lat_intent_of(n)) as mismatch_type
+        from (select clip_id, intent_counts(cot_text) as n, long_execution(traj) as long_e, lat_execution(traj) as lat_e, displacement(traj, truth) as ade_meters from _arrivals where traj is not null)""")
+
+
 # Resuming and rescoring
 @query
 def resume_batch(t):

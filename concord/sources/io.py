@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -88,7 +89,8 @@ def stored(df: DataFrame, name: str = "scores") -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
-    """Stored results, typed; an empty table if there are none yet. CSV may hold texts with line ends and quotes."""
+    """Stored results, typed; an empty table if there are none yet. CSV may hold texts with line ends and quotes; it
+    knows no empty texts: they read as null."""
     if not exists(spark, path):
         return spark.createDataFrame([], RESULTS)
     reader = spark.read.schema(RESULTS)
@@ -103,6 +105,76 @@ def append_results(df: DataFrame, path: str, csv: bool = False) -> None:
         rows.write.mode("append").parquet(path)
 
 
+#: What a stored row must be, by the reason for which it is turned away otherwise.
+CHECKS = {
+    "no clip": "clip_id is null",
+    "score out of range": "not coalesce(mismatch_score between 0 and 1, true)",
+    "match out of range": "not coalesce(long_match between 0 and 1 and lat_match between 0 and 1, true)",
+    "score of an error": "error is not null and mismatch_score is not null",
+}
+
+
+def checked_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Results from CSV that others may have written: the rows that are sound, and (line, file, reason) of the others.
+
+    Lines that don't fit the schema are kept whole as they stand (`malformed`); rows that fit it are held against CHECKS.
+    """
+    corrupt = T.StructType([*RESULTS.fields, T.StructField("_corrupt", T.StringType())])
+    reader = spark.read.schema(corrupt).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    reason = F.when(F.col("_corrupt").isNotNull(), "malformed")
+    for name, broken in CHECKS.items():
+        reason = reason.when(F.expr(broken), name)
+    rows = reader.csv(path).withColumns({"reason": reason, "file": F.input_file_name()})
+    line = F.coalesce("_corrupt", F.to_csv(F.struct(*RESULTS.fieldNames())))
+    return rows.where("reason is null").select(*RESULTS.fieldNames()), rows.where("reason is not null").select(line.alias("line"), "file", "reason")
+
+
+def quarantine(rejected: DataFrame, path: str) -> None:
+    """Rejected lines are added to a table, a folder for each reason."""
+    rejected.write.mode("append").partitionBy("reason").parquet(path)
+
+
+def write_run(df: DataFrame, path: str, run: str, timestamp: str) -> None:
+    """A run's rows over those it had, other runs' left as they are; then the pointer to the last complete run is set to it."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+    set_latest(df.sparkSession, path, run, timestamp)
+
+
+def set_latest(spark: SparkSession, path: str, run: str, timestamp: str) -> None:
+    """Point to a run as the last complete one, by a rename over the pointer before."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fs = hadoop.Path(path).getFileSystem(conf)
+    draft = hadoop.Path(f"{path}/_latest-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"run": run, "timestamp": timestamp}).encode()))
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(draft, hadoop.Path(f"{path}/_latest.json"), over)
+
+
+def latest_run(spark: SparkSession, path: str) -> tuple[DataFrame, dict] | None:
+    """The rows of the last complete run, and which it is (run, timestamp); None before the first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_latest.json")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        which = json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+    return spark.read.option("basePath", path).parquet(f"{path}/run={which['run']}").drop("run"), which
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Waypoints as a table with a file for each bucket of clips, sorted: later windows, aggregations and joins by clip find their rows
+    together. Tables that are to be joined take the same number of buckets (or multiples)."""
+    rows = df.repartition(buckets, "clip_id").write.mode("overwrite").option("path", path)
+    rows.bucketBy(buckets, "clip_id").sortBy("clip_id", "step").format("parquet").saveAsTable(table)
+
+
 def write_checkpoint(df: DataFrame, path: str, run: str | None = None) -> None:
     """The rows so far, over those of the same run; each run has a folder of its own."""
     df.write.mode("overwrite").parquet(f"{path}/run={run}" if run else path)
