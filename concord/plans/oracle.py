@@ -258,6 +258,11 @@ UNION ALL SELECT 'no clip', count(*) FILTER (ord % 3 = 0) FROM ({damaged}) UNION
     q["results_csv"] = q["score_clips"].replace(" cot_text,", " nullif(cot_text, '') AS cot_text,", 1)
     q["latest_run"] = q["run_summary"].replace("SELECT count", "SELECT '2026-01-03T00:00:00' AS timestamp, count", 1)
     q["sql_scores"] = f"SELECT clip_id, long_intent, lat_intent, long_execution, lat_execution, mismatch_type, {_r('confidence', 'CASE WHEN usr % 11 <> 0 THEN ade_meters END AS ade_meters', 'mismatch_score')} FROM res_sql"
+    q["rescored_file"] = q["rescore"]
+    q["rescore_csv"] = q["rescore"].replace(" cot_text,", " nullif(cot_text, '') AS cot_text,", 1)
+    q["summary_json"] = q["latest_run"]
+    q["checkpoint_rows"] = q["score_clips"]
+    q["source_profile"] = " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) AS n, '{c}' AS columns FROM {table}" for n, table, c in (("index", "idx", "clip_id,split,clip_is_valid"), ("metadata", "meta", "clip_id,country,month,hour_of_day,platform_class"), ("egomotion", "ego", "clip_id,ts_us")))
     q["rescore_known"] = q["rescore"]
     q["run_until_done"] = q["score_with_errors"]
     return {k: _sql(v) for k, v in sorted(q.items())}

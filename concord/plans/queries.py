@@ -387,6 +387,47 @@ def results_csv(t):
     return io.read_results(t.spark, path, csv=True)
 
 
+@query
+def rescored_file(t):
+    """Rescored rows written in the column order of their input, and read again."""
+    rows, path = pairs(t).select(*io.RESULTS.fieldNames()), io.new_path(t.spark, "rescored")
+    io.write_rescored(rows, io.RESULTS.fieldNames(), path)
+    return io.read_results(t.spark, path)
+
+
+@query
+def rescore_csv(t):
+    """Results read from CSV for rescoring: strict scores, from their file, under the current rules."""
+    store, inputs, path = Store(t.spark), _inputs(t), io.new_path(t.spark, "strict_csv")
+    io.append_results(store.get("strict", inputs, fingerprint(STRICT, SCORING), lambda: score.score_clips(*inputs, STRICT)), path, csv=True)
+    return rescore.rescore(io.read_results(t.spark, path, csv=True)).select(*io.RESULTS.fieldNames())
+
+
+@query
+def summary_json(t):
+    """The run's summary as a line of JSON with its time, and read again."""
+    path, schema = io.new_path(t.spark, "summary"), "timestamp string, total_clips long, valid long, mean_mismatch double, mean_ade double, mean_long_match double, mean_lat_match double"
+    io.write_summary(report.run_summary(scored(t), "2026-01-03T00:00:00"), path)
+    return t.spark.read.schema(schema).json(path)
+
+
+@query
+def checkpoint_rows(t):
+    """The rows so far, written over those of the same run."""
+    path = io.new_path(t.spark, "checkpoint")
+    io.write_checkpoint(scored(t).where("t0_us % 2 = 0"), path, "a")
+    io.write_checkpoint(scored(t), path, "a")
+    return io.read_results(t.spark, f"{path}/run=a")
+
+
+@query
+def source_profile(t):
+    """Rows and columns of the source tables."""
+    tables = {"index": t.index(), "metadata": t.metadata(), "egomotion": t.egomotion()}
+    rows = [(name, *io.profile(df)) for name, df in tables.items()]
+    return t.spark.createDataFrame([(name, n, ",".join(columns)) for name, n, columns in rows], "source string, n long, columns string")
+
+
 @query
 def latest_run(t):
     """Two runs, of which the first is written again without becoming the latest; the summary of the latest with its time."""
