@@ -36,7 +36,7 @@ from concord.llm.common import cut
 
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of a chunk (one text may be longer), units that a worker remembers (twice as many for a while), and the longest that it does.
-CHUNK_BYTES, REMEMBERED, LONGEST = 8_000_000, 350_000, 256
+CHUNK_BYTES, REMEMBERED, LONGEST = 8_000_000, 280_000, 256
 #: Bytes of text whose units are looked up together.
 LOOKED_UP = 500_000
 #: A pair of ids as one number: a * _BASE + b.
