@@ -36,7 +36,7 @@ from concord.llm.common import cut
 
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of a chunk (one text may be longer), units that a worker remembers (twice as many for a while), and the longest that it does.
-CHUNK_BYTES, REMEMBERED, LONGEST = 4_000_000, 120_000, 256
+CHUNK_BYTES, REMEMBERED, LONGEST = 8_000_000, 200_000, 256
 #: Bytes of text whose units are looked up together.
 LOOKED_UP = 500_000
 #: A pair of ids as one number: a * _BASE + b.
@@ -92,6 +92,10 @@ class Tokenizers:
             begin = "\n"
         return out
 
+    def forget(self) -> None:
+        """Give up what is remembered: nothing more will be encoded for a while."""
+        self.known, self.older = {}, {}
+
     def learn(self, units: set[str]) -> dict[str, Unit | None]:
         """Each unit's alignment; None where its tokens don't spell it. Those met last are remembered, in two generations."""
         out, new, known, older = {}, [], self.known, self.older
@@ -288,7 +292,7 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE,
     answers = asked.select("chunk", "at", "pair").join(pair_counts(made), "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("answer"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded.cache_clear()  # what this worker remembers from encoding
+        loaded(byte_bpe, piece_bpe).forget()
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
