@@ -123,3 +123,15 @@ def test_same_as_brute_force(edit):
         items, docs = made(seed, edit)
         got = decontaminate.Finder(items, 0.2).find([" ".join(t) for _, t in docs])
         assert [set(g) for g in got] == [{i for i, w in items if slow_distance(w, t) <= int(0.2 * len(w))} for _, t in docs]
+
+
+def test_parts_find_the_same(spark, monkeypatch):
+    items, docs = made(9, 0.1, n=20)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], ITEMS)
+    df = spark.createDataFrame([(d, " ".join(t), "x", "y") for d, t in docs], DOCS)
+    whole = sorted((r["doc_id"], r["items"]) for r in decontaminate.matches(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 400)
+    assert len(decontaminate.parts(bench)) > 2
+    assert sorted((r["doc_id"], r["items"]) for r in decontaminate.matches(df, bench).collect()) == whole
+    kept = decontaminate.remove(df, bench)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [d for d, held in whole if not held]
