@@ -78,25 +78,26 @@ TEMPLATES = (
      WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS WITH THE SOFTWARE."""),
     ("fsfap", "text", """Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty."""),
     ("beerware", "text", """wrote this file. As long as you retain this notice you can do whatever you want with this stuff. If we meet some day, and you think this stuff is worth it, you can buy me a beer in return"""),
-    ("apache-2.0", "text", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at {{12}}
+    # Notices: headers that refer to a license's text.
+    ("apache-2.0", "notice", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at {{12}}
      Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
-    ("apache-2.0", "text", """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the "License");
+    ("apache-2.0", "notice", """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the "License");
      you may not use this file except in compliance with the License. You may obtain a copy of the License at {{12}} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
      See the License for the specific language governing permissions and limitations under the License."""),
-    ("gpl-2.0", "text", f"This {{{{program|software|file|library}}}} is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; {{{{either version 2 of the License, or (at your option) any later version|version 2 of the License|version 2}}}}. {_GNU_WARRANTY}"),
-    ("gpl-3.0", "text", f"is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, {{{{either version 3 of the License, or (at your option) any later version|version 3 of the License|version 3}}}}. {_GNU_WARRANTY}"),
-    ("lgpl-2.1", "text", f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 {_GNU_OPTION} {_GNU_WARRANTY}"),
-    ("lgpl-3.0", "text", f"is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 {_GNU_OPTION} {_GNU_WARRANTY}"),
-    ("agpl-3.0", "text", f"is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 {_GNU_OPTION} {_GNU_WARRANTY}"),
-    ("mpl-2.0", "text", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {{8}} [[This Source Code Form is "Incompatible With Secondary Licenses", as defined by the Mozilla Public License, v. 2.0.]]"""),
-    ("epl-2.0", "text", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at {{8}} [[SPDX-License-Identifier: EPL-2.0]]"""),
-    ("cddl-1.0", "text", """The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License."""),
-    ("ofl-1.1", "text", """This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at {{10}}"""),
-    ("cc0-1.0", "text", """To the extent possible under law, {{12}} has waived all copyright and related or neighboring rights to {{12}}"""),
-    ("cc-by", "text", """This work is licensed under {{a|the}} Creative Commons Attribution {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
-    ("cc-by-sa", "text", """This work is licensed under {{a|the}} Creative Commons {{Attribution-ShareAlike|Attribution-Share Alike}} {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
-    ("cc-by-nc", "text", """This work is licensed under {{a|the}} Creative Commons {{Attribution-NonCommercial|Attribution-Noncommercial}} {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
-    ("cc-by-nd", "text", """This work is licensed under {{a|the}} Creative Commons {{Attribution-NoDerivatives|Attribution-NoDerivs|Attribution-No Derivative Works}} {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
+    ("gpl-2.0", "notice", f"This {{{{program|software|file|library}}}} is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; {{{{either version 2 of the License, or (at your option) any later version|version 2 of the License|version 2}}}}. {_GNU_WARRANTY}"),
+    ("gpl-3.0", "notice", f"is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, {{{{either version 3 of the License, or (at your option) any later version|version 3 of the License|version 3}}}}. {_GNU_WARRANTY}"),
+    ("lgpl-2.1", "notice", f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 {_GNU_OPTION} {_GNU_WARRANTY}"),
+    ("lgpl-3.0", "notice", f"is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 {_GNU_OPTION} {_GNU_WARRANTY}"),
+    ("agpl-3.0", "notice", f"is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 {_GNU_OPTION} {_GNU_WARRANTY}"),
+    ("mpl-2.0", "notice", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {{8}} [[This Source Code Form is "Incompatible With Secondary Licenses", as defined by the Mozilla Public License, v. 2.0.]]"""),
+    ("epl-2.0", "notice", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at {{8}} [[SPDX-License-Identifier: EPL-2.0]]"""),
+    ("cddl-1.0", "notice", """The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License."""),
+    ("ofl-1.1", "notice", """This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at {{10}}"""),
+    ("cc0-1.0", "notice", """To the extent possible under law, {{12}} has waived all copyright and related or neighboring rights to {{12}}"""),
+    ("cc-by", "notice", """This work is licensed under {{a|the}} Creative Commons Attribution {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
+    ("cc-by-sa", "notice", """This work is licensed under {{a|the}} Creative Commons {{Attribution-ShareAlike|Attribution-Share Alike}} {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
+    ("cc-by-nc", "notice", """This work is licensed under {{a|the}} Creative Commons {{Attribution-NonCommercial|Attribution-Noncommercial}} {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
+    ("cc-by-nd", "notice", """This work is licensed under {{a|the}} Creative Commons {{Attribution-NoDerivatives|Attribution-NoDerivs|Attribution-No Derivative Works}} {{4.0|3.0|2.5|2.0}} {{International|Unported|Generic}} License"""),
     # Notices: short statements that name a license.
     ("mit", "notice", "{{released|licensed|distributed}} under the [[terms of the]] MIT license"),
     ("apache", "notice", "{{released|licensed|distributed}} under the [[terms of the]] Apache License[[, Version]] {{2.0|2}}"),

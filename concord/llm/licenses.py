@@ -7,7 +7,8 @@ only if all mandatory wording stands there exactly. Automata start at the places
 without any of the words that every template needs are not tokenised at all.
 
 Besides, three phrases are searched everywhere, for the base labels. The score is 1.0 where a license's text is accepted,
-else 0.8 where a notice is, else 0.5 where a phrase stands, else 0.0.
+else 0.8 where a notice is, else 0.5 where a phrase stands, else 0.0. A
+header that refers to a license's text elsewhere is a notice: it says nothing about the wording of the text.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; everything else separates.
 

@@ -123,3 +123,10 @@ def test_templates(spark):
     got = sorted((r["doc_id"] or 0, r["labels"], r["score"]) for r in licenses.scan(df).collect())
     assert got == sorted((i or 0, want, score) for i, _, want, score in rows)
     assert licenses.scan(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_a_header_is_a_notice():
+    scanner = licenses.Scanner()
+    for name in ("apache-2.0", "gpl-3.0", "mpl-2.0", "cc-by"):
+        found = scanner.scan(reading(next(m for label, _, m in licenses.TEMPLATES if label == name)).encode())
+        assert name in found[5].split(",") and found[6] == 0.8
