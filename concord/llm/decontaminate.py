@@ -56,7 +56,7 @@ def words_of(text: str | None) -> list[str]:
 
 def distances_within(item: list[int], windows: np.ndarray) -> np.ndarray:
     """For each row of windows the least edit distance of item to any part of it (Sellers)."""
-    a, steps = np.array(item, dtype=np.int32), np.arange(len(item) + 1, dtype=np.int32)
+    a, steps = np.array(item, dtype=windows.dtype), np.arange(len(item) + 1, dtype=np.int32)
     column = np.tile(steps, (len(windows), 1))
     best = column[:, -1].copy()
     change = np.zeros_like(column)
@@ -69,7 +69,7 @@ def distances_within(item: list[int], windows: np.ndarray) -> np.ndarray:
 
 def distance_within(item: list[int], text: list[int]) -> int:
     """Least edit distance of item to any part of text."""
-    return int(distances_within(item, np.array([text], dtype=np.int32).reshape(1, -1))[0])
+    return int(distances_within(item, np.array([text], dtype=np.int64).reshape(1, -1))[0])
 
 
 class Size:
