@@ -21,7 +21,8 @@ n-gram is unseen, the answer also has what its context's weight is made of.
 
 The model is a table of each order in the shared folder, partitioned by bucket: `words` and `grams` read them as rows.
 
-Words are known by the 64-bit XXH64 of their bytes, contexts by 64 bits, an n-gram by its context and 32 more bits (40
+Words are known by 64 bits that are linear in their bytes, with a random odd factor for each position (of two words
+that differ, the sums agree with probability 2^-57 at most, about 2^-62 as a rule), contexts by 64 bits, an n-gram by its context and 32 more bits (40
 if the context occurs 65,536 times or more), which only have to tell the successors of one context apart.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id is held out; repeated rows are scored each
@@ -31,11 +32,11 @@ probability 1; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,29 +160,78 @@ def _summed(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _CHUNK = "chunk long, tokens long, words binary, tok binary, len binary, doc array<long>, out array<boolean>"
 
 
-class _Places(dict):
-    """word -> its place in a chunk's list of words; 0 and 1 are the start and end symbols."""
+#: Bytes of text that are hashed at once, about (a word is never cut).
+WINDOW = 1 << 22
+_LETTER = np.array([ord(chr(b).lower()) + 1 if b < 128 else b + 1 for b in range(256)], dtype=np.uint64)
+_SPACE, _BREAK = np.isin(np.arange(256), list(b" \t\n\v\f\r")), re.compile(rb"[ \t\n\v\f\r]")
 
-    def __init__(self) -> None:
-        super().__init__({0: 0, 1: 1})
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _multipliers(at: np.ndarray) -> np.ndarray:
+    """An odd random multiplier for each position in a word."""
+    x = (at.astype(np.uint64) + np.uint64(1)) * _A
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+_FIRST = _multipliers(np.arange(256))
+
+
+def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word: a multilinear hash of its bytes, A-Z as a-z, mixed so that all bits depend on all."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    inner = np.flatnonzero(~_SPACE[data])
+    if not len(inner):
+        return np.zeros(0, dtype=np.uint64), inner
+    first = np.flatnonzero(np.diff(inner, prepend=-2) > 1)
+    starts, size = inner[first], _lengths(first, len(inner))
+    at = np.arange(len(inner)) - np.repeat(first, size)
+    factor = _FIRST[at] if size.max() <= len(_FIRST) else _multipliers(at)
+    x = np.add.reduceat(_LETTER[data[inner]] * factor, first)
+    x = (x ^ (x >> np.uint64(32))) * _B
+    return x ^ (x >> np.uint64(29)), starts
+
+
+def _windows(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about WINDOW bytes that end with a word."""
+    lo = 0
+    while len(text) - lo > WINDOW:
+        found = _BREAK.search(text, lo + WINDOW)
+        hi = found.start() if found else len(text)
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
+def _token_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the hashes of two start symbols, its words and an end symbol; short texts are hashed together."""
+    out, lo = [], 0
+    while lo < len(texts):
+        hi, size = lo + 1, len(texts[lo])
+        while hi < len(texts) and size + len(texts[hi]) <= WINDOW:
+            size += len(texts[hi])
+            hi += 1
+        if hi == lo + 1:
+            out.append(np.concatenate([[START, START], *[_word_hashes(w)[0] for w in _windows(texts[lo])], [END]]).astype(np.uint64))
+        else:
+            ends = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
+            words, starts = _word_hashes(b"\n".join(texts[lo:hi]))
+            upto = np.searchsorted(starts, ends)
+            out += [np.concatenate([(START, START), words[a:b], (END,)]) for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
+        lo = hi
+    return out
 
 
 def _encoded(limit: int):
-    def row(chunk: int, places: _Places, parts: list[np.ndarray], records: list[tuple]) -> pa.RecordBatch:
-        digest = xxhash.xxh64_intdigest
-        words = np.empty(len(places), dtype=np.uint64)
-        words[:2] = START, END
-        words[2:] = np.fromiter((digest(w, 0) for w in list(places)[2:]), dtype=np.uint64, count=len(places) - 2)
-        order = np.argsort(words)
-        place = np.empty(len(words), dtype=np.int64)
-        place[order] = np.arange(len(words))
-        tokens = place[np.concatenate(parts)]
+    def row(chunk: int, parts: list[np.ndarray], records: list[tuple]) -> pa.RecordBatch:
+        tokens = np.concatenate(parts)
+        order = order_of(tokens)
+        held = tokens[order]
+        starts = _runs(held)
+        tokens = np.empty(len(held), dtype=np.int64)
+        tokens[order] = np.repeat(np.arange(len(starts)), _lengths(starts, len(held)))
         lengths = np.array([n for _, _, n in records], dtype=np.int64)
-        cols = [[chunk], [int(lengths.sum())], [pack_keys(words[order])], [pack(tokens)], [pack(lengths)]]
+        cols = [[chunk], [int(lengths.sum())], [pack_keys(held[starts])], [pack(tokens)], [pack(lengths)]]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
         arrays += [pa.array([[d for d, _, _ in records]], pa.list_(pa.int64())), pa.array([[o for _, o, _ in records]], pa.list_(pa.bool_()))]
@@ -189,21 +239,20 @@ def _encoded(limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        places, parts, records, tokens = _Places(), [], [], 0
+        parts, records, tokens = [], [], 0
         for batch in batches:
-            for text, doc, out in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "out"))):
-                words = (text or b"").lower().split()
-                own = np.zeros(len(words) + 3, dtype=np.int32)
-                own[-1] = 1
-                own[2:-1] = np.fromiter(map(places.__getitem__, words), dtype=np.int32, count=len(words))
-                parts.append(own)
-                records.append((doc, out, len(words) + 1))
-                tokens += len(own)
-                if tokens >= limit:
-                    yield row(chunk, places, parts, records)
-                    places, parts, records, tokens, chunk = _Places(), [], [], 0, chunk + 1
+            docs, outs = (batch.column(c).to_pylist() for c in ("doc_id", "out"))
+            for lo in range(0, batch.num_rows, 256):
+                texts = [t or b"" for t in batch.column("text").slice(lo, 256).to_pylist()]
+                for own, doc, out in zip(_token_hashes(texts), docs[lo:], outs[lo:]):
+                    parts.append(own)
+                    records.append((doc, out, len(own) - 2))
+                    tokens += len(own)
+                    if tokens >= limit:
+                        yield row(chunk, parts, records)
+                        parts, records, tokens, chunk = [], [], 0, chunk + 1
         if records:
-            yield row(chunk, places, parts, records)
+            yield row(chunk, parts, records)
 
     return run
 

@@ -143,3 +143,17 @@ def test_empty_and_untrained(spark):
     lone = [(i, "a b", 1, "c") for i in range(50) if out(i)][:2]
     for r in katz.score_documents(spark.createDataFrame(lone, DOCS)).collect():
         assert (r["score"], r["base_score"], r["train_tokens"], r["n_known"]) == (0.0, 0.0, 0, 0)
+
+
+def test_encoder_tells_words_apart(monkeypatch):
+    """Any bytes, long words and texts of many windows: as split and lower-cased by hand, one hash a word."""
+    monkeypatch.setattr(katz, "WINDOW", 50)
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"aAbZ \n\t\x0b\x0c\r\x1c\xc3\x84\xa0") for _ in range(rng.choice([0, 3, 40, 300, 2000]))) for _ in range(300)]
+    texts += [b"", b" ", b"x" * 700 + b" " + b"X" * 700]
+    of = {}
+    for text, got in zip(texts, katz._token_hashes(texts)):
+        words = text.lower().split()
+        assert got[0] == got[1] == katz.START and got[-1] == katz.END and len(got) == len(words) + 3
+        assert all(of.setdefault(w, h) == h for w, h in zip(words, got[2:-1].tolist()))
+    assert len(set(of.values())) == len(of)
