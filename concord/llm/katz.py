@@ -14,8 +14,12 @@ normalise them, and a chunk then knows all counts of its own tokens and evaluate
 n-gram is unseen, the answer also has what its context's weight is made of.
 
 * Buckets hold whole contexts, of `BUCKET` tokens' n-grams at most: their number grows with the corpus. Contexts that
-  occur more often than `hot` are spread over all buckets by n-gram; their sums are few rows, added up by Spark. `hot`
-  is a share of the corpus, so that there are never more than `MAX_HOT` of them, which are sent to all tasks.
+  occur more often than `hot` are spread over all buckets by n-gram; their sums are few rows, added up by Spark. There
+  are never more than `MAX_HOT` of them, which are sent to all tasks, as `hot` grows with the corpus from 2 * 10^11
+  tokens on: at 10^13 a context that isn't hot has 5 million n-grams at most.
+* A frequent word or n-gram is asked for by every chunk. Where there are more than `FAN` chunks, the asks of some `FAN`
+  are merged before they meet a bucket, and the bucket's answer is passed on to each of them: no group has more rows
+  than `FAN` or there are such merged ones.
 * Each order is asked for in `SLICES` turns, each for a part of the buckets, and chunks meet their answers in `TURNS`
   turns, each for a part of the chunks, which bounds the disk that shuffles take.
 
@@ -56,7 +60,9 @@ BUCKET, MIN_BUCKETS = 1_000_000, 24
 #: Turns in which an order's n-grams are asked for, and in which chunks meet the answers.
 SLICES, TURNS = {2: 2, 3: 8}, 4
 #: Contexts that are sent to all tasks at most (some 60 bytes each), and the least count that makes one hot.
-MAX_HOT, LEAST_HOT = 200_000, 100_000
+MAX_HOT, LEAST_HOT = 2_000_000, 100_000
+#: Chunks, about, whose asks meet in one group.
+FAN = 4096
 #: What is left for other words counts as this much at least, where rounding or undiscounted counts leave nothing.
 FLOOR = 1e-12
 
@@ -284,6 +290,7 @@ class Stage:
 
     def __init__(self, buckets: int, hot: int) -> None:
         self.buckets, self.hot = buckets, hot
+        self.fans = 1
         self.n = self.v = self.docs = 0
         self.unknown = 1.0
         self.d: dict[int, np.ndarray] = {}
@@ -469,6 +476,90 @@ def _answer(order: int, stage: Stage):
     return run
 
 
+# Many chunks: asks of one bucket are merged, and the answer is passed on.
+
+_ASK_WORDS = "bucket long, chunk long, ctx binary, count binary"
+
+
+def _side_by_side(asks: list[dict], order: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """How many entries each ask has, for each entry its place among the distinct ones, one entry of each, and its context."""
+    keys = [unpack_keys(r["ctx"]) for r in asks]
+    if order == 1:
+        ctx = np.concatenate(keys)
+        _, pick, where = np.unique(ctx, return_index=True, return_inverse=True)
+        return [len(k) for k in keys], where, pick, ctx
+    run_of = [unpack(r["run"]) for r in asks]
+    ctx = np.concatenate([np.repeat(k, n) for k, n in zip(keys, run_of)])
+    t = np.concatenate([unpack(r["t"]) for r in asks]).astype(np.uint64)
+    by = np.lexsort((t, ctx))
+    new = np.append(True, (ctx[by][1:] != ctx[by][:-1]) | (t[by][1:] != t[by][:-1]))
+    where = np.empty(len(by), dtype=np.int64)
+    where[by] = np.cumsum(new) - 1
+    return [int(n.sum()) for n in run_of], where, by[new], ctx
+
+
+def _merged(order: int):
+    """The asks of many chunks to a bucket as one."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        asks = table.sort_by("chunk").to_pylist()
+        _, where, pick, ctx = _side_by_side(asks, order)
+        each = lambda name: np.concatenate([unpack(r[name]) for r in asks])
+        count = np.zeros(len(pick), dtype=np.int64)
+        np.add.at(count, where, each("count").astype(np.int64))
+        row = {"bucket": key[0].as_py(), "chunk": key[1].as_py(), "count": pack(count)}
+        if order == 1:
+            row["ctx"] = pack_keys(ctx[pick])
+        else:
+            starts = _runs(ctx[pick])
+            over = lambda name: np.concatenate([np.repeat(unpack(r[name]), unpack(r["run"])) for r in asks])[pick[starts]]
+            row |= {"ctx": pack_keys(ctx[pick[starts]]), "run": pack(_lengths(starts, len(pick))), "t": pack(each("t")[pick]), "aux": pack(each("aux")[pick])}
+            row |= {"h": pack(over("h")), "g": b"" if order == 2 else pack(over("g"))}
+        names = [x.split()[0] for x in (_ASK_WORDS if order == 1 else _ASK).split(", ")]
+        return pa.table({n: pa.array([row[n]], pa.int64() if n in ("bucket", "chunk") else pa.binary()) for n in names})
+
+    return run
+
+
+def _passed_on(order: int):
+    """Each chunk's part of the answer to merged asks."""
+
+    def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        asks, (answer,) = table.sort_by("chunk").to_pylist(), told.to_pylist()
+        sizes, where, _, _ = _side_by_side(asks, order)
+        total = unpack(answer["a"])
+        unseen = np.cumsum(total == 0) - 1
+        parts, lows = (unpack(answer["b"]).reshape(TOP, -1), unpack_floats(answer["c"])) if answer["b"] else (None, None)
+        rows, lo = [], 0
+        for r, n in zip(asks, sizes):
+            at = where[lo : lo + n]
+            row = {"what": 0, "bucket": key[0].as_py(), "chunk": r["chunk"], "a": pack(total[at])}
+            miss = unseen[at[total[at] == 0]]
+            if len(miss) and parts is not None:
+                row |= {"b": pack(parts[:, miss].ravel()), "c": pack_floats(lows[miss])}
+            rows.append(row)
+            lo += n
+        return _told(rows)
+
+    return run
+
+
+def _told_of(asks: DataFrame, order: int, stage: Stage, answer, into: list[str]) -> DataFrame:
+    """The table of answers to asks, at paths `into`, partitioned by `what`."""
+    name = f"order_{order}"
+    if stage.fans == 1:
+        return cut(asks.groupBy("bucket").applyInArrow(answer, _TOLD), name, into, by="what")
+    spark, passing = asks.sparkSession, []
+    asks = cut(asks.withColumn("fan", F.pmod(F.xxhash64("chunk"), F.lit(stage.fans))), "asks", passing)
+    own = asks.groupBy("bucket", "fan")
+    merged = own.applyInArrow(_merged(order), _ASK_WORDS if order == 1 else _ASK)
+    told = cut(merged.groupBy("bucket").applyInArrow(answer, _TOLD), name, into, by="what")
+    answers = told.where("what = 0").withColumnRenamed("chunk", "fan").groupBy("bucket", "fan")
+    passed = cut(own.cogroup(answers).applyInArrow(_passed_on(order), _TOLD), name, into, by="what")
+    discard(spark, passing)
+    return told.where("what <> 0").unionByName(passed)
+
+
 # Chunks, once answered.
 
 
@@ -652,14 +743,14 @@ def _count(chunks: DataFrame, order: int, stage: Stage, into: list[str]) -> list
     told = []
     for k in range(SLICES[order]):
         asks = chunks.mapInArrow(_ask(order, stage, (k, SLICES[order])), _ASK)
-        told.append(cut(asks.groupBy("bucket").applyInArrow(_answer(order, stage), _TOLD), f"order_{order}", into, by="what"))
+        told.append(_told_of(asks, order, stage, _answer(order, stage), into))
     stage.d[order] = np.array(discounts({r: _stats(told)[f"n{r}"] for r in range(1, TOP + 2)}))
     parts = _union(told).where("what = 2")
     names = [*[f"n{r}" for r in range(1, TOP + 1)], "low"]
-    hot = parts.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).orderBy("k").collect()  # MAX_HOT rows at most
-    hot.sort(key=lambda r: r["k"] % (1 << 64))
-    keys = np.array([r["k"] for r in hot], dtype=np.int64).view(np.uint64)
-    stage.hot_parts[order] = keys, np.array([list(r)[1 : TOP + 1] for r in hot], dtype=np.int64).reshape(-1, TOP), np.array([r["low"] for r in hot], dtype=float)
+    hot = parts.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # MAX_HOT rows at most
+    k, *counts, low = (hot.column(n).to_numpy() for n in ["k", *names])
+    by = np.argsort(k.view(np.uint64))
+    stage.hot_parts[order] = k.view(np.uint64)[by], np.stack(counts, axis=1)[by], low[by]
     return told
 
 
@@ -671,12 +762,13 @@ def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, hot:
     spark, passing = docs.sparkSession, []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id"), modulus, remainder).alias("out"))
     chunks = cut(rows.mapInArrow(_encoded(chunk), _CHUNK), "chunks", passing)
-    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    tokens, n_chunks = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     stage = Stage(max(MIN_BUCKETS, tokens // BUCKET), hot or max(LEAST_HOT, tokens // MAX_HOT))
+    stage.fans = max(1, -(-n_chunks // FAN))
 
-    asks = chunks.mapInArrow(_ask_words(stage), "bucket long, chunk long, ctx binary, count binary")
+    asks = chunks.mapInArrow(_ask_words(stage), _ASK_WORDS)
     paths: list[str] = []
-    words = cut(asks.groupBy("bucket").applyInArrow(_answer_words, _TOLD), "order_1", paths, by="what")
+    words = _told_of(asks, 1, stage, _answer_words, paths)
     found = _stats([words])
     stage.n, stage.v, stage.docs = found["chunk"], found["k"], int(found["low"])
     stage.d[1] = np.array(discounts({r: found[f"n{r}"] for r in range(1, TOP + 2)}))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from concord.llm import katz, queries
 
@@ -74,6 +75,29 @@ class Slow:
         return sum(math.log10((self.c[1].get((b,), 0) + 1) / (self.n + self.v + 1)) for b in [*text, "</s>"])
 
 
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
+def counting(make, sizes):
+    """make's function over a group, which also tells the group's number of rows."""
+
+    def made(*args):
+        run = make(*args)
+
+        def of(key, table):
+            sizes.add(table.num_rows)
+            return run(key, table)
+
+        return of
+
+    return made
+
+
 def tokens(text):
     return ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in (text or "").split()]
 
@@ -106,6 +130,22 @@ def test_scores_as_brute_force(spark, hot, chunk):
     same(scores.collect(), data, slow)
 
 
+def test_a_word_of_every_chunk_is_asked_for_by_few_rows(spark, monkeypatch):
+    """Chunks of which each asks for the same words and n-grams: their asks are merged, and no group has more than FAN or the merged ones."""
+    monkeypatch.setattr(katz, "FAN", 4)
+    monkeypatch.setattr(katz, "MIN_BUCKETS", 2)
+    sizes = spark.sparkContext.accumulator(0, Most())
+    for name in ("_merged", "_answer"):
+        monkeypatch.setattr(katz, name, counting(getattr(katz, name), sizes))
+    rng = random.Random(5)
+    data = [(i, "the same words in every one of them " * 3 + " ".join(f"w{rng.randrange(60)}" for _ in range(30)), 1, "c") for i in range(40)]
+    slow = Slow([tokens(t) for i, t, *_ in data if not out(i)])
+    scores, model = katz.train_and_score(spark.createDataFrame(data, DOCS).repartition(4), hot=20, chunk=100)
+    same(scores.collect(), data, slow)
+    assert sorted(r["c"] for r in model.grams(3).collect()) == sorted(slow.c[3].values())
+    assert 4 <= sizes.value <= 16  # some 20 chunks in fans of about four
+
+
 def test_query_scores_whole_table(spark, tmp_path):
     data = rows(80, 4)
     spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
