@@ -1,4 +1,10 @@
-"""A corpus, from raw documents to a mixture: each stage takes what its predecessor kept and calls one operator."""
+"""A corpus, from raw documents to a mixture: each stage takes what its predecessor kept and calls one operator.
+
+Defined cases, of every stage: rows with nulls in any column are judged by their text like others, and a null text
+like an empty one; texts are read whole, however long; repeated rows are judged alike (the near-copy stage keeps one of
+them, but all rows without a doc_id); columns besides those that a stage reads are passed through, whatever their names,
+but for the last stage, which returns a row of figures for each document; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
