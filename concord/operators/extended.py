@@ -29,8 +29,9 @@ def curvature_lateral(way: DataFrame) -> DataFrame:
 
 def curvature_effect(results: DataFrame, way: DataFrame) -> DataFrame:
     """What the curve correction does to the severe rate, over all clips and over those that intend to hold the lane."""
-    classes = curvature_lateral(way).select("clip_id", "raw_class", "curve_class")
-    rows = valid(results).select("clip_id", "long_intent", "lat_intent", "long_execution").join(classes, "clip_id")
+    rows = valid(results).select("clip_id", "long_intent", "lat_intent", "long_execution")
+    own = way.join(rows.select("clip_id").hint("shuffle_hash"), "clip_id", "left_semi")  # other paths are not sorted
+    rows = rows.join(curvature_lateral(own).select("clip_id", "raw_class", "curve_class"), "clip_id")
     severe = lambda c: F.avg((severity(F.col(c)) == "severe").cast("double")) * 100
     raw = score(rows.withColumn("lat_execution", F.col("raw_class"))).select("clip_id", "lat_intent", "curve_class", "long_intent", "long_execution", F.col("mismatch_score").alias("raw_score"))
     both = score(raw.withColumn("lat_execution", F.col("curve_class")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,9 @@ PHRASES = (
 SEED = 99
 #: Event ids of a block.
 BLOCK = 65_536
+#: Waypoints of a clip, and how many of a table a task takes.
+STEPS = 64
+PATH_ROWS = 2_000_000
 
 
 class Tables:
@@ -69,10 +74,16 @@ class Tables:
         bank = F.array(*[F.lit(p) if p is not None else F.lit(None).cast("string") for p in PHRASES])
         return self.orders().select("clip_id", F.get(bank, ((F.col("ok") * 5 + F.col("ck")) % 24).cast("int")).alias("cot_text"))
 
+    @cached_property
+    def parts(self) -> int:
+        """Tasks that waypoints are dealt to, in proportion to their number: Spark, left to itself, goes by the bytes that it shuffles, which are
+        orders before they become 64 rows each. Not fewer than its own, so that the other side of a join follows."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.orders().count() * STEPS // PATH_ROWS))
+
     def _steps(self, orders: DataFrame | None = None) -> DataFrame:
-        """(clip, step): orders are dealt by clip first, so that their 64 steps need no shuffle afterwards."""
+        """(clip, step): orders are dealt and sorted by clip first, so that their 64 steps need no shuffle afterwards, and sorts meet them in order."""
         rows = (self.orders() if orders is None else orders).select("clip_id", "ok", "ck")
-        return rows.repartition("clip_id").select("clip_id", "ok", "ck", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("step"))
+        return rows.repartition(self.parts, "clip_id").sortWithinPartitions("clip_id").select("clip_id", "ok", "ck", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
 
     @staticmethod
     def _xy() -> tuple[Column, Column]:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from concord.functions import kinematics, sql, text
 from concord.functions.rules import LAT_COMPAT, LAT_EXECUTIONS, LONG_COMPAT, LONG_EXECUTIONS, STRICT
-from concord.plans import queries
+from concord.operators import extended, score
+from concord.plans import fixtures, queries
 from concord.plans.fixtures import PHRASES, Tables
 from concord.sources import io
 from tests.test_text import ODD, variants
@@ -36,6 +37,22 @@ def test_bucketed_waypoints_are_not_shuffled(spark, bucketed):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_tasks_grow_with_the_waypoints(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(fixtures, "PATH_ROWS", 6400)
+    t = Tables(spark, sf_dir)
+    for way in (t.predictions(), t.ground_truth(), t.arcs()):
+        sizes = [r["count"] for r in way.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+        assert sum(sizes) == t.orders().count() * 64 and len(sizes) >= sum(sizes) // 6400 and max(sizes) < 3 * 6400
+
+
+def test_waypoints_of_other_clips_are_left_out_unsorted(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    clips = t.index().select("clip_id")
+    for df in (*score._of(clips, t.predictions(), t.ground_truth()), extended.curvature_effect(spark.createDataFrame([], io.RESULTS), t.arcs())):
+        assert "ShuffledHashJoin" in plan_of(df)
+    assert "Sort [clip_id" not in plan_of(score._of(clips, t.predictions())[0]).partition("Generate")[0]
+
+
 def test_paths_together_are_features_and_error(spark, bucketed):
     pred, truth = bucketed
     near = lambda rows: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
