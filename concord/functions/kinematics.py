@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -130,27 +132,26 @@ def displacement_packed(a: str = "traj", b: str = "truth") -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total / F.size(a))
 
 
-def _with_steps(way: DataFrame, name: str) -> DataFrame:
-    """(clip_id, name: array<struct<step, x, y, z>> in step order); of a step that is there twice the first point by x, y."""
-    rows = F.sort_array(F.collect_set(F.struct("step", "x", "y", "z")))
-    return way.groupBy("clip_id").agg(rows.alias(name))
-
-
 def paths_together(pred: DataFrame, truth: DataFrame, dt: float = DT) -> DataFrame:
     """features() of the predictions, ade_meters and n_joined, from each clip's two paths side by side.
 
-    Tables that are bucketed by clip_id (io.write_bucketed) are read bucket by bucket, aggregated and joined where they lie:
-    no row is shuffled. A path is bounded (64 steps). Steps that only one side has are left out of the error.
+    Tables that are bucketed by clip_id (io.write_bucketed) are read bucket by bucket, sorted, joined and aggregated where they
+    lie: no row is shuffled. The truth's path is one row (a path is bounded, 64 steps), since a join by clip and step would be shuffled.
+    Points that are there twice count once; a step that the truth has twice stands for its first point by x, y; steps that only
+    one side has are left out of the error.
     """
-    both = _with_steps(pred, "traj").join(_with_steps(truth, "truth"), "clip_id", "left")
-    steps = lambda c: F.transform(c, lambda r: r["step"])
-    gap = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2.0) + F.pow(p["y"] - q["y"], 2.0))
-    of_step = lambda p: gap(p, F.get(F.filter("truth", lambda q: q["step"] == p["step"]), F.lit(0)))
-    gaps = F.when(steps("traj") == steps("truth"), F.zip_with("traj", "truth", gap)).otherwise(F.filter(F.transform("traj", of_step), lambda d: d.isNotNull()))
-    n = F.coalesce(F.size("gaps"), F.lit(0)).cast("long")
-    rows = both.withColumn("gaps", F.when(F.col("truth").isNotNull(), gaps)).withColumn("n_joined", F.greatest(n, F.lit(0).cast("long")))
-    rows = rows.withColumn("ade_meters", F.when(F.col("n_joined") > 0, F.aggregate("gaps", F.lit(0.0), lambda s, x: s + x) / F.col("n_joined")))
-    return features_packed(rows, dt, ("ade_meters", "n_joined"))
+    order = ("step", "x", "y", "z")
+    w = Window.partitionBy("clip_id").orderBy(*order)
+    before = {f"{c}_before": F.lag(c).over(w) for c in order}
+    again = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_before")) for c in order])
+    distance = F.sqrt(F.pow(F.col("x") - F.col("x_before"), 2.0) + F.pow(F.col("y") - F.col("y_before"), 2.0))
+    own = pred.select("clip_id", *order).withColumns(before).where(~again).withColumn("distance", distance).withColumn("speed", F.col("distance") / dt)
+    other = truth.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("step", "x", "y"))).alias("t"))
+    other = other.select("clip_id", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("step", "x", "y")])
+    both = own.join(other.hint("merge"), "clip_id", "left").withColumn("at", F.array_position("t_step", F.col("step")).cast("int") - 1)
+    gap = lambda c: F.col(c) - F.get(f"t_{c}", F.when(F.col("at") >= 0, F.col("at")))
+    out = both.withColumn("error", F.sqrt(F.pow(gap("x"), 2.0) + F.pow(gap("y"), 2.0))).groupBy("clip_id").agg(*_path_aggregates(), F.avg("error").alias("ade_meters"), F.count("error").alias("n_joined"))
+    return _with_features(out, dt, "ade_meters", "n_joined")
 
 
 def displacement_error(pred: DataFrame, truth: DataFrame) -> DataFrame:

@@ -347,7 +347,7 @@ def _bucketed(t: Tables) -> DataFrame:
     for name, way in (("prediction", t.predictions(errors=True)), ("truth", t.ground_truth(errors=True))):
         path = io.new_path(t.spark, f"bucketed_{name}")
         table = path.rpartition("/")[2].replace("-", "_")
-        io.write_bucketed(way, table, path, 16)
+        io.write_bucketed(way, table, path, t.parts)
         tables.append(t.spark.table(table))
     return kinematics.paths_together(*tables)
 

@@ -37,6 +37,13 @@ def test_bucketed_waypoints_are_not_shuffled(spark, bucketed):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_waypoints_are_written_to_buckets_without_a_shuffle(spark, sf_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(io, "write_bucketed", lambda way, table, path, n: (plans.append(plan_of(way.repartition(n, "clip_id"))), way.createOrReplaceTempView(table)))
+    queries._bucketed(Tables(spark, sf_dir))
+    assert [p.count("Exchange") for p in plans] == [1, 1]  # orders by clip, before they become waypoints
+
+
 def test_tasks_grow_with_the_waypoints(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(fixtures, "PATH_ROWS", 6400)
     t = Tables(spark, sf_dir)
