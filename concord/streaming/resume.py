@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from concord.operators.score import score_packed, score_with_errors
-from concord.sources.io import ARRIVALS, EVAL_CLIPS
+from concord.sources.io import ARRIVALS, EVAL_CLIPS, stored
 from concord.sources.log import BatchLog
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -22,10 +22,32 @@ def done_ids(results: DataFrame, retry_errors: bool = False) -> DataFrame:
     return rows.select("clip_id").distinct()
 
 
+#: Up to so many clips Spark's limit takes from an order, all of them in one task.
+AT_ONCE = 10_000
+
+
+def _first(clips: DataFrame, n: int) -> DataFrame:
+    """The first n clips in order, however many: they are dealt by ranges of the order and counted, whole ranges are taken as they lie,
+    and only the range that holds the n-th is sorted."""
+    if n <= AT_ONCE:
+        return clips.orderBy("ord", "clip_id").limit(n)
+    dealt = stored(clips.repartitionByRange("ord", "clip_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    before, last = 0, None
+    for r in dealt.groupBy("_range").count().orderBy("_range").collect():  # one row a partition
+        if before + r["count"] > n:
+            last = r["_range"]
+            break
+        before += r["count"]
+    if last is None:
+        return dealt.drop("_range")
+    whole = dealt.where(F.col("_range") < last)
+    return whole.union(dealt.where(F.col("_range") == last).orderBy("ord", "clip_id").limit(n - before)).drop("_range")
+
+
 def next_batch(clips: DataFrame, done: DataFrame, n: int = 400) -> DataFrame:
     """The first n open clips in order."""
     open_clips = clips.join(done.select("clip_id").distinct(), "clip_id", "left_anti")
-    return open_clips.orderBy("ord", "clip_id").limit(n)
+    return _first(open_clips, n)
 
 
 def next_after(clips: DataFrame, mark: dict | None, n: int = 400) -> DataFrame:
@@ -33,7 +55,7 @@ def next_after(clips: DataFrame, mark: dict | None, n: int = 400) -> DataFrame:
     if mark is not None and mark["ord"] is not None:
         after = (F.col("ord") > mark["ord"]) | ((F.col("ord") == mark["ord"]) & (F.col("clip_id") > mark["clip_id"]))
         clips = clips.where(after)
-    return clips.orderBy("ord", "clip_id").limit(n)
+    return _first(clips, n)
 
 
 def progress(clips: DataFrame, done: DataFrame, n: int = 400) -> DataFrame:

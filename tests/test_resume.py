@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from concord.operators.score import score_packed, score_with_errors
 from concord.plans.fixtures import Tables
@@ -43,6 +44,21 @@ def test_late_clips_are_found(spark, fifty, tmp_path):
     assert BatchLog(spark, out).read().select("clip_id").distinct().count() == 50
 
 
+def test_large_batches_are_the_first_in_order_and_not_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(resume, "AT_ONCE", 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions stay apart
+    try:
+        clips = spark.range(1000).selectExpr("concat('c', id) as clip_id", "if(id % 50 = 0, null, id * 7 % 40) as ord").cache()
+        rows = sorted(((r["ord"] is not None, r["ord"] or 0, r["clip_id"]) for r in clips.collect()))
+        for n in (11, 400, 640, 999, 1000, 5000):
+            for got in (resume.next_after(clips, None, n), resume.next_batch(clips, clips.limit(0), n)):
+                assert {r["clip_id"] for r in got.collect()} == {r[2] for r in rows[:n]} and got.count() == min(n, 1000) and got.columns == clips.columns
+        sizes = resume.next_after(clips, None, 900).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert max(r["count"] for r in sizes) < 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 class Killed(Exception):
     pass
 
