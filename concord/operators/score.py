@@ -70,8 +70,9 @@ def score_clips(clips: DataFrame, reasoning: DataFrame, predictions: DataFrame,
 
 def _of(clips: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     """The tables' rows of these clips: paths of others are neither sorted nor aggregated. Clips are hashed, so that looking them up
-    takes no sort of the waypoints either."""
-    return [t.join(clips.select("clip_id").hint("shuffle_hash"), "clip_id", "left_semi") for t in tables]
+    takes no sort of the waypoints either; as distinct ids, so that Spark leaves out left joins that give them only other columns."""
+    ids = clips.select("clip_id").distinct().hint("shuffle_hash")
+    return [t.join(ids, "clip_id", "left_semi") for t in tables]
 
 
 def _scored_rows(rows: DataFrame, reasoning: DataFrame, rules: RuleSet) -> DataFrame:

@@ -60,6 +60,14 @@ def test_waypoints_of_other_clips_are_left_out_unsorted(spark, sf_dir):
     assert "Sort [clip_id" not in plan_of(score._of(clips, t.predictions())[0]).partition("Generate")[0]
 
 
+def test_clips_to_look_up_need_no_other_columns(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    clips, way = t.clips(), t.predictions()
+    got = score._of(clips.unionByName(clips), way)[0]
+    assert "c_custkey" in plan_of(clips) and "c_custkey" not in plan_of(score._of(clips, way)[0])
+    assert got.count() == clips.count() * 64 and got.select("clip_id").distinct().join(clips, "clip_id").count() == clips.count()
+
+
 def test_paths_together_are_features_and_error(spark, bucketed):
     pred, truth = bucketed
     near = lambda rows: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
