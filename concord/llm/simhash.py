@@ -9,7 +9,7 @@ key (pigeonhole; no link is lost). Each shard's tree is a BK-tree: a child hangs
 to its parent, and a search follows only edges within distance +- radius. Trees and their queries are sent to the
 tasks by a shuffle, not by a broadcast, since the number of distinct fingerprints grows with the corpus. A shard of
 more than `chunk` members is dealt into chunks (see `search`), so that no group has to fit one task. A task returns a
-spanning forest of the links it found, never all pairs.
+spanning forest of the links it found, never all pairs. `copy_groups` has its own shards, and trees with leaves.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; equal texts share a
 fingerprint; repeated rows give repeated rows; an empty table gives an empty table; columns other than doc_id and
@@ -32,6 +32,10 @@ from concord.llm.common import bounds, by_key, cut, fresh, runs
 from concord.llm.components import components
 
 SEED = 42
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = np.random.default_rng(11).integers(0, 1 << 64, size=256, dtype=np.uint64)
+#: Shingles at most that are sent to all tasks as frequent ones.
+MAX_FREQUENT = 100_000
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -54,10 +58,39 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for lo in range(0, len(bits), 255):  # sums that fit a byte
+            ones += bits[lo : lo + 255].sum(axis=0, dtype=np.uint8)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _powers(n: int, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _MIX and of its inverse modulo 2^64."""
+    if len(held[0]) < n:
+        for k, base in enumerate((int(_MIX), pow(int(_MIX), -1, 1 << 64))):
+            steps = np.full(2 * n, base, dtype=np.uint64)
+            steps[0] = 1
+            held[k] = np.cumprod(steps)
+    return held[0][:n], held[1][:n]
+
+
+def rolling_hashes(words: list[bytes], size: int, held: list[np.ndarray]) -> np.ndarray:
+    """Other numbers than `shingle_hashes`, cheaper: polynomials of a shingle's bytes modulo 2^64, mixed, as differences of running sums."""
+    out, size = [np.zeros(0, dtype=np.uint64)], min(size, len(words))
+    for lo in range(0, len(words) - size + 1 if words else 0, 20_000):
+        data = np.frombuffer(b" ".join(words[lo : lo + 20_000 + size - 1]), dtype=np.uint8)
+        power, inverse = _powers(len(data) + 1, held)
+        upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
+        space = np.flatnonzero(data == 32)
+        starts, ends = np.concatenate([[0], space + 1]), np.append(space, len(data))[size - 1 :]
+        starts = starts[: len(ends)]
+        x = (upto[ends] - upto[starts]) * inverse[starts]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.concatenate(out)
+
+
 class BKTree:
     """Children keyed by the integer Hamming distance to their parent."""
 
@@ -94,25 +127,32 @@ class BKTree:
         return found
 
 
-class Forest:
-    """Union-find over the members of one group."""
+class LeafTree:
+    """A BK-tree whose nodes are leaves of up to `most` fingerprints, compared at once, until they are full: for a radius at which single nodes cut off little."""
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+    def __init__(self, most: int = 1024) -> None:
+        self.most, self.n = most, 0
+        self.value, self.item = np.zeros(8, dtype=np.uint64), np.zeros(8, dtype=np.int64)
+        self.children: dict[int, LeafTree] = {}
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+    def add(self, value: int, item: int) -> None:
+        at = self
+        while at.children:
+            d = (int(at.value[0]) ^ value).bit_count()
+            at = at.children.setdefault(d, LeafTree(at.most))
+        if at.n == len(at.value):
+            at.value, at.item = np.resize(at.value, 2 * at.n), np.resize(at.item, 2 * at.n)
+        at.value[at.n], at.item[at.n] = value, item
+        at.n += 1
+        if at.n > at.most and (at.value[: at.n] != at.value[0]).any():
+            for v, i in zip(at.value[: at.n].tolist(), at.item[: at.n].tolist()):
+                at.children.setdefault((int(at.value[0]) ^ v).bit_count(), LeafTree(at.most)).add(v, i)
+
+    def within(self, value: int, radius: int) -> np.ndarray:
+        if not self.children:
+            return self.item[: self.n][np.bitwise_count(self.value[: self.n] ^ np.uint64(value)) <= radius]
+        d = (int(self.value[0]) ^ value).bit_count()
+        return np.concatenate([np.zeros(0, dtype=np.int64), *[x.within(value, radius) for edge, x in self.children.items() if d - radius <= edge <= d + radius]])
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -149,13 +189,17 @@ def deal(rows: DataFrame, key: str, chunk: int) -> DataFrame:
     return rows.join(sizes, key).withColumn("c", F.ceil(F.col("n") / chunk).cast("int")).drop("n")
 
 
-def search(dealt: DataFrame, key: str, by: str, chunk: int, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def search(dealt: DataFrame, key: str, by: str, chunk: int, scan: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) that connect what is linked within a shard; scan takes rows with a group `g` and links within groups.
 
     A shard of one chunk is one group. A larger one is dealt into chunks twice, by two hashes: that joins the bulk of a
     group of copies, whatever its size, in one pass. Then only the members outside the shard's most frequent component
     are left to be searched against all; a pair within that component needs no further look. So no link is lost, and a
     group of n copies costs in proportion to n, not to its square.
+
+    Of each row scan gets the component so far, `label`, and whether the group's other rows are to be searched for its
+    links, `asks`. narrow takes the rows (key, by, fp, label) of shards that hold several components and deals them into
+    shards of its own, in which all that may be linked still meet: a shard of many that have no link has no bulk.
     """
     part = lambda salt, n: F.pmod(F.xxhash64(F.col(by), F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -163,32 +207,77 @@ def search(dealt: DataFrame, key: str, by: str, chunk: int, scan: Callable[[Data
     large = dealt.where("c > 1")
     twice = large.withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1))))
     twice = twice.withColumn("g", F.xxhash64(key, "deal", F.when(F.col("deal") == 0, part("first", "c")).otherwise(part("second", "c")))).drop("deal")
-    found = cut(scan(one.unionByName(twice).drop("c", key)), "links")
+    found = cut(scan(one.unionByName(twice).drop("c", key).withColumn("label", F.col(by)).withColumn("asks", F.lit(True))), "links")
     if large.isEmpty():
         return found
     labels = components(found)
-    marked = cut(large.join(labels, F.col(by) == F.col("node"), "left").withColumn("label", F.coalesce("label", by)).drop("node"), "marked")
+    marked = cut(large.join(labels, F.col(by) == F.col("node"), "left").withColumn("label", F.coalesce("label", by)).drop("node", "c"), "marked")
+    if narrow is not None:
+        several = marked.groupBy(key).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(key)
+        marked = cut(narrow(marked.join(several, key)), "narrowed")
     sizes = marked.groupBy(key, "label").agg(F.count("*").alias("m"))
-    bulk = sizes.groupBy(key).agg(F.max_by("label", F.struct("m", "label")).alias("bulk"), (F.sum("m") - F.max("m")).alias("r")).where("r > 0")
-    open_rows = marked.join(bulk.withColumn("rc", F.ceil(F.col("r") / chunk).cast("int")).drop("r"), key)
-    rest = open_rows.where("label <> bulk").withColumn("i", part("rest", "rc")).withColumn("j", each("c"))
-    every = open_rows.withColumn("j", part("all", "c")).withColumn("i", each("rc"))
+    bulk = sizes.groupBy(key).agg(F.max_by("label", F.struct("m", "label")).alias("bulk"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("r")).where("r > 0")
+    chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    open_rows = marked.join(bulk.withColumn("rc", chunks("r")).withColumn("c", chunks("n")).drop("r", "n"), key).withColumn("asks", F.expr("label <> bulk"))
+    rest = open_rows.where("asks").withColumn("i", part("rest", "rc")).withColumn("j", each("c"))
+    every = open_rows.where("not asks or c > 1").withColumn("asks", F.lit(False)).withColumn("j", part("all", "c")).withColumn("i", each("rc"))
     pairs = rest.unionByName(every).withColumn("g", F.xxhash64(key, "i", "j", F.lit("rest")))
-    return found.union(scan(pairs.drop("c", "rc", "i", "j", "label", "bulk", key)))
-
-
-def links_in(fps: list[int], radius: int, linked=None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fps: (i, j) index pairs. linked(i, j) is asked only across two trees."""
-    tree, forest, out = BKTree(), Forest(len(fps)), []
-    for i, fp in enumerate(fps):
-        for j in tree.within(fp, radius):
-            if forest.root(i) != forest.root(j) and (linked is None or linked(i, j)):
-                forest.join(i, j)
-                out.append((i, j))
-        tree.add(fp, i)
+    return found.union(scan(pairs.drop("c", "rc", "i", "j", "bulk", key)))
+
+
+def links_in(fps: list[int], radius: int, linked=None, labels: list[int] | None = None, asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among fps: (i, j) index pairs. linked(i, js) is asked only across two trees, and tells which.
+
+    Those of one label are one tree from the start. With `asks`, links between two that don't ask are not looked for.
+    """
+    tree, out = BKTree() if linked is None else LeafTree(), []
+    root = np.arange(len(fps)) if labels is None else np.unique(labels, return_inverse=True)[1]
+    for i in sorted(range(len(fps)), key=asks.__getitem__) if asks else range(len(fps)):
+        if (asks is None or asks[i]) and len(near := tree.within(fps[i], radius)):
+            near, step = np.asarray(near), 8
+            while len(near := near[root[near] != root[i]]):
+                part, near, step = near[:step], near[step:], 8 * step
+                for j in (part if linked is None else part[linked(i, part)]).tolist():
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        out.append((i, j))
+        tree.add(fps[i], i)
     return out
 
 
+class Overlaps:
+    """Sizes of what two sets of a group have in common, counted over the elements that several of its sets have."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size, self.of, self.bits = np.array([len(x) for x in sets]), -1, None
+        if len(sets) < 8:
+            self.sets = sets
+            return
+        _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = n > 1
+        held = shared[at]
+        upto = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(self.size)])]
+        ids, most = (np.cumsum(shared) - 1)[at[held]], int(shared.sum())
+        self.sets = [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        self.mark = np.zeros(most, dtype=bool)
+        if len(sets) > 32 and most <= 8192:  # few enough for a bit each
+            bits = np.zeros((len(sets), -(-most // 64) * 64), dtype=bool)
+            bits[np.repeat(np.arange(len(sets)), np.diff(upto)), ids] = True
+            self.bits = np.packbits(bits, axis=1).view(np.uint64)
+
+    def both(self, i: int, js: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[js] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        if len(self.sets) < 8:
+            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in js.tolist()])
+        if self.of != i:
+            if self.of >= 0:
+                self.mark[self.sets[self.of]] = False
+            self.mark[self.sets[i]] = True
+            self.of = i
+        return np.array([np.count_nonzero(self.mark[self.sets[j]]) for j in js.tolist()])
+
+
 def fingerprint_links(distinct: DataFrame, radius: int, blocks: int, chunk: int = 1024) -> DataFrame:
     """distinct(fp) -> edges (a, b) that connect all fingerprints within the radius of each other."""
 
@@ -220,24 +309,72 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, chunk: int
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def by_rare_shingles(rows: DataFrame, sets: DataFrame, similarity: float, frequent: int) -> DataFrame:
+    """rows(key, same, fp, label) in shards of their own, in which every two of a shard that may be similar still meet.
+
+    Two sets of a Jaccard similarity of t or more have a shingle in common among the first n - ceil(t n) + 1 of each, by
+    any order of all shingles: the first that they share has ceil(t n) - 1 others behind it. The order here puts those that
+    some `frequent` of the sets have last, the most frequent at the very end, so that a line that very many texts share is
+    among the first of a text that has hardly anything else only. All of a set's first shingles that aren't frequent are
+    keys; sets with a frequent one among the first also stay with each other, by the shard they are in. That loses no
+    link whichever shingles count as frequent; counts below two in an Arrow batch aren't looked at for it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.frombuffer(b"".join(batch.column("sh").to_pylist()), dtype=np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
+
+    members = cut(rows.select("same", "fp", "label").distinct().join(sets, "same"), "members")
+    counts = members.select("sh").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= frequent).orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT).toPandas().sort_values("shingle")
+    known, often = top["shingle"].to_numpy(dtype=np.uint32), top["n"].to_numpy(dtype=np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, keys, late = [], [], []
+            for i, held in enumerate(batch.column("sh").to_pylist()):
+                x = np.frombuffer(held, dtype=np.uint32)
+                n = len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1 if len(x) else 0
+                at = np.searchsorted(known, x)
+                at[at == len(known)] = 0
+                rank = np.where(known[at] == x, often[at], 0) if len(known) else np.zeros(len(x), dtype=np.int64)
+                own = x[rank == 0][:n].astype(np.int64)
+                if len(own) < n:
+                    own = np.append(own, -1)
+                row.append(np.full(len(own), i))
+                keys.append(own)
+                late.append(own < 0)
+            at = pa.array(np.concatenate(row))
+            taken = [batch.column(c).take(at) for c in ("same", "fp", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *taken, pa.array(np.concatenate(late))], ["key", "same", "fp", "label", "late"])
+
+    dealt = cut(members.mapInArrow(first, "key long, same long, fp long, label long, late boolean"), "first")
+    late = rows.join(dealt.where("late").select("same"), "same").withColumn("key", F.xxhash64("key", F.lit("late")))
+    return dealt.where("not late").drop("late").unionByName(late.select("key", "same", "fp", "label"))
+
+
 def same_of(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), SEED)
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, shards: int = 4, chunk: int = 512) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, shards: int = 6, chunk: int = 512) -> DataFrame:
     """Which documents repeat an earlier one: docs(doc_id, text) -> (doc_id, component_id); see `copy_groups`."""
     return copy_groups(docs, size, similarity, radius, shards, chunk).select("doc_id", "component_id")
 
 
-def copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, shards: int = 4, chunk: int = 512) -> DataFrame:
+def copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, shards: int = 6, chunk: int = 512) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, same, component_id, component_same): each row's id and text, and those of its group.
 
     Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles is `similarity` or more.
     SimHash fingerprints of these sets (a repeated shingle counts once, unlike in `fingerprints`) within `radius` are the
     candidates, met in shards keyed by one of `shards` min-hashes of the shingles; every pair that would join two groups
-    is verified on the whole shingle sets. Texts whose words are all the same are one class from the start.
+    is verified on the whole shingle sets, made once, with the sketches. Texts whose words are all the same are one class
+    from the start. Large shards of texts that share a line, but aren't linked, are dealt anew by `by_rare_shingles`.
 
-    What is lost: a pair at exactly 0.8 shares none of the shards with probability 0.2 ** shards, 0.0016 here. A bit
+    What is lost: a pair at exactly 0.8 shares none of the shards with probability 0.2 ** shards, 0.00006 here. A bit
     differs between two such sets with probability 0.19 at most (4 shingles against 5; some 0.15 in large sets), so over
     28 of 64 differ with probability 1.1e-6 at most, whatever the sizes.
     """
@@ -245,71 +382,57 @@ def copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nameless: set[int] = set()  # texts without doc_id whose set this task has written
+        powers = [np.zeros(0, dtype=np.uint64)] * 2
         for batch in batches:
-            same, fps, mins = [], [], []
-            for text in batch.column("text").to_pylist():
+            same, fps, mins, sets = [], [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = (text or b"").lower().split()
-                h = np.unique(shingle_hashes(words, size))
+                h = np.unique(rolling_hashes(words, size, powers))
                 fps.append(fingerprint_of(h))
                 same.append(same_of(words))
-                if len(h):
-                    mins.append([int((((h * m) ^ ((h * m) >> np.uint64(29))) * c).min().view(np.int64)) for m, c in mixers])
-                else:
-                    mins.append([0] * shards)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(same), signed(fps), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "mins"])
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nameless: set[int] = set()  # texts without doc_id that this task has sent
-        for batch in batches:
-            ids, same, sets = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = (text or b"").lower().split()
-                own = same_of(words)
+                x = h * mixers[:, :1]
+                mins.append(((x ^ (x >> np.uint64(29))) * mixers[:, 1:]).min(axis=1).view(np.int64).tolist() if len(h) else [0] * shards)
+                if doc is None and same[-1] in nameless:
+                    sets.append(None)
+                    continue
                 if doc is None:
-                    if own in nameless:
-                        continue
-                    nameless.add(own)
-                ids.append(doc)
-                same.append(own)
-                sets.append(np.unique((shingle_hashes(words, size) >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(same), pa.array(sets, pa.binary())], ["doc_id", "same", "sh"])
+                    nameless.add(same[-1])
+                upper = (h >> np.uint64(32)).astype(np.uint32)
+                sets.append(upper[np.append(True, upper[1:] != upper[:-1])[: len(upper)]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(same), signed(fps), pa.array(mins, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "same", "fp", "mins", "sh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "g"):
-            g, fp, same = (table.column(c).to_numpy() for c in ("g", "fp", "same"))
-            held = table.column("sh").to_pylist()
+            g, fp, same, label = (table.column(c).to_numpy() for c in ("g", "fp", "same", "label"))
+            held, asks = table.column("sh").to_pylist(), table.column("asks").to_pylist()
             cuts, a, b = bounds(g), [], []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                sets: dict[int, np.ndarray] = {}
-
-                def own(i: int, lo: int = lo, sets: dict = sets) -> np.ndarray:
-                    if i not in sets:
-                        sets[i] = np.frombuffer(held[lo + i], dtype=np.uint32)
-                    return sets[i]
+                if hi - lo < 2:
+                    continue
+                common = Overlaps([np.frombuffer(x, dtype=np.uint32) for x in held[lo:hi]])
 
-                def linked(i: int, j: int, own=own) -> bool:
-                    x, y = own(i), own(j)
-                    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                        return False
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    return both >= similarity * (len(x) + len(y) - both)
+                def linked(i: int, js: np.ndarray, common: Overlaps = common) -> np.ndarray:
+                    both = common.both(i, js)
+                    return both >= similarity * (common.size[i] + common.size[js] - both)
 
-                for i, j in links_in(fp[lo:hi].view(np.uint64).tolist(), radius, linked):
+                for i, j in links_in(fp[lo:hi].view(np.uint64).tolist(), radius, linked, label[lo:hi].tolist(), asks[lo:hi]):
                     a.append(same[lo + i])
                     b.append(same[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(np.array(b, dtype=np.int64))], ["a", "b"])
 
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    prints = cut(kept.mapInArrow(sketch, "doc_id long, same long, fp long, mins array<long>"), "sketches")
+    prints = cut(kept.mapInArrow(sketch, "doc_id long, same long, fp long, mins array<long>, sh binary"), "sketches")
     classes = cut(prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "mins")).alias("s")), "classes")
     keyed = classes.select("same", "first", "s.fp", F.posexplode("s.mins").alias("n", "min"))
     dealt = cut(deal(keyed.select("same", "first", "fp", F.xxhash64("n", "min").alias("key")), "key", chunk), "shards")
     members = dealt.select(F.col("same").alias("member"), "first").distinct()
-    held = kept.mapInArrow(shingles, "doc_id long, same long, sh binary")
+    held = prints.where("sh is not null").select("doc_id", "same", "sh")
     one = (F.col("same") == F.col("member")) & F.col("doc_id").eqNullSafe(F.col("first"))  # a text may have no doc_id at all
     sets = cut(held.join(members, one).dropDuplicates(["same"]).select("same", "sh"), "sets")
-    scan = lambda groups: by_key(groups.join(sets, "same").select("g", "fp", "same", "sh"), "g", run, "a long, b long")
-    edges = search(dealt.drop("first"), "key", "same", chunk, scan)
+    scan = lambda groups: by_key(groups.join(sets, "same").select("g", "fp", "same", "label", "asks", "sh"), "g", run, "a long, b long")
+    narrow = lambda rows: by_rare_shingles(rows, sets, similarity, max(2, chunk // 8))
+    edges = search(dealt.drop("first"), "key", "same", chunk, scan, narrow)
     labels = components(edges)
     named = classes.join(labels, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("label", "same").alias("label"))
     named_first = F.when(F.col("first").isNotNull(), F.struct("first", "same"))

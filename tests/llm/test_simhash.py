@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from concord.llm import components, simhash
 
@@ -162,3 +163,68 @@ def test_different_texts_under_one_or_no_doc_id(spark):
     docs = spark.createDataFrame([(i, " ".join(t), s, 0) for i, t, s in rows], DOCS)
     got = sorted(r["source"] for r in simhash.drop_near_copies(docs).collect())
     assert got in (["a", "b", "e", "f"], ["a", "b", "e", "g"])
+
+
+def test_texts_that_share_a_line_are_not_all_compared(spark, monkeypatch):
+    rng = random.Random(12)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    line, rows = words(14), []
+    rows += [line + words(30) for _ in range(1500)]
+    for _ in range(60):  # near copies among them
+        own = words(30)
+        rows += [line + own, line + own[:-1] + words(1)]
+    rows += [line + words(1 + i % 2) for i in range(60)]  # hardly anything but the line: linked with one word more, not with two
+    texts = [" ".join(r) for r in rows]
+    sets = [{" ".join(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
+    ids = list(range(len(rows)))
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = dict(zip(ids, slow_components(ids, similar)))
+    compared, by_key = [], simhash.by_key
+
+    def counted(groups, key, fn, schema):
+        asking = F.sum(F.col("asks").cast("long")) if "asks" in groups.columns else F.count("*")
+        compared.append(groups.groupBy(key).agg((F.count("*") * asking).alias("n")).agg(F.sum("n")).first()[0] or 0)
+        return by_key(groups, key, fn, schema)
+
+    monkeypatch.setattr(simhash, "by_key", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), chunk=16).collect()}
+    assert got == want
+    assert len(compared) == 2 and compared[1] < 60 * len(rows)
+
+
+def test_leaf_tree_against_scan():
+    rng = random.Random(2)
+    values = [rng.getrandbits(64) for _ in range(300)]
+    values += [v ^ (1 << rng.randrange(64)) for v in values[:100]] + values[:50] + [7] * 40
+    for most in (1, 8, 1024):
+        tree = simhash.LeafTree(most)
+        for i, v in enumerate(values):
+            tree.add(v, i)
+        for q in values[:40]:
+            for radius in (0, 4, 28):
+                assert sorted(tree.within(q, radius).tolist()) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= radius]
+
+
+@pytest.mark.parametrize("n", [3, 20, 100])
+def test_links_by_labels_and_asks(n):
+    rng = random.Random(n)
+    base = [rng.sample(range(1 << 32), 30) for _ in range(4)]
+    sets = [np.unique(np.array([v if rng.random() > 0.06 else rng.randrange(1 << 32) for v in base[i % 4]], dtype=np.uint32)) for i in range(n)]
+    fps = [0xABCDEF << (8 * (i % 4)) for i in range(n)]
+    labels, asks = [rng.randrange(2 * n) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
+    both = lambda i, j: len(set(sets[i].tolist()) & set(sets[j].tolist()))
+    similar = lambda i, j: both(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - both(i, j)) and (fps[i] ^ fps[j]).bit_count() <= 28
+    common = simhash.Overlaps(sets)
+    assert all(common.both(i, np.array([j])).tolist() == [both(i, j)] for i in range(n) for j in range(n) if i != j)
+    edges = simhash.links_in(fps, 28, lambda i, js: common.both(i, js) >= 0.8 * (common.size[i] + common.size[js] - common.both(i, js)), labels, asks)
+    held = {*edges, *((j, i) for i, j in edges)}
+    own = lambda i, j: labels[i] == labels[j]
+    assert slow_components(list(range(n)), lambda i, j: own(i, j) or (i, j) in held) == slow_components(list(range(n)), lambda i, j: own(i, j) or (asks[i] or asks[j]) and similar(i, j))
+
+
+def test_rolling_hashes_are_those_of_each_shingle():
+    words = [b"w%d" % (i % 977) for i in range(45_000)]
+    got = simhash.rolling_hashes(words, 5, held := [np.zeros(0, dtype=np.uint64)] * 2)
+    assert len(got) == 44_996 and len(np.unique(got)) == 977
+    assert all(got[i] == simhash.rolling_hashes(words[i : i + 5], 5, held)[0] for i in (0, 1, 19_999, 20_000, 44_995))
+    assert simhash.rolling_hashes([], 5, held).tolist() == [] and len(simhash.rolling_hashes([b"a", b"b"], 5, held)) == 1
